@@ -1 +1 @@
-
+"""Registered queries, each with its SQL where SQL can express it."""
