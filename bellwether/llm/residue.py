@@ -1,0 +1,151 @@
+"""Template residue and error pages: records that hold something other than a finished article.
+
+Sentences are aligned with all others of the same template: a template is the sentence less its
+fillings (numbers, names, anything in placeholder marks), and the places of the fillings are its
+slots.  A slot that still holds a variable name or a default is residue, and so is a slot left blank
+where nearly all records of the template fill it.  Whole pages are aligned the same way: a short page
+whose template comes back on several sites is an error page, as is one that consists of notices."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bellwether.session import materialize
+
+#: The marks of unfilled slots in common template languages, and default fillings.
+PLACEHOLDERS = (
+    r"\{\{\{?[-~#/&^>!]?\s*[\w.\-\[\]'\" |:,()]+?\s*[-~]?\}?\}\}",  # {{ name }}
+    r"\{%-?\s*[^%{}]+?-?%\}",  # {% block %}
+    r"\$\{\s*[\w.\-:|]+\s*\}",  # ${name}
+    r"#\{\s*[\w.]+\s*\}",  # #{name}
+    r"(?<![\w{$#%])\{\s*[A-Za-z_][\w.]*\s*\}",  # {name}
+    r"%\([A-Za-z_]\w*\)[sdifr]",  # %(name)s
+    r"(?<![\w%])%[A-Z][A-Z0-9_]+%",  # %NAME%
+    r"(?<![\w#])#[A-Z][A-Z0-9_]+#",  # #NAME#
+    r"<[%?]=?[^<>]*[%?]>",  # <%= name %>
+    r"<[A-Z][A-Z' _-]{2,}>",  # <YOUR NAME>
+    r"\[(?:[A-Z]{2,}[ _'-])+[A-Z]{2,}\]|\[(?:NAME|TITLE|DATE|COMPANY|CITY|AUTHOR|HEADLINE|BODY|TEXT|LINK|URL|EMAIL|PHONE|ADDRESS|NUMBER|AMOUNT|TBD|TK)\]",  # [INSERT NAME]
+    r"(?<![\w$.])\$[a-z_][a-z_0-9]+(?![\w.]\w)",  # $name
+    r"(?<!\w)__[A-Za-z]\w*__(?!\w)|@@\w+@@|\[\[[A-Za-z_][\w.]*\]\]",  # __NAME__, @@name@@, [[name]]
+    r"(?<!\w)X{4,}(?!\w)|(?<!\w)(?:TK ?){2,}(?!\w)|_{4,}",  # defaults and blanks
+)
+PLACEHOLDER = regex.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
+#: A placeholder right after one of these is quoted: the text is about it.
+QUOTES = "`'\"“‘«‹„"
+#: Phrases of filler copy and of error, access, session, consent, robot and script notices.
+NOTICES = (
+    r"lorem ipsum|dolor sit amet|\basdf|\bqwer(?:ty)?\b|placeholder (?:copy|text)|filler text|dummy text|replace this (?:paragraph|text)|(?:body|intro|text|copy) (?:text )?to (?:come|be added|follow)|test (?:post|page|article)|please ignore|your text here|headline goes here|\b(?:test ){2,}",
+    r"^(?:undefined|null|nan|none|\[object object\]|false|true)$|cannot read propert|traceback|stack trace|uncaught|exception in|fatal error|warning: |upstream (?:timed out|request timeout)|segmentation fault|sql syntax|internal server error|bad gateway|gateway time-?out|service (?:is )?(?:temporarily )?unavailable|temporarily unavailable|invalid response|^error\b|^\d{3} error|^http \d{3}|^(?:4|5)\d\d\b|our engineers have been notified|something went wrong",
+    r"not found|could not be found|couldn't be found|page (?:you (?:asked|are looking) for|no longer exists|is gone|has moved)|may have (?:been )?moved|moved or been removed|was withdrawn|its address is wrong|object moved|moved permanently|down for maintenance|under maintenance|scheduled maintenance|back at \d|try again (?:in|later)",
+    r"access (?:is )?denied|forbidden|permission to (?:view|access)|not authori[sz]ed|unauthori[sz]ed|not available in your (?:country|region)|unavailable in your (?:country|region)|too many requests|rate limit|limit of (?:pages|articles)|reached (?:your|the) limit|subscribe (?:or|to (?:read|continue))|subscribers? only|log ?in to|sign in|session (?:has |is )?(?:expired|timed out)|register to read",
+    r"we use cookies|accept all|manage (?:choices|cookies|preferences)|cookie (?:settings|preferences|policy)|make a choice before|consent (?:to|before)|privacy choices",
+    r"are you a (?:robot|human)|not a robot|unusual traffic|complete the (?:puzzle|captcha|check)|captcha|verify (?:that )?you are|checking (?:that )?your (?:connection|browser)|connection is secure|just a moment|ddos protection|security check",
+    r"(?:enable|turn on|activate|allow|requires?|needs?) (?:javascript|scripts?|cookies)|javascript (?:is )?(?:disabled|off|required)|scripting is off|scripts? to run|noscript|blocked them|how to allow scripts|enable it|reload this page|browser (?:has|settings|is not supported)",
+    r"javascript aktivieren|aktivieren sie javascript|seite (?:wurde )?nicht gefunden|zugriff verweigert|cookies? (?:akzeptieren|zulassen)|sitzung (?:ist )?abgelaufen|activer javascript|activez javascript|page introuvable|acc[eè]s refus[eé]|session (?:a )?expir[eé]|(?:active|activar|habilite) javascript|p[aá]gina no encontrada|acceso denegado|sesi[oó]n (?:ha )?(?:caducado|expirado)",
+)
+NOTICE = regex.compile("|".join(f"(?:{p})" for p in NOTICES), regex.I)
+#: A page of more words than this is an article, whatever it talks about.
+PAGE_WORDS = 60
+#: The share of a page's sentences that are notices, from which it is one.
+NOTICE_SHARE = 0.5
+#: A short page whose template comes back on so many sites is no article.
+PAGE_SITES = 3
+#: A slot is left blank if at least so many records share its template and this share of them fill it.
+SLOT_RECORDS, SLOT_SHARE = 8, 0.9
+
+_SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
+_TOKEN = regex.compile(r"\S+")
+_WORD = regex.compile(r"[\p{L}]+")
+_SLOT = "\x00"
+
+
+def placeholders(text: str) -> list[str]:
+    """The unfilled slots of a text; those in quotes or back-ticks are talked about, not left."""
+    found = []
+    for m in PLACEHOLDER.finditer(text):
+        if not (m.start() and text[m.start() - 1] in QUOTES):
+            found.append(m.group())
+    return found
+
+
+def template(sentence: str) -> tuple[str, int]:
+    """(the sentence's words less its fillings, the number of its slots)."""
+    masked = PLACEHOLDER.sub(_SLOT, sentence)
+    words, slots, last = [], 0, False
+    for k, token in enumerate(_TOKEN.findall(masked)):
+        filled = _SLOT in token or any(c.isdigit() for c in token) or "://" in token or ".example" in token or (k > 0 and token.strip("(\"'“")[:1].isupper())
+        if filled:
+            slots += not last
+        else:
+            words.extend(w.lower() for w in _WORD.findall(token))
+        last = filled
+    return " ".join(words), slots
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def examine(title: str | None, text: str | None) -> tuple[str | None, int | None, list[dict]]:
+    """(reason or None, hash of the page's template if it is a short page, the sentences' templates)."""
+    title, text = title or "", text or ""
+    sentences = [s for s in _SENTENCE.split(text) if s.strip()]
+    for part in (title, text):
+        if placeholders(part):
+            return "slot", None, []
+    words = len(_WORD.findall(text))
+    page = None
+    if words <= PAGE_WORDS:
+        if sentences:
+            notices = [bool(NOTICE.search(s.strip())) for s in sentences]
+            if sum(notices) >= NOTICE_SHARE * len(notices):
+                return "notice", None, []
+            page = _hash(" ".join(template(s)[0] for s in sentences))
+        else:  # the title of an empty page: what stands before the site's name
+            head = regex.split(r"\s+[|–—]\s+", title.strip())[0]
+            if len(_WORD.findall(head)) <= 6 and NOTICE.search(head):
+                return "notice", None, []
+    if title and len(_WORD.findall(title)) <= 6 and NOTICE.search(title) and words <= PAGE_WORDS:
+        return "notice", None, []
+    # The last sentence may be cut off, which is no blank slot.
+    whole = [s for s in sentences if s.rstrip()[-1:] in ".!?"]
+    lines = [{"template": _hash(t), "slots": n} for t, n in map(template, whole) if t]
+    return None, page, lines
+
+
+_LINE = pa.struct([("template", pa.int64()), ("slots", pa.int64())])
+_SCHEMA = "article_id bigint, site string, reason string, page bigint, lines array<struct<template: bigint, slots: bigint>>"
+
+
+def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        out = [examine(a, b) for a, b in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        arrays = [batch.column("article_id"), batch.column("site"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(_LINE))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["article_id", "site", "reason", "page", "lines"])
+
+
+def residue(articles: DataFrame) -> DataFrame:
+    """(article_id, reason) of the rows that are no finished article; reason is 'slot', 'blank', 'notice' or 'page'.
+
+    ``articles`` needs article_id, site, title and text; other columns are ignored.  A row whose text is
+    only null or empty is none unless its title is a notice or has a slot.  Null sites count as one site.
+    Repeated rows are judged each.  Only hashes of templates are shuffled, combined before the shuffle."""
+    seen = materialize(articles.select("article_id", "site", "title", "text").mapInArrow(_batches, _SCHEMA))
+    direct = seen.where("reason is not null").select("article_id", "reason")
+    rest = seen.where("reason is null")
+    pages = rest.where("page is not null").select("page", F.coalesce("site", F.lit("")).alias("site"), "article_id")
+    templates = pages.groupBy("page").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= PAGE_SITES)
+    page = pages.join(templates, "page", "left_semi").select("article_id", F.lit("page").alias("reason"))
+    # Whole sentences by template and number of slots: combined first, so a hot template is few rows.
+    lines = rest.select("article_id", F.explode("lines").alias("l")).select("article_id", "l.*")
+    counts = lines.groupBy("template", "slots").count()
+    stats = counts.groupBy("template").agg(F.sum("count").alias("n"), F.max(F.struct("count", "slots")).alias("usual"))
+    blanks = stats.where((F.col("n") >= SLOT_RECORDS) & (F.col("usual.count") >= SLOT_SHARE * F.col("n")) & (F.col("usual.slots") > 0)).select("template", F.col("usual.slots").alias("usual"))
+    blank = lines.join(blanks, "template").where("slots = 0").select("article_id", F.lit("blank").alias("reason"))
+    return direct.unionByName(page).unionByName(blank).groupBy("article_id").agg(F.min("reason").alias("reason"))
