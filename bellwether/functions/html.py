@@ -116,10 +116,9 @@ def clean(source: str | None) -> str | None:
     return text.strip()
 
 
-@F.pandas_udf("string")
 def _clean_batch(bodies: pd.Series) -> pd.Series:
     return bodies.map(clean, na_action="ignore")
 
 
 def clean_html(body: Column) -> Column:
-    return _clean_batch(body)
+    return F.pandas_udf(_clean_batch, "string")(body)

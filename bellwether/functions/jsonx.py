@@ -11,7 +11,6 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _DECODER = json.JSONDecoder()
 
@@ -129,17 +128,17 @@ def validate(text: str | None) -> dict:
     return {"valid": False, "reason": reason}
 
 
-PREDICTION = T.StructType.fromDDL("valid boolean, reason string, chain_of_thought string, direction int, price double, p_up double, p_down double, p_unchanged double")
+PREDICTION = "valid boolean, reason string, chain_of_thought string, direction int, price double, p_up double, p_down double, p_unchanged double"
+_FIELDS = [f.split()[0] for f in PREDICTION.split(", ")]
 
 
-@F.pandas_udf(PREDICTION)
 def _validate_batch(answers: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([validate(a) for a in answers], columns=PREDICTION.names).astype({"direction": "Int32"})
+    return pd.DataFrame([validate(a) for a in answers], columns=_FIELDS).astype({"direction": "Int32"})
 
 
 def validated(answer: Column) -> Column:
     """(valid, reason, chain_of_thought, direction, price, p_up, p_down, p_unchanged) of an answer."""
-    return _validate_batch(answer)
+    return F.pandas_udf(_validate_batch, PREDICTION)(answer)
 
 
 def _compact(value) -> str:
