@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def simplify_name(name: Column) -> Column:
 def strip_endings(name: Column) -> Column:
     """A company name without the literal endings; a name may lose several."""
     for ending in ENDINGS:
-        name = F.when(F.endswith(name, F.lit(ending)), F.substring(name, F.lit(1), F.length(name) - len(ending))).otherwise(name)
+        name = F.regexp_replace(name, re.escape(ending) + "$", "")
     return F.trim(name)
 
 
