@@ -10,6 +10,7 @@ copy, refusal, language, truncated prose."""
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -56,8 +57,8 @@ _VOTES: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in _words.split():
         _VOTES.setdefault(_w, []).append(_lang)
-_WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
-_SENTENCES = regex.compile(r"(?<=[.!?])\s+|\n+")
+_WORDS = re.compile(r"[^\W_]+").findall
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 _FENCE = regex.compile(r"^\s*(```+|~~~+)[ \t]*[\w-]*[ \t]*\n?")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}--[\n\t\r]]", regex.V1)
 

@@ -9,6 +9,7 @@ whose template comes back on several sites is an error page, as is one that cons
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,7 +50,7 @@ NOTICES = (
     r"(?:enable|turn on|activate|allow|requires?|needs?) (?:javascript|scripts?|cookies)|javascript (?:is )?(?:disabled|off|required)|scripting is off|scripts? to run|noscript|blocked them|how to allow scripts|enable it|reload this page|browser (?:has|settings|is not supported)",
     r"javascript aktivieren|aktivieren sie javascript|seite (?:wurde )?nicht gefunden|zugriff verweigert|cookies? (?:akzeptieren|zulassen)|sitzung (?:ist )?abgelaufen|activer javascript|activez javascript|page introuvable|acc[eè]s refus[eé]|session (?:a )?expir[eé]|(?:active|activar|habilite) javascript|p[aá]gina no encontrada|acceso denegado|sesi[oó]n (?:ha )?(?:caducado|expirado)",
 )
-NOTICE = regex.compile("|".join(f"(?:{p})" for p in NOTICES), regex.I)
+NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.I)
 #: A page of more words than this is an article, whatever it talks about.
 PAGE_WORDS = 60
 #: The share of a page's sentences that are notices, from which it is one.
@@ -59,32 +60,41 @@ PAGE_SITES = 3
 #: A slot is left blank if at least so many records share its template and this share of them fill it.
 SLOT_RECORDS, SLOT_SHARE = 8, 0.9
 
-_SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
-_TOKEN = regex.compile(r"\S+")
-_WORD = regex.compile(r"[\p{L}]+")
+#: A text without any of these has no placeholder.
+_MARKS = re.compile(r"[{}<>\[\]$%#@_]|XXXX|TK ")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"[0-9]")
+_AROUND = ".,;:!?()[]\"'“”‘’«»"
 _SLOT = "\x00"
 
 
 def placeholders(text: str) -> list[str]:
     """The unfilled slots of a text; those in quotes or back-ticks are talked about, not left."""
-    found = []
-    for m in PLACEHOLDER.finditer(text):
-        if not (m.start() and text[m.start() - 1] in QUOTES):
-            found.append(m.group())
-    return found
+    if not _MARKS.search(text):
+        return []
+    return [m.group() for m in PLACEHOLDER.finditer(text) if not (m.start() and text[m.start() - 1] in QUOTES)]
 
 
 def template(sentence: str) -> tuple[str, int]:
-    """(the sentence's words less its fillings, the number of its slots)."""
-    masked = PLACEHOLDER.sub(_SLOT, sentence)
-    words, slots, last = [], 0, False
-    for k, token in enumerate(_TOKEN.findall(masked)):
-        filled = _SLOT in token or any(c.isdigit() for c in token) or "://" in token or ".example" in token or (k > 0 and token.strip("(\"'“")[:1].isupper())
-        if filled:
+    """(the sentence's words less its fillings, the number of its slots).
+
+    Fillings are numbers, placeholders, addresses and names (capitals after the first word); side by
+    side they are one slot."""
+    masked = PLACEHOLDER.sub(_SLOT, sentence) if _MARKS.search(sentence) else sentence
+    words: list[str] = []
+    slots, last = 0, False
+    for k, token in enumerate(masked.split()):
+        bare = token.strip(_AROUND)
+        if bare.islower() and bare.isalpha():
+            words.append(bare)
+            last = False
+        elif _SLOT in token or not token.isascii() and any(map(str.isdigit, token)) or _DIGIT.search(token) or "://" in token or ".example" in token or (k and bare[:1].isupper()):
             slots += not last
+            last = True
         else:
-            words.extend(w.lower() for w in _WORD.findall(token))
-        last = filled
+            words.extend(_WORD.findall(bare.lower()))
+            last = False
     return " ".join(words), slots
 
 
@@ -99,7 +109,7 @@ def examine(title: str | None, text: str | None) -> tuple[str | None, int | None
     for part in (title, text):
         if placeholders(part):
             return "slot", None, []
-    words = len(_WORD.findall(text))
+    words = len(text.split())
     page = None
     if words <= PAGE_WORDS:
         if sentences:
@@ -108,10 +118,10 @@ def examine(title: str | None, text: str | None) -> tuple[str | None, int | None
                 return "notice", None, []
             page = _hash(" ".join(template(s)[0] for s in sentences))
         else:  # the title of an empty page: what stands before the site's name
-            head = regex.split(r"\s+[|–—]\s+", title.strip())[0]
-            if len(_WORD.findall(head)) <= 6 and NOTICE.search(head):
+            head = re.split(r"\s+[|–—]\s+", title.strip())[0]
+            if len(head.split()) <= 6 and NOTICE.search(head):
                 return "notice", None, []
-    if title and len(_WORD.findall(title)) <= 6 and NOTICE.search(title) and words <= PAGE_WORDS:
+    if title and words <= PAGE_WORDS and len(title.split()) <= 6 and NOTICE.search(title):
         return "notice", None, []
     # The last sentence may be cut off, which is no blank slot.
     whole = [s for s in sentences if s.rstrip()[-1:] in ".!?"]
