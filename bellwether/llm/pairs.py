@@ -48,8 +48,8 @@ STOPWORDS = {
 COPY_SHARE, COPY_RUN, COPY_PROMPT = 0.85, 4, 0.5
 #: A refusal has at most so many words, and refuses within so many of its first sentences.
 REFUSAL_WORDS, REFUSAL_SENTENCES = 90, 3
-#: Another language needs so many stop words, and this share of all votes.
-LANGUAGE_VOTES, LANGUAGE_SHARE = 4, 0.6
+#: A language needs so many votes; where it isn't the prompt's, that one has at most this share of them.
+LANGUAGE_VOTES, LANGUAGE_SHARE = 3, 0.65
 #: What stands for no content.
 NOTHING = {"", "null", "none", "n a", "na", "nan", "nil", "undefined", "empty", "json", "no answer", "no content", "no output", "tbd"}
 
@@ -220,21 +220,26 @@ def take_apart(text: str | None) -> tuple[str | None, str, bool]:
 
 
 def votes(text: str) -> Counter:
+    """Stop words by language; a word of several languages votes for each in part."""
     counts: Counter = Counter()
     for w in _WORDS(text.lower()):
-        for lang in _VOTES.get(w, ()):
-            counts[lang] += 1
+        langs = _VOTES.get(w, ())
+        for lang in langs:
+            counts[lang] += 1 / len(langs)
     return counts
 
 
 def language(text: str) -> str | None:
-    """The language most stop words vote for, if it is clear."""
+    """The language most stop words vote for, if there are enough."""
+    lang, n = max(votes(text).items(), key=lambda x: x[1], default=(None, 0))
+    return lang if n >= LANGUAGE_VOTES else None
+
+
+def foreign(text: str, expected: str) -> bool:
+    """Whether another language has enough votes, and clearly more than the expected one."""
     counts = votes(text)
-    if not counts:
-        return None
-    (lang, n), *_ = counts.most_common(1)
-    second = max((m for k, m in counts.items() if k != lang), default=0)
-    return lang if n >= LANGUAGE_VOTES and n >= LANGUAGE_SHARE * (n + second) else None
+    lang, n = max(counts.items(), key=lambda x: x[1], default=(expected, 0))
+    return lang != expected and n >= LANGUAGE_VOTES and counts[expected] <= LANGUAGE_SHARE * n
 
 
 def refuses(prose: str) -> bool:
@@ -253,8 +258,7 @@ def defect(prose: str, prompt_words: list[str], automaton: SuffixAutomaton | Non
             return "copy"
     if refuses(prose):
         return "refusal"
-    spoken = language(prose)
-    if prompt_language and spoken and spoken != prompt_language:
+    if prompt_language and foreign(prose, prompt_language):
         return "language"
     return None
 
