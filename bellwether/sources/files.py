@@ -23,7 +23,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """One row per file: ``file_name`` and its whole ``text``."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value").alias("text"))
 
 
