@@ -18,7 +18,7 @@ from bellwether.llm.encode import VOCABULARY, encode
 from bellwether.session import materialize
 
 #: Containers' worth of tokens in a window, on average.
-BINS = 512
+BINS = 4096
 
 
 def best_fill(room: int, left: dict[int, int]) -> dict[int, int]:
