@@ -33,8 +33,11 @@ def newest(df: DataFrame, by: str, date: str, tie: str, n: int) -> DataFrame:
 def name_grams(text: Column, longest: int = 3) -> Column:
     """All runs of one to ``longest`` words of a text, lower case: what a name is met by in an equi-join."""
     w = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}&.' -]", " ")), r"\s+"), lambda x: x != "")
-    runs = [F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i, k=k: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)]
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(k: int) -> Column:
+        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*(runs(k) for k in range(1, longest + 1))))
 
 
 def cascade(hits: DataFrame, key: str, wanted: int) -> DataFrame:

@@ -273,7 +273,18 @@ SELECT doc_id, CAST(k - 1 AS INT) AS pos, out[k] AS paragraph FROM (SELECT doc_i
     "q_dedup_keep_last": "SELECT url, article_id, score FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ingested_at DESC NULLS LAST, article_id DESC) AS rn FROM hacker_news_articles WHERE url IS NOT NULL) WHERE rn = 1",
     "q_topk_news": f"WITH {_ART}, f AS (SELECT symbol, url, min(article_id) AS article_id, min_by(publish_date, article_id) AS publish_date FROM arts WHERE symbol IS NOT NULL GROUP BY symbol, url) SELECT symbol, article_id, publish_date FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY coalesce(publish_date, '') DESC, article_id DESC) AS rn FROM f) WHERE rn <= 20",
     "q_news_search": f"WITH {_ART} SELECT article_id, publish_date, title FROM arts WHERE lower(title) LIKE '%covenant package%' AND publish_date >= '2021-01-01' AND publish_date < '2024-01-01' ORDER BY publish_date DESC, article_id DESC LIMIT 50",
-    "q_news_cascade": "",
+    "q_news_cascade": rf"""WITH {_ART}, reg AS (SELECT cik_str, {_SYM} AS symbol, lower({_simplified('title')}) AS name FROM company_registry WHERE ticker IS NOT NULL AND title IS NOT NULL AND length({_SYM}) >= 3),
+g AS (SELECT article_id, url, symbol, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(title, '[^\p{{L}}\p{{N}}&.'' -]', ' ', 'g')), '\s+'), lambda w: w <> ''), ' ') || ' ' AS words FROM arts),
+rivals AS (SELECT r.symbol, o.name FROM reg r JOIN (SELECT cik_str % 40 AS g, min(name) AS name FROM reg GROUP BY 1) o ON r.cik_str % 40 = o.g),
+hits AS (
+  SELECT reg.symbol, 1 AS tier, g.url, g.article_id FROM g JOIN reg ON contains(g.words, ' ' || reg.name || ' ')
+  UNION ALL SELECT reg.symbol, 2, a.url, a.article_id FROM arts a JOIN (SELECT DISTINCT symbol FROM reg) reg ON a.symbol = reg.symbol
+  UNION ALL SELECT rivals.symbol, 3, g.url, g.article_id FROM g JOIN rivals ON contains(g.words, ' ' || rivals.name || ' ')),
+once AS (SELECT symbol, url, tier, article_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, url ORDER BY tier, article_id) AS rn FROM hits) WHERE rn = 1),
+sizes AS (SELECT symbol, count(*) FILTER (tier = 1) AS n1, count(*) FILTER (tier = 2) AS n2 FROM once GROUP BY symbol),
+used AS (SELECT o.* FROM once o JOIN sizes s ON o.symbol = s.symbol WHERE tier = 1 OR (tier = 2 AND n1 < 5) OR (tier = 3 AND n1 + CASE WHEN n1 < 5 THEN n2 ELSE 0 END < 3)),
+ranked AS (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY tier, article_id) AS INT) AS rank, tier, article_id, url FROM used)
+SELECT symbol, rank, tier, article_id, url FROM ranked WHERE rank <= 10""",
     "q_group_mode": "SELECT site, ticker FROM (SELECT site, ticker, row_number() OVER (PARTITION BY site ORDER BY n DESC, f) AS rn FROM (SELECT site, ticker, count(*) AS n, min(article_id) AS f FROM hacker_news_articles WHERE ticker IS NOT NULL GROUP BY site, ticker)) WHERE rn = 1",
     "q_anti_resume": "SELECT record_id, file_name FROM company_docs c WHERE NOT EXISTS (SELECT 1 FROM raw_company_docs r WHERE r.file_name = c.file_name)",
     "q_symbol_counts": "SELECT ticker, count(*) AS n, CAST(grouping(ticker) AS INT) AS is_total FROM price_bars GROUP BY ROLLUP (ticker)",

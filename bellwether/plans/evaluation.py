@@ -239,4 +239,21 @@ SQL = {
 g AS (SELECT model, ticker, as_of, count(*) AS n, count(*) FILTER (ok) AS n_ok, bool_or(ok) AS any_ok FROM r GROUP BY ALL)
 SELECT model, CAST(sum(n) AS BIGINT) AS n_answers, CAST(sum(n_ok) AS BIGINT) AS n_valid, count(*) AS n_groups, count(*) FILTER (NOT any_ok) AS n_failed_groups FROM g GROUP BY model""",
 }
+
+
+def _object(c: str) -> str:
+    """The object of an answer: JSON, JSON in a string, or what lies between the outermost braces."""
+    inner = f"json_extract_string({c}, '$')"
+    braces = f"regexp_extract({c}, '(?s)\\{{.*\\}}', 0)"
+    return f"CASE WHEN json_valid({c}) THEN CASE WHEN json_type({c}) = 'VARCHAR' AND json_valid({inner}) THEN {inner} ELSE {c} END WHEN json_valid({braces}) THEN {braces} END"
+
+
+_PAIR = f"""WITH {BARS}, p AS (SELECT pair_id, translate(upper(ticker), '_ .', '---') AS symbol, CAST(strptime(pair_date, '%Y%m%d') AS DATE) AS t, {_object('output1')} AS j1, {_object('output2')} AS j2 FROM rl_pairs WHERE input IS NOT NULL AND output1 IS NOT NULL AND output2 IS NOT NULL),
+q AS (SELECT pair_id, symbol, t, {', '.join(f"TRY_CAST(json_extract_string(j{i}, '$.output.next_day_direction') AS BIGINT) AS d{i}, TRY_CAST(json_extract_string(j{i}, '$.output.next_day_closing_price') AS DOUBLE) AS c{i}" for i in (1, 2))} FROM p),
+r AS (SELECT k.symbol, k.t, b.d, b.close, row_number() OVER (PARTITION BY k.symbol, k.t ORDER BY b.d) AS rn FROM (SELECT DISTINCT symbol, t FROM p) k JOIN bars b ON k.symbol = b.symbol AND b.d >= k.t AND b.d < k.t + 10),
+lab AS (SELECT x.symbol, x.t, y.close AS actual, CASE WHEN y.close = x.close THEN 0 WHEN y.close > x.close THEN 1 WHEN y.close < x.close THEN -1 END AS dir FROM r x JOIN r y ON x.symbol = y.symbol AND x.t = y.t AND x.rn = 1 AND y.rn = 2),
+v AS (SELECT q.*, lab.actual, {', '.join(f"(d{i} IS NOT NULL AND c{i} IS NOT NULL) AS v{i}, coalesce(d{i} = dir AND c{i} IS NOT NULL, FALSE) AS r{i}, CASE WHEN d{i} IS NOT NULL THEN abs((c{i} - actual) / nullif(actual, 0)) END AS e{i}" for i in (1, 2))} FROM q JOIN lab ON q.symbol = lab.symbol AND q.t = lab.t),
+w AS (SELECT *, CASE WHEN NOT v1 AND NOT v2 THEN 0 WHEN v1 AND NOT v2 THEN 1 WHEN v2 AND NOT v1 THEN 2 WHEN r1 AND NOT r2 THEN 1 WHEN r2 AND NOT r1 THEN 2 WHEN e1 < e2 THEN 1 ELSE 2 END AS winner FROM v)
+SELECT pair_id, symbol, t, winner, actual AS actual_close, CASE WHEN winner = 1 THEN e1 ELSE e2 END AS winner_error FROM w WHERE winner > 0"""
+SQL["q_preference_pairs"] = _PAIR
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}

@@ -77,8 +77,41 @@ found AS (
     + " THEN 'spike' END AS kind FROM q)\n"
 )
 
+
+
+def _opened(x: str) -> str:
+    """JSON, or what it holds if it is JSON text in a string."""
+    inner = f"json_extract_string({x}, '$')"
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({inner}) AND json_type({inner}) IN ('OBJECT', 'ARRAY') THEN CAST({inner} AS JSON) ELSE {x} END"
+
+
+def _elements(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+_LENGTHS = ", ".join(f"coalesce(json_array_length(json_extract(sd, '$.{c}')), 0)" for c in ("open", "high", "low", "close", "volume"))
+_REPORTED = "(json_extract(r, '$.paragraphs') IS NULL OR json_type(json_extract(r, '$.paragraphs')) = 'NULL') AND json_extract(r, '$.report') IS NOT NULL AND json_type(json_extract(r, '$.report')) <> 'NULL'"
+_P7 = f"""
+WITH d0 AS (SELECT raw_id, CAST(payload AS JSON) AS j FROM raw_company_docs WHERE json_valid(payload)),
+d AS (SELECT raw_id, j FROM (SELECT raw_id, {_opened('j')} AS j FROM d0) WHERE json_type(j) = 'OBJECT'),
+n AS (SELECT raw_id, {_opened('s')} AS sd, {_opened('k')} AS tenk, {_opened('e')} AS eight, {_opened('a')} AS arts FROM (
+  SELECT raw_id, coalesce(json_extract(j, '$.stock_data'), json_extract(j, '$.past_stock_data')) AS s, json_extract(j, '$.latest_10k') AS k, json_extract(j, '$.eight_k_reports') AS e, json_extract(j, '$.hacker_news_articles') AS a FROM d)),
+bars AS (SELECT raw_id, 'bar' AS child_kind, 0 AS parent_pos, unnest(generate_series(1, CAST(greatest({_LENGTHS}) AS BIGINT))) - 1 AS child_pos FROM n WHERE json_type(sd) = 'OBJECT'),
+reports AS (
+  SELECT raw_id, 'tenk_paragraph' AS kind, 0 AS pos, tenk AS r FROM n WHERE json_type(tenk) = 'OBJECT'
+  UNION ALL SELECT raw_id, 'eight_k_paragraph', i - 1, {_opened('l[i]')} FROM (SELECT raw_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT raw_id, {_elements('eight')} AS l FROM n))),
+lists AS (SELECT raw_id, kind, pos, {_REPORTED} AS whole, {_opened("json_extract(r, '$.paragraphs')")} AS ps FROM reports WHERE json_type(r) = 'OBJECT'),
+paras AS (
+  SELECT raw_id, kind, pos, 0 AS place FROM lists WHERE whole
+  UNION ALL SELECT raw_id, kind, pos, i - 1 FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM (SELECT *, {_elements('ps')} AS l FROM lists WHERE NOT whole)) WHERE json_type(l[i]) <> 'NULL'),
+arts AS (SELECT raw_id, i - 1 AS pos FROM (SELECT raw_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT raw_id, {_elements('arts')} AS l FROM n)) WHERE json_type(l[i]) <> 'NULL')
+SELECT raw_id, child_kind, CAST(parent_pos AS BIGINT) AS parent_pos, CAST(child_pos AS BIGINT) AS child_pos FROM (
+  SELECT * FROM bars UNION ALL SELECT raw_id, kind, pos, place FROM paras UNION ALL SELECT raw_id, 'article', 0, pos FROM arts
+  UNION ALL SELECT raw_id, 'eight_k', 0, pos FROM reports WHERE kind = 'eight_k_paragraph' AND json_type(r) <> 'NULL')"""
+
 QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p6_normal_moves, p7_found, p7_bars, p7_paragraphs, p7_articles)}
 SQL = {
+    "p7_found": _P7,
     "p6_found": _P6_FOUND + "SELECT record_id, series, pos, kind FROM found WHERE kind IS NOT NULL",
     "p6_rates": _P6_FOUND + "SELECT ticker, kind, count(*) AS n_readings FROM found WHERE kind IS NOT NULL GROUP BY ticker, kind",
     "p6_normal_moves": _P6 + "SELECT ticker, scale FROM m",
