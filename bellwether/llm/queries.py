@@ -93,7 +93,38 @@ WITH l AS (SELECT filing_id, ticker, filing_date, paragraphs, unnest(generate_se
 k AS (SELECT filing_id, ticker, filing_date, i, paragraphs[i] AS p, regexp_replace(trim(regexp_replace(lower(paragraphs[i]), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g') AS line FROM l),
 often AS (SELECT ticker, line FROM k WHERE line <> '' AND ticker IS NOT NULL GROUP BY ticker, line HAVING count(DISTINCT filing_id) >= 5)
 """
+_ELEMENTS = """
+WITH paras AS (SELECT record_id, unnest(list_concat(coalesce(latest_10k.paragraphs, []), coalesce(latest_10q.paragraphs, []))) AS p FROM company_docs),
+w AS (SELECT record_id, regexp_extract_all(lower(p), '[a-z0-9]+') AS w FROM paras WHERE p IS NOT NULL),
+g AS (SELECT record_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN generate_series(1, len(w) - 2)]) AS e FROM w WHERE len(w) >= 3),
+b AS (SELECT record_id, stock_data.close[i] AS c, stock_data.volume[i] AS v FROM (SELECT record_id, stock_data, unnest(generate_series(1, len(stock_data.volume))) AS i FROM company_docs)),
+e AS (SELECT DISTINCT record_id, e FROM (SELECT * FROM g UNION ALL SELECT record_id, '=' || coalesce(CAST(c AS VARCHAR), '') || '|' || CAST(v AS VARCHAR) FROM b WHERE v IS NOT NULL)),
+n AS (SELECT record_id, count(*) AS n FROM e GROUP BY record_id),
+s AS (SELECT a.record_id AS a, b.record_id AS b, count(*) AS k FROM e a JOIN e b ON a.e = b.e AND a.record_id < b.record_id GROUP BY 1, 2)
+SELECT a AS record_id_a, b AS record_id_b FROM s JOIN n x ON s.a = x.record_id JOIN n y ON s.b = y.record_id WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9"""
+
+
+def _same_form_sql(c: str) -> str:
+    """The character table as SQL: ignorables, blanks, joined forms, then one character for another."""
+    one, many = {}, {}
+    for code in (*range(0x80, 0x530), *range(0x531, 0x58A), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)):
+        form = lookalike.table_form(chr(code))
+        if form != chr(code) and form:
+            (one if len(form) == 1 else many)[chr(code)] = form
+    c = rf"regexp_replace(regexp_replace({c}, '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}]', '', 'g'), '[\p{{Zs}}\t]', ' ', 'g')"
+    for x, y in many.items():
+        c = f"replace({c}, '{x}', '{y}')"
+    quoted = lambda cs: "".join(cs).replace("'", "''")
+    return f"nfc_normalize(translate(nfc_normalize({c}), '{quoted(one)}', '{quoted(one.values())}'))"
+
+
 SQL = {
+    "p1_found": _ELEMENTS,
+    "p5_lines": _LINES
+    + """, seq AS (SELECT filing_id, string_agg(CASE WHEN line <> '' THEN md5(line) ELSE '-' END, ',' ORDER BY i) AS seq FROM k GROUP BY filing_id)
+SELECT k.ticker, md5(k.line) AS key, count(DISTINCT k.filing_id) AS n_filings, count(DISTINCT seq.seq) AS n_clusters, count(DISTINCT k.filing_date) AS n_dates
+FROM k JOIN often USING (ticker, line) JOIN seq USING (filing_id) GROUP BY k.ticker, md5(k.line)""",
+    "p10_found": f"WITH t AS (SELECT doc_id, text, {_same_form_sql('text')} AS k FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.k = b.k AND a.text <> b.text AND a.doc_id < b.doc_id",
     "p5_found": _LINES + "SELECT filing_id, CAST(i - 1 AS BIGINT) AS pos FROM k JOIN often USING (ticker, line)",
     "p5_cleaned": _LINES
     + """SELECT f.filing_id, CASE WHEN f.paragraphs IS NULL THEN NULL ELSE coalesce(c.paragraphs, []) END AS paragraphs FROM filings f LEFT JOIN (
