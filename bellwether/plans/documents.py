@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bellwether.functions import html, text, tickers
 from bellwether.operators import bars, documents, filings, news, ranking
 from bellwether.operators.asof import keep_last
-from bellwether.plans.market import BARS, KEYS, _keys
+from bellwether.plans.market import _STATEMENTS, BARS, KEYS, _keys
 from bellwether.session import table
 
 #: The token limit of the budget queries.
@@ -242,10 +242,10 @@ act AS (
   SELECT record_id, 0 AS lv, 0 AS sec, 0 AS rep, -place AS back, whole AS cost FROM art WHERE score = 0
   UNION ALL SELECT record_id, CASE WHEN score = 1 THEN 1 ELSE 3 END, 0, 0, place, body FROM art WHERE score IN (1, 2, 3)
   UNION ALL SELECT record_id, CASE WHEN score = 0 THEN 2 ELSE 3 + score END, sec, rep, -k, cost FROM ranked WHERE score BETWEEN 0 AND 9),
-run AS (SELECT a.record_id, t.total, a.cost, t.total - coalesce(sum(a.cost) OVER (PARTITION BY a.record_id ORDER BY lv, sec, rep, back ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM act a JOIN total t ON a.record_id = t.record_id)
-SELECT t.record_id, CAST(t.total AS INT) AS total, CAST(t.total - coalesce(sum(r.cost) FILTER (r.before > {LIMIT}), 0) AS INT) AS final, CAST(count(*) FILTER (r.before > {LIMIT}) AS INT) AS n_applied,
-  t.total - coalesce(sum(r.cost) FILTER (r.before > {LIMIT}), 0) > {LIMIT} AS minimal
-FROM total t LEFT JOIN run r ON t.record_id = r.record_id GROUP BY t.record_id, t.total"""
+run AS (SELECT a.record_id, a.lv, a.sec, t.total, a.cost, t.total - coalesce(sum(a.cost) OVER (PARTITION BY a.record_id ORDER BY lv, sec, rep, back ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM act a JOIN total t ON a.record_id = t.record_id),
+done AS (SELECT t.record_id, t.total, t.total - coalesce(sum(r.cost) FILTER (r.before > {LIMIT}), 0) AS final, count(*) FILTER (r.before > {LIMIT}) AS n_applied,
+  count(*) FILTER (r.before > {LIMIT} AND lv = 0) AS news, count(*) FILTER (r.before > {LIMIT} AND (lv = 2 OR lv > 3) AND sec = 0) AS s0, count(*) FILTER (r.before > {LIMIT} AND (lv = 2 OR lv > 3) AND sec = 1) AS s1
+  FROM total t LEFT JOIN run r ON t.record_id = r.record_id GROUP BY t.record_id, t.total)"""
 
 SQL = {
     "q_paragraphs": rf"""WITH RECURSIVE raw AS (SELECT doc_id, list_filter([regexp_replace(p, '^{_BL}+|{_BL}+$', '', 'g') FOR p IN regexp_split_to_array(text, '\n\n+')], lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
@@ -262,8 +262,12 @@ SELECT doc_id, CAST(k - 1 AS INT) AS pos, out[k] AS paragraph FROM (SELECT doc_i
     "q_volume_humanized": f"WITH {BARS} SELECT symbol, CASE WHEN sum(volume) IS NULL THEN 'N/A' ELSE CAST(CAST(sum(volume) / 1e9 AS DECIMAL(18,2)) AS VARCHAR) || 'B' END AS volume FROM bars GROUP BY symbol",
     "q_task_explode": f"WITH {_TASKS} SELECT * FROM tasks",
     "q_regroup": f"WITH {_TASKS} SELECT record_id, section, report, CAST(count(*) AS INT) AS n, string_agg(CASE WHEN place % 4 = 3 THEN '-1' ELSE coalesce(nullif(regexp_extract(text, '([0-3])', 1), ''), '-1') END, ',' ORDER BY place) AS scores, md5(string_agg(text, '|' ORDER BY place)) AS texts FROM tasks GROUP BY record_id, section, report",
-    "q_budget_filter": _BUDGET,
-    "q_budget_documents": "",
+    "q_budget_filter": f"{_BUDGET} SELECT record_id, CAST(total AS INT) AS total, CAST(final AS INT) AS final, CAST(n_applied AS INT) AS n_applied, final > {LIMIT} AS minimal FROM done",
+    "q_budget_documents": f"""{_BUDGET} SELECT d.record_id, CAST(final AS INT) AS total, CAST((SELECT count(*) FROM sc WHERE sc.record_id = d.record_id AND sec = 0) - s0 AS INT) AS n_latest_10k,
+  CAST((SELECT count(*) FROM sc WHERE sc.record_id = d.record_id AND sec = 1) - s1 AS INT) AS n_latest_10q, CAST(len(list_filter(coalesce(c.hacker_news_articles, []), lambda a: a IS NOT NULL)) - news AS INT) AS n_articles
+FROM done d JOIN company_docs c ON d.record_id = c.record_id WHERE final <= {LIMIT}""",
+    "q_html_clean": r"""SELECT filing_id, trim('CIK | $' || CASE WHEN coalesce(cik, '') = '' THEN ' | %' ELSE ' ' || cik || '%' END || chr(10) || chr(10) ||
+  coalesce(array_to_string(list_filter([regexp_replace(regexp_replace(p, ' +', ' ', 'g'), ' +$', '') FOR p IN paragraphs], lambda x: regexp_replace(x, '\s+', '', 'g') <> ''), chr(10) || chr(10)), ''), ' ' || chr(10) || chr(9)) AS body FROM filings""",
     "q_finalize": r"""SELECT record_id, md5(CASE WHEN latest_10k IS NOT NULL AND latest_10k.paragraphs IS NOT NULL THEN coalesce(array_to_string(list_filter(latest_10k.paragraphs, lambda p: p IS NOT NULL), chr(10) || chr(10)), '') END) AS r10k,
   md5(CASE WHEN latest_10q IS NOT NULL AND latest_10q.paragraphs IS NOT NULL THEN coalesce(array_to_string(list_filter(latest_10q.paragraphs, lambda p: p IS NOT NULL), chr(10) || chr(10)), '') END) AS r10q,
   CASE WHEN eight_k_reports IS NOT NULL THEN coalesce(array_to_string([md5(CASE WHEN r.paragraphs IS NOT NULL THEN coalesce(array_to_string(list_filter(r.paragraphs, lambda p: p IS NOT NULL), chr(10) || chr(10)), '') END) FOR r IN eight_k_reports], ','), '') END AS r8k,
@@ -294,7 +298,14 @@ SELECT symbol, rank, tier, article_id, url FROM ranked WHERE rank <= 10""",
     "q_length_batches": "SELECT response_id, CAST(coalesce(length(prompt), 0) AS INT) AS n, (row_number() OVER (ORDER BY coalesce(length(prompt), 0), response_id) - 1) // 32 AS chunk FROM reasoning_responses",
     "q_scan_status": "SELECT CASE WHEN greatest(" + ", ".join(f"coalesce(len(stock_data.{c}), 0)" for c in bars.SERIES) + ") > 0 OR latest_10k IS NOT NULL THEN 'successful' ELSE 'failed' END AS status, count(*) AS count FROM company_docs GROUP BY 1",
     "q_checkpoint_grid": f"WITH {BARS}, g AS (SELECT CAST(t AS DATE) AS t FROM (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2025-12-31', INTERVAL 90 DAY)) AS t)) SELECT g.t, symbol, count(*) AS n_bars FROM g JOIN bars ON d < g.t AND d >= g.t - 365 GROUP BY g.t, symbol",
-    "q_company_document": "",
+    "q_company_document": f"""WITH {_STATEMENTS}, {KEYS}, {BARS}, {_ART},
+a AS (SELECT keys.symbol, keys.t, k.k_date, k.k_accession FROM keys ASOF LEFT JOIN k ON keys.symbol = k.symbol AND keys.t > k.k_date),
+b AS (SELECT a.*, CASE WHEN k_date IS NULL OR q.q_date > k_date THEN q.q_date END AS q_date, CASE WHEN k_date IS NULL OR q.q_date > k_date THEN q.q_accession END AS q_accession FROM a ASOF LEFT JOIN q ON a.symbol = q.symbol AND a.t > q.q_date),
+c AS (SELECT keys.symbol, keys.t, least(count(x.close), 256) AS n_close, least(count(x.volume), 256) AS n_volume FROM keys LEFT JOIN bars x ON keys.symbol = x.symbol AND x.d >= keys.t - 365 AND x.d < keys.t GROUP BY keys.symbol, keys.t),
+eights AS (SELECT b.symbol, b.t, count(*) AS n FROM b JOIN filed f ON b.symbol = f.symbol AND f.form = '8-K' AND f.filed < b.t AND f.filed > coalesce(b.q_date, b.k_date) WHERE b.k_date IS NOT NULL GROUP BY b.symbol, b.t),
+w AS (SELECT keys.symbol, keys.t, count(*) AS n FROM keys JOIN arts n ON keys.symbol = n.symbol AND TRY_CAST(n.publish_date AS DATE) BETWEEN keys.t - 365 AND keys.t GROUP BY keys.symbol, keys.t),
+r AS (SELECT {_SYM} AS symbol, min_by(title, cik_str) AS title FROM company_registry WHERE ticker IS NOT NULL GROUP BY 1)
+SELECT b.symbol, b.t, r.title AS company_name, CAST(n_close AS INT) AS n_close, CAST(n_volume AS INT) AS n_volume, k_accession, q_accession, CAST(least(coalesce(e.n, 0), 10) AS INT) AS n_eight_k, least(coalesce(w.n, 0), 20) AS n_news
+FROM b JOIN c ON b.symbol = c.symbol AND b.t = c.t LEFT JOIN eights e ON b.symbol = e.symbol AND b.t = e.t LEFT JOIN w ON b.symbol = w.symbol AND b.t = w.t LEFT JOIN r ON b.symbol = r.symbol""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}

@@ -107,8 +107,7 @@ def q_preference_pairs(spark, d):
 
 def q_dpo_dataset(spark, d):
     out = preference.preference_pairs(_pairs(spark, d), _labels(spark, d))
-    metrics = F.struct("actual_close", "winner_error").alias("metrics")
-    return out.select("input", "timeseries", F.col("symbol").alias("ticker"), F.date_format("t", "yyyyMMdd").alias("date"), metrics, "chosen", "rejected")
+    return out.select("input", F.coalesce(F.size("timeseries"), F.lit(0)).alias("n_series"), F.col("symbol").alias("ticker"), F.date_format("t", "yyyyMMdd").alias("date"), "actual_close", "winner_error", "chosen", "rejected")
 
 
 def q_json_salvage(spark, d):
@@ -143,7 +142,7 @@ def q_sft_dataset(spark, d):
     x = asof.asof_backward(r, latest, "symbol", "t", "doc_date").where("doc_date is not null").withColumn("series", series).where("size(series) > 0")
     note = F.array_join(F.transform("series", lambda x: F.format_string("%s: Min: %.4f, Max: %.4f <ts><ts/>", x["name"], F.array_min(x["v"]), F.array_max(x["v"]))), "\n")
     answer = F.when(F.col("chain_of_thought").isNotNull(), F.concat("chain_of_thought", F.lit("\n\nFinal Prediction: "), F.coalesce("output", F.lit("")))).otherwise(F.col("output"))
-    return x.select("response_id", F.concat_ws("\n\n", "prompt", note).alias("input"), answer.alias("output"), F.transform("series", lambda x: x["v"].cast("array<float>")).alias("timeseries"))
+    return x.select("response_id", F.concat_ws("\n\n", "prompt", note).alias("input"), answer.alias("output"), F.array_join(F.transform("series", lambda x: F.size(x["v"]).cast("string")), ",").alias("series_sizes"))
 
 
 _PRED = r"""preds AS (
@@ -256,4 +255,12 @@ v AS (SELECT q.*, lab.actual, {', '.join(f"(d{i} IS NOT NULL AND c{i} IS NOT NUL
 w AS (SELECT *, CASE WHEN NOT v1 AND NOT v2 THEN 0 WHEN v1 AND NOT v2 THEN 1 WHEN v2 AND NOT v1 THEN 2 WHEN r1 AND NOT r2 THEN 1 WHEN r2 AND NOT r1 THEN 2 WHEN e1 < e2 THEN 1 ELSE 2 END AS winner FROM v)
 SELECT pair_id, symbol, t, winner, actual AS actual_close, CASE WHEN winner = 1 THEN e1 ELSE e2 END AS winner_error FROM w WHERE winner > 0"""
 SQL["q_preference_pairs"] = _PAIR
+SQL["q_dpo_dataset"] = f"""SELECT p.input, CAST(coalesce(len(p.timeseries), 0) AS INT) AS n_series, f.symbol AS ticker, strftime(f.t, '%Y%m%d') AS date, f.actual_close, f.winner_error,
+  CASE WHEN winner = 1 THEN output1 ELSE output2 END AS chosen, CASE WHEN winner = 1 THEN output2 ELSE output1 END AS rejected FROM ({_PAIR}) f JOIN rl_pairs p ON f.pair_id = p.pair_id"""
+SQL["q_sft_dataset"] = """WITH docs AS (SELECT translate(upper(ticker), '_ .', '---') AS symbol, TRY_CAST(date_range."end" AS DATE) AS doc_date, arg_max(stock_data, record_id) AS s, max(record_id) AS last FROM (SELECT * FROM company_docs) WHERE ticker IS NOT NULL AND TRY_CAST(date_range."end" AS DATE) IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT d.symbol, d.doc_date, c.stock_data AS s FROM docs d JOIN company_docs c ON d.last = c.record_id),
+x AS (SELECT r.*, u.s FROM (SELECT response_id, translate(upper(ticker), '_ .', '---') AS symbol, as_of AS t, prompt, chain_of_thought, output FROM reasoning_responses) r ASOF JOIN u ON r.symbol = u.symbol AND r.t >= u.doc_date),
+y AS (SELECT *, list_filter([{'name': 'open', 'v': coalesce(s.open, [])}, {'name': 'high', 'v': coalesce(s.high, [])}, {'name': 'low', 'v': coalesce(s.low, [])}, {'name': 'close', 'v': coalesce(s.close, [])}, {'name': 'volume', 'v': coalesce(s.volume, [])}], lambda q: len(q.v) > 0) AS series FROM x)
+SELECT response_id, concat_ws(chr(10) || chr(10), prompt, array_to_string([q.name || ': Min: ' || printf('%.4f', list_min(q.v)) || ', Max: ' || printf('%.4f', list_max(q.v)) || ' <ts><ts/>' FOR q IN series], chr(10))) AS input,
+  CASE WHEN chain_of_thought IS NOT NULL THEN chain_of_thought || chr(10) || chr(10) || 'Final Prediction: ' || coalesce(output, '') ELSE output END AS output, array_to_string([CAST(len(q.v) AS VARCHAR) FOR q IN series], ',') AS series_sizes FROM y WHERE len(series) > 0"""
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
