@@ -26,6 +26,11 @@ from bellwether.session import materialize
 THRESHOLD = 0.6
 #: Sizes of a band lie within this factor.
 BAND = math.sqrt(0.6)
+#: Differences allotted beyond those needed, where the segments allow.
+EXTRA = 4
+#: How far an element of a segment thins out the sets that share the rest of it: 1 if elements were
+#: independent, 0 if each came with the others.
+THINNING = 1.0
 #: Words of the parity sketch, of 64 bits each.
 SKETCH = 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -117,32 +122,40 @@ def index_signatures(h: np.ndarray, df: np.ndarray, band: int, m: int) -> np.nda
     return np.concatenate([_signature(band, np.arange(m), content, False), _signature(band, seg, less, True)])
 
 
-def probe_signatures(h: np.ndarray, df: np.ndarray, band: int, m: int, need: int, total: int) -> np.ndarray:
-    """Of a set that asks, allotting at least ``need`` differences to the cheapest segments.
+def probe_signatures(h: np.ndarray, df: np.ndarray, band: int, m: int, need: int, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a set that asks: (signatures, weight of each, least weight that a similar set must meet).
 
-    The first difference of a segment costs the sets that have its rarest element, the second those that
-    have its second rarest; where there is none, all ``total`` sets."""
+    Differences are allotted to the cheapest segments: at least ``need``, and EXTRA more if the segments
+    allow.  A similar set differs by less than ``need``, so the segments it is met in weigh at least as
+    much as is allotted beyond that; a set met in one or two segments by chance is none.
+
+    A segment costs the sets expected to have it: those with its rarest element, thinned out by every
+    other element it holds; its second difference those with its second rarest, thinned out alike.  An
+    empty segment costs all ``total`` sets."""
     h, df, seg, starts = _segments(h, df, m)
     x = mix(h)
     content = np.zeros(m, np.uint64)
-    first = np.full(m, float(total))
-    second = np.full(m, 2.0 * total)
-    size = np.zeros(m, np.int64)
+    first = np.full(m, math.log(total + 1.0))
+    second = np.full(m, math.log(2.0 * total + 2.0))
     with np.errstate(over="ignore"):
         if len(h):
             content[seg[starts]] = np.add.reduceat(x, starts)
-            size[seg[starts]] = np.diff(np.r_[starts, len(h)])
-            first[seg[starts]] = df[starts]
-            two = starts[size[seg[starts]] > 1]
-            second[seg[two]] = df[two + 1]
+            size = np.diff(np.r_[starts, len(h)])
+            log = np.log(df)
+            thin = THINNING * (log - math.log(total + 1.0))
+            all_thin = np.add.reduceat(thin, starts)
+            first[seg[starts]] = log[starts] + all_thin - thin[starts]
+            two = size > 1
+            at = starts[two]
+            second[seg[at]] = np.maximum(log[at + 1] + all_thin[two] - thin[at] - thin[at + 1], first[seg[at]])
         less = content[seg] - x
-    cost = np.concatenate([first, second])
     # The second of a segment never costs less than its first; the stable sort keeps the first before it.
-    chosen = np.argsort(cost, kind="stable")[:need]
+    chosen = np.argsort(np.concatenate([first, second]), kind="stable")[: need + EXTRA]
     v = np.bincount(chosen % m, minlength=m)
     one, twice = np.flatnonzero(v >= 1), np.flatnonzero(v >= 2)
     inner = v[seg] >= 2
-    return np.concatenate([_signature(band, one, content[one], False), _signature(band, seg[inner], less[inner], False), _signature(band, twice, content[twice], True)])
+    sigs = np.concatenate([_signature(band, one, content[one], False), _signature(band, seg[inner], less[inner], False), _signature(band, twice, content[twice], True)])
+    return sigs, np.concatenate([v[one], np.full(int(inner.sum()), 2), np.full(len(twice), 2)]).astype(np.int32), len(chosen) - need + 1
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -151,7 +164,35 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _signatures(sets: DataFrame, threshold: float, probe: bool, total: int) -> DataFrame:
+def _index(sets: DataFrame, threshold: float) -> DataFrame:
+    """(sig, rid, size) of all sets that some set may be similar to."""
+
+    def of(bands: Bands, r: int, s: int, h: np.ndarray, df: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        if s - len(h) <= bands.difference(s, math.floor(s / threshold + 1e-9)):
+            band = band_of(s)
+            sig = index_signatures(h, df, band, bands.segments(band))
+            yield sig, np.full(len(sig), r), np.full(len(sig), s, np.int32)
+
+    return _each_set(sets, threshold, of, ("sig bigint", "rid bigint", "size int"))
+
+
+def _probe(sets: DataFrame, threshold: float, total: int) -> DataFrame:
+    """(sig, rid, size, weight, least) of all sets that may be similar to one of at most their size."""
+
+    def of(bands: Bands, r: int, s: int, h: np.ndarray, df: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for band, bound in bands.asked(s):
+            need = bound - (s - len(h)) + 1
+            if need >= 1:
+                sig, weight, least = probe_signatures(h, df, band, bands.segments(band), need, total)
+                yield sig, np.full(len(sig), r), np.full(len(sig), s, np.int32), weight, np.full(len(sig), least, np.int32)
+
+    return _each_set(sets, threshold, of, ("sig bigint", "rid bigint", "size int", "weight int", "least int"))
+
+
+def _each_set(sets: DataFrame, threshold: float, of, columns: tuple[str, ...]) -> DataFrame:
+    """The rows ``of`` gives for every set, in batches of bounded size."""
+    names = [c.split()[0] for c in columns]
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
         for batch in it:
@@ -161,34 +202,16 @@ def _signatures(sets: DataFrame, threshold: float, probe: bool, total: int) -> D
             offsets = offsets - offsets[0]
             h_all = flat.field("h").to_numpy(zero_copy_only=False).view(np.uint64)
             df_all = flat.field("n").to_numpy(zero_copy_only=False)
-            ids, sizes, sigs = [], [], []
+            made, rows = [], 0
             for i, (r, s) in enumerate(zip(rid, size, strict=True)):
-                h, df = h_all[offsets[i] : offsets[i + 1]], df_all[offsets[i] : offsets[i + 1]]
-                alone = s - len(h)
-                if probe:
-                    made = []
-                    for band, bound in bands.asked(s):
-                        need = bound - alone + 1
-                        if need >= 1:
-                            made.append(np.unique(probe_signatures(h, df, band, bands.segments(band), need, total)))
-                    sig = np.concatenate(made) if made else np.zeros(0, np.int64)
-                elif alone > bands.difference(s, math.floor(s / threshold + 1e-9)):
-                    continue  # no set can be similar to it
-                else:
-                    band = band_of(s)
-                    sig = index_signatures(h, df, band, bands.segments(band))
-                if len(sig):
-                    sigs.append(sig)
-                    ids.append(np.full(len(sig), r))
-                    sizes.append(np.full(len(sig), s, np.int32))
-                if sum(map(len, sigs)) > 500_000 or i == len(rid) - 1:
-                    if sigs:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes)], names=["sig", "rid", "size"])
-                    ids, sizes, sigs = [], [], []
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes)], names=["sig", "rid", "size"])
-
-    return sets.select("rid", "size", "shared").mapInArrow(batches, "sig bigint, rid bigint, size int")
+                for part in of(bands, r, s, h_all[offsets[i] : offsets[i + 1]], df_all[offsets[i] : offsets[i + 1]]):
+                    made.append(part)
+                    rows += len(part[0])
+                if made and (rows > 200_000 or i == len(rid) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=names)
+                    made, rows = [], 0
+
+    return sets.select("rid", "size", "shared").mapInArrow(batches, ", ".join(columns))
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
@@ -217,10 +240,11 @@ def similar_classes(docs: DataFrame, key: str, elements: Column, threshold: floa
     shared = each.join(often, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "n")).alias("shared"))
     # A set that shares no element is similar to none.
     sets = materialize(reps.select("rid", "size").join(shared, "rid"))
-    index = _signatures(sets, threshold, False, total)
-    probe = _signatures(sets, threshold, True, total)
+    index, probe = _index(sets, threshold), _probe(sets, threshold, total)
     met = probe.alias("p").join(index.alias("i"), "sig").where(f"p.rid <> i.rid AND i.size <= p.size AND i.size >= {threshold} * p.size - 1e-9")
-    candidates = met.select(F.least("p.rid", "i.rid").alias("rid_a"), F.greatest("p.rid", "i.rid").alias("rid_b")).distinct()
+    # A pair is met once in a segment at most, so its weights add up to those of the segments it is met in.
+    weighed = met.groupBy(F.col("p.rid").alias("p"), F.col("i.rid").alias("i")).agg(F.sum("weight").alias("weight"), F.max("least").alias("least")).where("weight >= least")
+    candidates = weighed.select(F.least("p", "i").alias("rid_a"), F.greatest("p", "i").alias("rid_b")).distinct()
     near = _sketches(reps)
     a = near.select(F.col("rid").alias("rid_a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
     b = near.select(F.col("rid").alias("rid_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
