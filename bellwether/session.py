@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,25 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=settings).getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once, wherever they run."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    _SHIPPED.add(sc.applicationId)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, f"{root.name}/{path.relative_to(root)}")
+    sc.addPyFile(put_shared(spark, f"{root.name}.zip", packed.getvalue()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, as a lazy scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
