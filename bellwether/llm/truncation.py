@@ -32,16 +32,21 @@ LABEL = r"\n\s*([-*•—–>#(]|https?://|[^.\n]{1,30}[:→])[^\n]{0,80}$"
 #: Words, numbers (with their points) and dates, and every other sign, of a lower-case text.
 TOKEN = r"\p{L}[\p{L}\p{M}]*|0(?:[.,\x{A0}\x{202F}]0)*|[^\s\p{L}0]"
 
+#: What a cut leaves behind, and what an end is told by, lies within so many last signs.
+END = 400
+
+_BODIES = """
+SELECT id, text, concat(left(text, greatest(length(text) - :end, 0)), regexp_replace(right(text, :end), :remains, '')) AS body FROM {texts} WHERE text RLIKE :content
+"""
 _TOKENS = """
-SELECT *, regexp_extract_all(regexp_replace(regexp_replace(lower(body), :date, '\\u0001'), '[0-9]+', '0'), :token, 0) AS t
-FROM (SELECT id, text, regexp_replace(text, :remains, '') AS body FROM {texts} WHERE text RLIKE :content)
+SELECT *, regexp_extract_all(regexp_replace(regexp_replace(lower(said), :date, '\\u0001'), '[0-9]+', '0'), :token, 0) AS t FROM {bodies}
 """
 _ENDS = """
 SELECT id, n, x, y, z, open_end, noted, label, broken, copy, closed AND pointed AS pointed, NOT closed AND NOT open_end AND n > 0 AS by_words
 FROM (
   SELECT id, size(t) AS n, coalesce(try_element_at(t, -1), '') AS z, coalesce(try_element_at(t, -2), '') AS y, coalesce(try_element_at(t, -3), '') AS x,
-    length(body) < length(rtrim(text)) AS noted, text RLIKE :broken AS broken, xxhash64(text) AS copy, body RLIKE :finished AS closed, body RLIKE :open AS open_end, body RLIKE :label AS label,
-    body RLIKE '[0-9][.]$' AND coalesce(try_element_at(t, -2), '') = '0' AS pointed
+    noted, broken, copy, said RLIKE :finished AS closed, said RLIKE :open AS open_end, said RLIKE :label AS label,
+    said RLIKE '[0-9][.]$' AND coalesce(try_element_at(t, -2), '') = '0' AS pointed
   FROM {tokens})
 """
 _INSIDE = """
@@ -82,9 +87,12 @@ def truncated(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     count once as an end.  Trigrams are combined before their shuffle, and shorter words' counts come from them.  An empty table gives none."""
     spark = texts.sparkSession
     rows = texts.select(F.struct(*keys).alias("id"), F.col(text).alias("text"))
-    tokens = spark.sql(_TOKENS, args={"date": "[0-9]{4}-[0-9]{2}-[0-9]{2}", "token": TOKEN, "remains": REMAINS, "content": r"[^\s\p{Cf}\p{Z}]"}, texts=rows)
-    ends = materialize(spark.sql(_ENDS, args={"finished": FINISHED, "open": OPEN_END, "label": LABEL, "broken": BROKEN}, tokens=tokens))
-    inside = materialize(spark.sql(_INSIDE, tokens=tokens))
+    bodies = spark.sql(_BODIES, args={"end": END, "remains": REMAINS, "content": r"[^\s\p{Cf}\p{Z}]"}, texts=rows)
+    words = {"date": "[0-9]{4}-[0-9]{2}-[0-9]{2}", "token": TOKEN}
+    # The end of a text is told by its last signs; how texts go on, by all they say.
+    tails = bodies.select("id", F.right("body", F.lit(END)).alias("said"), F.expr("length(body) < length(rtrim(text))").alias("noted"), F.right("text", F.lit(END)).rlike(BROKEN).alias("broken"), F.xxhash64("text").alias("copy"))
+    ends = materialize(spark.sql(_ENDS, args={"finished": FINISHED, "open": OPEN_END, "label": LABEL}, tokens=spark.sql(_TOKENS, args=words, bodies=tails)))
+    inside = materialize(spark.sql(_INSIDE, tokens=spark.sql(_TOKENS, args=words, bodies=bodies.select(F.col("body").alias("said")))))
     return spark.sql(_CUT, args={"evidence": EVIDENCE}, ends=ends, inside=inside)
 
 
