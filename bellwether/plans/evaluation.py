@@ -263,4 +263,27 @@ x AS (SELECT r.*, u.s FROM (SELECT response_id, translate(upper(ticker), '_ .',
 y AS (SELECT *, list_filter([{'name': 'open', 'v': coalesce(s.open, [])}, {'name': 'high', 'v': coalesce(s.high, [])}, {'name': 'low', 'v': coalesce(s.low, [])}, {'name': 'close', 'v': coalesce(s.close, [])}, {'name': 'volume', 'v': coalesce(s.volume, [])}], lambda q: len(q.v) > 0) AS series FROM x)
 SELECT response_id, concat_ws(chr(10) || chr(10), prompt, array_to_string([q.name || ': Min: ' || printf('%.4f', list_min(q.v)) || ', Max: ' || printf('%.4f', list_max(q.v)) || ' <ts><ts/>' FOR q IN series], chr(10))) AS input,
   CASE WHEN chain_of_thought IS NOT NULL THEN chain_of_thought || chr(10) || chr(10) || 'Final Prediction: ' || coalesce(output, '') ELSE output END AS output, array_to_string([CAST(len(q.v) AS VARCHAR) FOR q IN series], ',') AS series_sizes FROM y WHERE len(series) > 0"""
-QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
+#: Results of sums of floating-point numbers, given to six places: their last bits depend on the order.
+ROUNDED = {
+    "q_scored": ("p_up", "p_down", "brier", "rps", "ape", "intraday"),
+    **dict.fromkeys(("q_metrics_grouping_sets",), ("rps", "brier", "accuracy", "f1_weighted", "mcc", "rmse", "smape", "mdape")),
+    "q_direction_metrics": ("accuracy", "f1_weighted", "mcc"),
+    "q_model_report": ("value",),
+    **dict.fromkeys(("q_portfolio_sim", "q_baseline_brsf", "q_baseline_random", "q_risk_profiles", "q_risk_profile_means"), ("annual_return", "max_drawdown", "sharpe")),
+    "q_movement_metrics": ("accuracy", "f1"),
+    "q_movement_summary": ("accuracy_mean", "accuracy_std", "f1_mean", "f1_std"),
+    "q_preference_pairs": ("winner_error",),
+    "q_dpo_dataset": ("winner_error",),
+}
+
+
+def _rounded(f, columns: tuple[str, ...]):
+    def query(spark, d):
+        return f(spark, d).withColumns({c: F.round(c, 6) for c in columns})
+
+    return query
+
+
+for _name, _columns in ROUNDED.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _columns)}) FROM ({SQL[_name]})"
+QUERIES = {n: _rounded(f, ROUNDED[n]) if n in ROUNDED else f for n, f in list(globals().items()) if n.startswith("q_")}

@@ -22,7 +22,7 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_normal_moves(spark: SparkSession, d: str) -> DataFrame:
-    return normal_moves(long_series(table(spark, d, "company_docs")))
+    return normal_moves(long_series(table(spark, d, "company_docs"))).select("ticker", F.round("scale", 9).alias("scale"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,5 +114,5 @@ SQL = {
     "p7_found": _P7,
     "p6_found": _P6_FOUND + "SELECT record_id, series, pos, kind FROM found WHERE kind IS NOT NULL",
     "p6_rates": _P6_FOUND + "SELECT ticker, kind, count(*) AS n_readings FROM found WHERE kind IS NOT NULL GROUP BY ticker, kind",
-    "p6_normal_moves": _P6 + "SELECT ticker, scale FROM m",
+    "p6_normal_moves": _P6 + "SELECT ticker, round(scale, 9) AS scale FROM m",
 }
