@@ -61,7 +61,8 @@ def p5_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Each filing's paragraphs without the repeated ones."""
-    return lines.without_repeated(table(spark, d, "filings")).select("filing_id", "paragraphs")
+    cleaned = lines.without_repeated(table(spark, d, "filings"))
+    return cleaned.select("filing_id", F.size("paragraphs").alias("n_paragraphs"), F.array_join("paragraphs", "\n\n").alias("text"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +128,6 @@ FROM k JOIN often USING (ticker, line) JOIN seq USING (filing_id) GROUP BY k.tic
     "p10_found": f"WITH t AS (SELECT doc_id, text, {_same_form_sql('text')} AS k FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.k = b.k AND a.text <> b.text AND a.doc_id < b.doc_id",
     "p5_found": _LINES + "SELECT filing_id, CAST(i - 1 AS BIGINT) AS pos FROM k JOIN often USING (ticker, line)",
     "p5_cleaned": _LINES
-    + """SELECT f.filing_id, CASE WHEN f.paragraphs IS NULL THEN NULL ELSE coalesce(c.paragraphs, []) END AS paragraphs FROM filings f LEFT JOIN (
-  SELECT k.filing_id, list(k.p ORDER BY k.i) AS paragraphs FROM k LEFT JOIN often o ON k.ticker = o.ticker AND k.line = o.line WHERE o.line IS NULL GROUP BY k.filing_id) c ON f.filing_id = c.filing_id""",
+    + """SELECT f.filing_id, CASE WHEN f.paragraphs IS NOT NULL THEN CAST(coalesce(n, 0) AS INT) END AS n_paragraphs, CASE WHEN f.paragraphs IS NOT NULL THEN coalesce(c.text, '') END AS text FROM filings f LEFT JOIN (
+  SELECT k.filing_id, count(*) AS n, string_agg(k.p, chr(10) || chr(10) ORDER BY k.i) AS text FROM k LEFT JOIN often o ON k.ticker = o.ticker AND k.line = o.line WHERE o.line IS NULL GROUP BY k.filing_id) c ON f.filing_id = c.filing_id""",
 }
