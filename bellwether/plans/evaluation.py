@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bellwether.functions import jsonx, text
+from bellwether.functions import dates, jsonx, prompts, text
 from bellwether.functions.tickers import market_symbol
 from bellwether.operators import asof, backtest, bars, preference, scoring
-from bellwether.plans.market import ASKED, BARS
+from bellwether.plans import market
+from bellwether.plans.market import ASKED, BARS, NEWS
 from bellwether.session import table
 
 
@@ -138,11 +139,34 @@ def q_sft_dataset(spark, d):
     docs = table(spark, d, "company_docs").select("record_id", market_symbol(F.col("ticker")).alias("symbol"), F.col("date_range.end").try_cast("date").alias("doc_date"), F.col("stock_data").alias("s"))
     latest = asof.keep_last(docs.where("symbol is not null and doc_date is not null"), ["symbol", "doc_date"], ["record_id"])
     r = table(spark, d, "reasoning_responses").select("response_id", market_symbol(F.col("ticker")).alias("symbol"), F.col("as_of").alias("t"), "prompt", "chain_of_thought", "output")
-    series = F.filter(F.array(*(F.struct(F.lit(c).alias("name"), F.coalesce(F.col(f"s.{c}"), F.array().cast("array<double>")).alias("v")) for c in bars.SERIES)), lambda x: F.size(x["v"]) > 0)
-    x = asof.asof_backward(r, latest, "symbol", "t", "doc_date").where("doc_date is not null").withColumn("series", series).where("size(series) > 0")
-    note = F.array_join(F.transform("series", lambda x: F.format_string("%s: Min: %.4f, Max: %.4f <ts><ts/>", x["name"], F.array_min(x["v"]), F.array_max(x["v"]))), "\n")
-    answer = F.when(F.col("chain_of_thought").isNotNull(), F.concat("chain_of_thought", F.lit("\n\nFinal Prediction: "), F.coalesce("output", F.lit("")))).otherwise(F.col("output"))
-    return x.select("response_id", F.concat_ws("\n\n", "prompt", note).alias("input"), answer.alias("output"), F.array_join(F.transform("series", lambda x: F.size(x["v"]).cast("string")), ",").alias("series_sizes"))
+    x = asof.asof_backward(r, latest, "symbol", "t", "doc_date").where("doc_date is not null").withColumn("series", prompts.named_series({c: F.col(f"s.{c}") for c in bars.SERIES})).where("size(series) > 0")
+    text_in = F.concat_ws("\n\n", "prompt", prompts.series_notes(F.col("series")))
+    return x.select("response_id", text_in.alias("input"), prompts.answer_text(F.col("chain_of_thought"), F.col("output")).alias("output"), F.array_join(F.transform("series", lambda x: F.size(x["v"]).cast("string")), ",").alias("series_sizes"))
+
+
+#: The question put to a model of movements; the domain's own wording is the caller's.
+MOVEMENT = "{symbol} on {d}. News: {news}. Bars traded so far: {volume}. Closes so far: <ts><ts/>. RISE or FALL?"
+
+
+def q_movement_prompts(spark, d):
+    """A prompt for each bar with the last news and the closes up to it."""
+    b = _bars(spark, d)
+    known = asof.asof_backward(b.select("symbol", "d", "volume"), market._news(spark, d), "symbol", "d", "news_date")
+    closes = bars.trailing_closes(b).where("size(history) > 0").select("symbol", "d", F.size("history").alias("n_closes"))
+    filled = prompts.fill(MOVEMENT, symbol=F.col("symbol"), d=F.col("d"), news=F.col("news_title"), volume=text.humanize_billions(F.col("volume")))
+    return known.join(closes, ["symbol", "d"]).select("symbol", "d", "n_closes", filled.alias("prompt"))
+
+
+def q_asked_ranges(spark, d):
+    """The year before each document's day as a checked range."""
+    docs = table(spark, d, "company_docs")
+    r = dates.checked_range(F.col("date_range.start"), F.col("date_range.end"), F.lit("2024-06-01").cast("timestamp"))
+    return docs.select("record_id", r.alias("r")).select("record_id", "r.start", "r.end", "r.start_s", "r.end_s")
+
+
+def q_story_days(spark, d):
+    """The day each story was created, from times written in different ways."""
+    return table(spark, d, "hacker_news_articles").select("article_id", dates.story_day(F.col("created_at")).alias("day"))
 
 
 _PRED = r"""preds AS (
@@ -255,6 +279,12 @@ v AS (SELECT q.*, lab.actual, {', '.join(f"(d{i} IS NOT NULL AND c{i} IS NOT NUL
 w AS (SELECT *, CASE WHEN NOT v1 AND NOT v2 THEN 0 WHEN v1 AND NOT v2 THEN 1 WHEN v2 AND NOT v1 THEN 2 WHEN r1 AND NOT r2 THEN 1 WHEN r2 AND NOT r1 THEN 2 WHEN e1 < e2 THEN 1 ELSE 2 END AS winner FROM v)
 SELECT pair_id, symbol, t, winner, actual AS actual_close, CASE WHEN winner = 1 THEN e1 ELSE e2 END AS winner_error FROM w WHERE winner > 0"""
 SQL["q_preference_pairs"] = _PAIR
+SQL["q_movement_prompts"] = f"""WITH {BARS}, {NEWS}, h AS (SELECT symbol, d, volume, count(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS n FROM bars)
+SELECT h.symbol, h.d, CAST(h.n AS INT) AS n_closes, h.symbol || ' on ' || CAST(h.d AS VARCHAR) || '. News: ' || coalesce(n.news_title, '') || '. Bars traded so far: ' || coalesce(CAST(CAST(h.volume / 1e9 AS DECIMAL(18,2)) AS VARCHAR) || 'B', 'N/A') || '. Closes so far: <ts><ts/>. RISE or FALL?' AS prompt
+FROM h ASOF LEFT JOIN news n ON h.symbol = n.symbol AND h.d >= n.news_date WHERE h.n > 0"""
+SQL["q_asked_ranges"] = """WITH r AS (SELECT record_id, TRY_CAST(date_range.start AS DATE) AS a, TRY_CAST(date_range."end" AS DATE) AS b FROM company_docs)
+SELECT record_id, CASE WHEN a <= b THEN a END AS start, CASE WHEN a <= b THEN least(b, DATE '2024-06-01') END AS "end", CASE WHEN a <= b THEN CAST(epoch(a) AS BIGINT) END AS start_s, CASE WHEN a <= b THEN CAST(epoch(least(b, DATE '2024-06-01')) AS BIGINT) END AS end_s FROM r"""
+SQL["q_story_days"] = "SELECT article_id, coalesce(strftime(TRY_CAST(created_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d'), '') AS day FROM hacker_news_articles"
 SQL["q_dpo_dataset"] = f"""SELECT p.input, CAST(coalesce(len(p.timeseries), 0) AS INT) AS n_series, f.symbol AS ticker, strftime(f.t, '%Y%m%d') AS date, f.actual_close, f.winner_error,
   CASE WHEN winner = 1 THEN output1 ELSE output2 END AS chosen, CASE WHEN winner = 1 THEN output2 ELSE output1 END AS rejected FROM ({_PAIR}) f JOIN rl_pairs p ON f.pair_id = p.pair_id"""
 SQL["q_sft_dataset"] = """WITH docs AS (SELECT translate(upper(ticker), '_ .', '---') AS symbol, TRY_CAST(date_range."end" AS DATE) AS doc_date, arg_max(stock_data, record_id) AS s, max(record_id) AS last FROM (SELECT * FROM company_docs) WHERE ticker IS NOT NULL AND TRY_CAST(date_range."end" AS DATE) IS NOT NULL GROUP BY 1, 2),

@@ -56,6 +56,19 @@ def cik_candidates(texts: DataFrame, column: str = "text") -> DataFrame:
     return texts.select(F.explode(found).alias("cik")).select(F.lpad("cik", 10, "0").alias("cik")).groupBy("cik").agg(F.count("*").alias("n"))
 
 
+def cik_before(texts: DataFrame, target: str, key: str, column: str = "text") -> DataFrame:
+    """(``key``, cik) of search feeds: the CIK of the first entry filed before ``target``, else the one
+    named most (of ties the first), padded to ten digits."""
+    entries = F.regexp_extract_all(column, F.lit(r"(?s)<entry>(.*?)</entry>"), 1)
+    dated = F.filter(entries, lambda e: (F.regexp_extract(e, r"CIK=(\d+)", 1) != "") & (F.regexp_extract(e, r"<filing-date>\s*([\d-]+)", 1).try_cast("date") < F.lit(target).cast("date")))
+    named = F.regexp_extract_all(column, F.lit(r"CIK=(\d+)"), 1)
+    plain = F.nullif(F.regexp_extract(column, r"(?i)<cik>\s*(\d+)", 1), F.lit(""))
+    modal = F.reduce(F.array_distinct("named"), F.struct(F.lit(None).cast("string").alias("c"), F.lit(0).alias("n")), lambda s, c: F.when(F.size(F.filter("named", lambda x: x == c)) > s["n"], F.struct(c.alias("c"), F.size(F.filter("named", lambda x: x == c)).alias("n"))).otherwise(s), lambda s: s["c"])
+    rows = texts.select(key, named.alias("named"), F.regexp_extract(F.get(dated, 0), r"CIK=(\d+)", 1).alias("first"), plain.alias("plain"))
+    cik = F.coalesce(F.when(F.size(F.array_distinct("named")) > 1, F.col("first")), modal, F.col("plain"))
+    return rows.select(key, F.lpad(cik, 10, "0").alias("cik"))
+
+
 def html_tables(page: str) -> list[list[list[str]]]:
     """The tables of one page as rows of cell texts; for the few pages that hold reference tables."""
     strip = lambda x: " ".join(_TAG.sub(" ", x).split())

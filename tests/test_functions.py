@@ -1,7 +1,7 @@
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from bellwether.functions import html, jsonx, text, tickers
+from bellwether.functions import dates, html, jsonx, prompts, text, tickers
 
 
 def one(spark, column, **values):
@@ -91,3 +91,22 @@ def test_validation():
     assert jsonx.validate('{"chain_of_thought": "c", "output": ' + good.replace('"up": 1', '"up": "1"') + "}")["reason"] == "forecast.up"
     assert jsonx.validate(None) == {"valid": False, "reason": "no JSON"}
     assert jsonx.validate("[1]")["reason"] == "no object"
+
+
+def test_ranges_and_days(spark):
+    now = F.lit("2024-06-01").cast("timestamp")
+    r = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(dates.checked_range(F.col("a"), F.col("b"), now)).first()[0]
+    assert str(r("2024-01-01", "2024-12-31").end) == "2024-06-01" and r("2024-01-01", "2024-01-02").end_s - r("2024-01-01", "2024-01-02").start_s == 86400
+    assert r("2024-02-01", "2024-01-01") is None and r("x", "2024-01-01") is None and r(None, None) is None
+    assert one(spark, dates.story_day(F.col("t")), t="2024-01-02T23:30:00-02:00") == "2024-01-03"
+    assert one(spark, dates.story_day(F.col("t")), t="soon") == "" and one(spark, dates.story_day(F.col("t")), t=None) == ""
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([("A", None, [1.0, 2.5], [])], "a string, b string, x array<double>, y array<double>")
+    assert df.select(prompts.fill("{a}-{b}!", a=F.col("a"), b=F.col("b"))).first()[0] == "A-!"
+    s = df.select(prompts.named_series({"x": F.col("x"), "y": F.col("y")}).alias("s"))
+    assert s.select(prompts.series_notes(F.col("s"))).first()[0] == "x: Min: 1.0000, Max: 2.5000 <ts><ts/>"
+    assert df.select(prompts.answer_text(F.col("b"), F.col("a"))).first()[0] == "A"
+    out = prompts.with_model(df.select("a"), "a", lambda ps: [p.lower() for p in ps])
+    assert out.first().answer == "a"

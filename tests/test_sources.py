@@ -39,6 +39,13 @@ def test_registry_index_and_feed(spark):
     assert {r.cik: r.n for r in files.cik_candidates(feed).collect()} == {"0000000123": 2, "0000000009": 1}
 
 
+def test_cik_of_a_feed(spark):
+    entry = lambda cik, day: f"<entry><filing-date>{day}</filing-date><a href='?CIK={cik}'/></entry>"
+    feeds = [("late", entry(5, "2024-05-01") + entry(7, "2023-05-01") + entry(5, "2024-06-01")), ("none", entry(5, "2024-05-01") + entry(7, "2024-05-01") + entry(7, "2024-05-02")), ("plain", "<cik>12</cik>"), ("empty", "")]
+    got = {r.k: r.cik for r in files.cik_before(spark.createDataFrame(feeds, "k string, text string"), "2024-01-01", "k").collect()}
+    assert got == {"late": "0000000007", "none": "0000000007", "plain": "0000000012", "empty": None}
+
+
 def test_membership_page(spark):
     page = "<table><tr><th>Symbol</th></tr><tr><td>A</td></tr></table><table><tr><th>Date</th></tr><tr><td>March 1, 2024</td><td>B</td><td>Bee</td><td>C</td><td>Cee</td><td>why</td></tr></table>"
     current, changes = files.membership(spark, page)
