@@ -155,7 +155,7 @@ def probe_signatures(h: np.ndarray, df: np.ndarray, band: int, m: int, need: int
     one, twice = np.flatnonzero(v >= 1), np.flatnonzero(v >= 2)
     inner = v[seg] >= 2
     sigs = np.concatenate([_signature(band, one, content[one], False), _signature(band, seg[inner], less[inner], False), _signature(band, twice, content[twice], True)])
-    return sigs, np.concatenate([v[one], np.full(int(inner.sum()), 2), np.full(len(twice), 2)]).astype(np.int32), len(chosen) - need + 1
+    return sigs, np.concatenate([v[one], np.full(int(inner.sum()), 2), np.full(len(twice), 2)]).astype(np.int64), len(chosen) - need + 1
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -177,16 +177,17 @@ def _index(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _probe(sets: DataFrame, threshold: float, total: int) -> DataFrame:
-    """(sig, rid, size, weight, least) of all sets that may be similar to one of at most their size."""
+    """(sig, rid, note) of all sets that may be similar to one of at most their size; the note holds the
+    size, the weight and the least weight in one number (from the right: 8 bits each, then the size)."""
 
     def of(bands: Bands, r: int, s: int, h: np.ndarray, df: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         for band, bound in bands.asked(s):
             need = bound - (s - len(h)) + 1
             if need >= 1:
                 sig, weight, least = probe_signatures(h, df, band, bands.segments(band), need, total)
-                yield sig, np.full(len(sig), r), np.full(len(sig), s, np.int32), weight, np.full(len(sig), least, np.int32)
+                yield sig, np.full(len(sig), r), (s << 16) + (weight << 8) + least
 
-    return _each_set(sets, threshold, of, ("sig bigint", "rid bigint", "size int", "weight int", "least int"))
+    return _each_set(sets, threshold, of, ("sig bigint", "rid bigint", "note bigint"))
 
 
 def _each_set(sets: DataFrame, threshold: float, of, columns: tuple[str, ...]) -> DataFrame:
@@ -241,9 +242,9 @@ def similar_classes(docs: DataFrame, key: str, elements: Column, threshold: floa
     # A set that shares no element is similar to none.
     sets = materialize(reps.select("rid", "size").join(shared, "rid"))
     index, probe = _index(sets, threshold), _probe(sets, threshold, total)
-    met = probe.alias("p").join(index.alias("i"), "sig").where(f"p.rid <> i.rid AND i.size <= p.size AND i.size >= {threshold} * p.size - 1e-9")
+    met = probe.alias("p").join(index.alias("i"), "sig").where(f"p.rid <> i.rid AND i.size <= (p.note >> 16) AND i.size >= {threshold} * (p.note >> 16) - 1e-9")
     # A pair is met once in a segment at most, so its weights add up to those of the segments it is met in.
-    weighed = met.groupBy(F.col("p.rid").alias("p"), F.col("i.rid").alias("i")).agg(F.sum("weight").alias("weight"), F.max("least").alias("least")).where("weight >= least")
+    weighed = met.groupBy(F.col("p.rid").alias("p"), F.col("i.rid").alias("i")).agg(F.sum(F.expr("(note >> 8) & 255")).alias("weight"), F.max(F.expr("note & 255")).alias("least")).where("weight >= least")
     candidates = weighed.select(F.least("p", "i").alias("rid_a"), F.greatest("p", "i").alias("rid_b")).distinct()
     near = _sketches(reps)
     a = near.select(F.col("rid").alias("rid_a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
