@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -59,7 +61,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="bellwether-"))
+        own = named or tempfile.mkdtemp(prefix="bellwether-")
+        if not named:
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return named or sc.getCheckpointDir()
 
 
