@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bellwether.session import materialize
+from bellwether.session import BROADCAST_ROWS, materialize
 
 #: Records with a Jaccard similarity of at least THRESHOLD are near duplicates.
 THRESHOLD = 0.6
@@ -36,17 +36,29 @@ SKETCH = 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def record_elements(shingle: int = 3) -> Column:
-    """The distinct elements of a company document: runs of ``shingle`` words within a paragraph of
-    latest_10k or latest_10q, and pairs of close and volume at one position of stock_data."""
+def _record(shingle: int, run: str, bar: str, kind: str) -> Column:
     paragraphs = "concat(coalesce(latest_10k.paragraphs, array()), coalesce(latest_10q.paragraphs, array()))"
     words = "array(regexp_extract_all(lower(p), '[a-z0-9]+', 0))"
-    run = ", ".join(f"w[i + {k}]" for k in range(shingle))
-    runs = f"transform({words}, w -> CASE WHEN size(w) < {shingle} THEN CAST(array() AS array<string>) ELSE transform(sequence(0, size(w) - {shingle}), i -> concat_ws(' ', {run})) END)[0]"
-    bars = "transform(filter(coalesce(arrays_zip(stock_data.close, stock_data.volume), array()), b -> b.volume IS NOT NULL), b -> concat('=', coalesce(string(b.close + 0.0D), ''), '|', string(b.volume + 0.0D)))"
+    runs = f"transform({words}, w -> CASE WHEN size(w) < {shingle} THEN CAST(array() AS array<{kind}>) ELSE transform(sequence(0, size(w) - {shingle}), i -> {run}) END)[0]"
+    bars = f"transform(filter(coalesce(arrays_zip(stock_data.close, stock_data.volume), array()), b -> b.volume IS NOT NULL), b -> {bar})"
     return F.expr(f"array_distinct(concat(flatten(transform(filter({paragraphs}, p -> p IS NOT NULL), p -> {runs})), {bars}))")
 
 
+def _words(shingle: int) -> str:
+    return ", ".join(f"w[i + {k}]" for k in range(shingle))
+
+
+def record_elements(shingle: int = 3) -> Column:
+    """The distinct elements of a company document: runs of ``shingle`` words within a paragraph of
+    latest_10k or latest_10q, and pairs of close and volume at one position of stock_data."""
+    return _record(shingle, f"concat_ws(' ', {_words(shingle)})", "concat('=', coalesce(string(b.close + 0.0D), ''), '|', string(b.volume + 0.0D))", "string")
+
+
+def record_hashes(shingle: int = 3) -> Column:
+    """Hashes of the elements of ``record_elements``, without building their texts."""
+    return _record(shingle, f"xxhash64({_words(shingle)})", "xxhash64('=', b.close + 0.0D, b.volume + 0.0D)", "bigint")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
     with np.errstate(over="ignore"):
@@ -224,12 +236,12 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return sets.select("rid", "size", "hs").mapInArrow(batches, "rid bigint, size int, sketch array<bigint>")
 
 
-def similar_classes(docs: DataFrame, key: str, elements: Column, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, key: str, elements: Column, hashes: Column, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members as rid, key; pairs as rid_a, rid_b of different classes that are similar).
 
     Records with the same set of elements are one class, ``rid`` being the least of its keys.  Records
     without elements are in no class."""
-    hashed = docs.select(F.col(key).cast("bigint").alias("id"), F.array_sort(F.array_distinct(F.transform(elements, lambda e: F.xxhash64(e)))).alias("hs")).where("size(hs) > 0")
+    hashed = docs.select(F.col(key).cast("bigint").alias("id"), F.sort_array(F.array_distinct(hashes)).alias("hs")).where("size(hs) > 0")
     hashed = materialize(hashed.select("id", F.md5(F.array_join(F.col("hs").cast("array<string>"), ",")).alias("same"), "hs"))
     classes = hashed.groupBy("same").agg(F.min("id").alias("rid"))
     members = materialize(hashed.select("id", "same").join(classes, "same").select("rid", F.col("id").alias(key)))
@@ -253,9 +265,11 @@ def similar_classes(docs: DataFrame, key: str, elements: Column, threshold: floa
     bound = (1 - threshold) / (1 + threshold)
     likely = materialize(candidates.join(a, "rid_a").join(b, "rid_b").where(f"{apart} <= {bound} * (size_a + size_b) + 1e-9").select("rid_a", "rid_b"))
     # Verified on the elements themselves, read again for the few records that are left.
-    left = likely.select(F.col("rid_a").alias("rid")).union(likely.select("rid_b")).distinct()
-    text = docs.select(F.col(key).cast("bigint").alias("rid"), elements.alias("e")).join(left, "rid", "left_semi").dropDuplicates(["rid"])
-    text = materialize(text)
+    left = materialize(likely.select(F.col("rid_a").alias("rid")).union(likely.select("rid_b")).distinct())
+    if left.count() <= BROADCAST_ROWS:
+        left = F.broadcast(left)
+    some = docs.withColumn("rid", F.col(key).cast("bigint")).join(left, "rid", "left_semi")
+    text = materialize(some.select("rid", elements.alias("e")).dropDuplicates(["rid"]))
     both = likely.join(text.select(F.col("rid").alias("rid_a"), F.col("e").alias("ea")), "rid_a").join(text.select(F.col("rid").alias("rid_b"), F.col("e").alias("eb")), "rid_b")
     shared_n = both.select("rid_a", "rid_b", F.size(F.array_intersect("ea", "eb")).alias("n"), (F.size("ea") + F.size("eb")).alias("s"))
     return members, shared_n.where(f"n >= {threshold} * (s - n) - 1e-9").select("rid_a", "rid_b")
@@ -266,7 +280,9 @@ def near_duplicates(docs: DataFrame, key: str = "record_id", elements: Column |
 
     ``key`` is taken to be unique.  Records without elements (null or empty fields) are near nothing;
     null paragraphs have no words, a null volume no pair; equal sets are similar.  Only direct pairs."""
-    members, pairs = similar_classes(docs, key, record_elements() if elements is None else elements, threshold)
+    own = elements is not None
+    hashes = F.transform(elements, lambda e: F.xxhash64(e)) if own else record_hashes()
+    members, pairs = similar_classes(docs, key, elements if own else record_elements(), hashes, threshold)
     a = members.select(F.col("rid").alias("rid_a"), F.col(key).alias("a"))
     b = members.select(F.col("rid").alias("rid_b"), F.col(key).alias("b"))
     across = pairs.join(a, "rid_a").join(b, "rid_b").select("a", "b")
