@@ -83,7 +83,7 @@ def q_movement_summary(spark, d):
 
 
 def q_risk_profiles(spark, d):
-    return backtest.risk_profiles(_moves(spark, d).where("d >= DATE '2024-01-01' and d < DATE '2024-07-01'"))
+    return backtest.risk_profiles(_moves(spark, d))
 
 
 def q_risk_profile_means(spark, d):

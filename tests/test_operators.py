@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bellwether.operators import asof, backtest, bars, documents, filings, nested, news, preference, ranking, scoring, spikes, universe
 from bellwether.operators.quantile import exact_median
+from bellwether.plans import evaluation
 from bellwether.session import join_counted, materialize
 
 D = dt.date
@@ -214,6 +215,35 @@ def test_simulation_edges(spark):
     assert backtest.simulate(df.limit(0)).count() == 0
 
 
+def _risk_by_day(days, buy, sell):
+    cash, shares, path = 100_000.0, 0.0, [100_000.0]
+    for before, (_, close) in zip([None, *days], days):
+        if before and close > before[1]:
+            if cash > 1:
+                cash, shares = cash - cash * buy, shares + cash * buy / close
+        elif shares > 0:
+            cash, shares = cash + shares * sell * close, shares - shares * sell
+        path.append(cash + shares * close)
+    steps, top = np.diff(path) / path[:-1], np.maximum.accumulate(path)
+    annual = (path[-1] / path[0]) ** (365 / (days[-1][0] - days[0][0]).days) - 1
+    return [annual, ((top - path) / top).max(), steps.mean() / steps.std(ddof=1) * 252**0.5]
+
+
+def test_risk_profiles_of_all_days(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    spans = {"OLD": D(2020, 3, 2), "LONG": D(2023, 9, 1), "NEW": D(2025, 1, 6)}  # none, a part and none of the first half of 2024
+    series = {s: [(a + dt.timedelta(days=i), float(c)) for i, c in enumerate(np.round(50 * np.exp(np.cumsum(rng.normal(0, 0.03, 400 if s == "LONG" else 30))), 2))] for s, a in spans.items()}
+    rows = [(n, s, d, c) for n, (s, d, c) in enumerate((s, d, c) for s, days in series.items() for d, c in days)]
+    raw = spark.createDataFrame(rows, "bar_id bigint, ticker string, bar_date date, close_price double").withColumns({**{f"{k}_price": F.col("close_price") for k in ("open", "high", "low")}, "volume": F.lit(1).cast("bigint"), "stock_splits": F.lit(0.0), "fetched_at": F.lit("2025-10-01").cast("timestamp")})
+    raw.write.parquet(f"{tmp_path}/price_bars.parquet")
+    columns = ("annual_return", "max_drawdown", "sharpe")
+    got = {(r.profile, r.symbol): [r[c] for c in columns] for r in evaluation.QUERIES["q_risk_profiles"](spark, str(tmp_path)).collect()}
+    want = {(k, s): _risk_by_day(days, *o) for k, o in backtest.PROFILES.items() for s, days in series.items()}
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+    means = {r.profile: [r[c] for c in columns] for r in evaluation.QUERIES["q_risk_profile_means"](spark, str(tmp_path)).collect()}
+    assert means == {k: pytest.approx(np.mean([want[k, s] for s in series], axis=0).tolist(), abs=2e-6) for k in backtest.PROFILES}
+
+
 def test_exact_median(spark):
     rng = np.random.default_rng(1)
     data = {"a": rng.exponential(size=501), "b": rng.exponential(size=40), "c": np.zeros(6), "d": np.array([0.5, 0.5, 2.0, 2.0]), "e": np.array([3.0])}
