@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bellwether.session import materialize
+from bellwether.session import join_counted, materialize
 
 #: The marks of unfilled slots in common template languages, and default fillings.
 PLACEHOLDERS = (
@@ -60,13 +60,26 @@ PAGE_SITES = 3
 #: A slot is left blank if at least so many records share its template and this share of them fill it.
 SLOT_RECORDS, SLOT_SHARE = 8, 0.9
 
+#: A name is a default if so many different texts have it in a slot, in which at least SLOT_RECORDS others
+#: vary, none coming back more than a fifth as often and at least half of them being different.
+DEFAULT_TEXTS, DEFAULT_TIMES, DEFAULT_VARY = 5, 5, 0.5
+
 #: A text without any of these has no placeholder.
 _MARKS = re.compile(r"[{}<>\[\]$%#@_]|XXXX|TK ")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 _AROUND = ".,;:!?()[]\"'“”‘’«»"
-_SLOT = "\x00"
+_SLOT, _OWN = "\x00", "\x01"
+#: Tags of HTML are no fillings; other bracketed words are, unless quoted.
+_HTML = re.compile(r"</?(?:a|abbr|b|blockquote|br|cite|code|div|em|h[1-6]|i|img|li|mark|ol|p|pre|q|s|small|span|strong|sub|sup|table|td|tr|u|ul)(?:\s[^<>]*)?/?>", re.I)
+_GROUP = re.compile(rf"(^|[^{QUOTES}])(\[[^\[\]\n]{{1,60}}\]|\{{[^{{}}\n]{{0,60}}\}}|<[^<>\n]{{1,60}}>)")
+#: The words that variables and default fillings are named by; two of them are such a name.
+_NAMING = "your|insert|company|firm|ticker|symbol|date|city|country|location|author|reporter|editor|person|first|last|full|name|title|headline|number|amount|price|value|percent|percentage|currency|here|placeholder|variable|field|text|sample|default"
+_LABEL = re.compile(rf"\b(?:{_NAMING})(?:[ _-](?:{_NAMING}))+\b|\b(?:COMPANY|NAME|DATE|CITY|AMOUNT|NUMBER|TITLE|TICKER)\b|\b(?:Company|Your|Insert|First|City|Person|Author|Ticker)(?: (?:Name|Company|Here|Symbol))+\b")
+#: Marked or joined words; cash tags, hash tags and at-names are ordinary.
+_IDENTIFIER = re.compile(r"[{}<>|\\^~]|%%|[^\W_]_[^\W_]|^__?[^\W\d]|^%[^\W\d]+%?$|^[a-z]{3,}[A-Z][a-z]{2,}")
+_MAIL = re.compile(r"\w@\w|^[@#]")
 
 
 def placeholders(text: str) -> list[str]:
@@ -76,26 +89,60 @@ def placeholders(text: str) -> list[str]:
     return [m.group() for m in PLACEHOLDER.finditer(text) if not (m.start() and text[m.start() - 1] in QUOTES)]
 
 
-def template(sentence: str) -> tuple[str, int]:
-    """(the sentence's words less its fillings, the number of its slots).
+def template(sentence: str) -> tuple[list[str], list[tuple[int, str, str]]]:
+    """(the sentence's words less its fillings, its fillings as (gap, kind, text)).
 
-    Fillings are numbers, placeholders, addresses and names (capitals after the first word); side by
-    side they are one slot."""
-    masked = PLACEHOLDER.sub(_SLOT, sentence) if _MARKS.search(sentence) else sentence
+    Fillings are numbers, placeholders, addresses, names (capitals after the first word) and whatever looks
+    like a variable's name; side by side and of one kind they are one.  The gap is the number of words
+    before; the kind is 'number', 'name', or 'own' for what looks like a variable's name."""
+    if _MARKS.search(sentence):
+        sentence = PLACEHOLDER.sub(_SLOT, sentence)
+        sentence = _GROUP.sub(lambda m: m.group(1) + _OWN + "_".join(m.group(2).split()), _HTML.sub(" ", sentence))
+    sentence = _LABEL.sub(lambda m: _OWN + "_".join(m.group().split()), sentence)
     words: list[str] = []
-    slots, last = 0, False
-    for k, token in enumerate(masked.split()):
+    fillings: list[tuple[int, str, str]] = []
+    for k, token in enumerate(sentence.split()):
         bare = token.strip(_AROUND)
         if bare.islower() and bare.isalpha():
             words.append(bare)
-            last = False
-        elif _SLOT in token or not token.isascii() and any(map(str.isdigit, token)) or _DIGIT.search(token) or "://" in token or ".example" in token or (k and bare[:1].isupper()):
-            slots += not last
-            last = True
+            continue
+        if _OWN in token or _IDENTIFIER.search(bare) and "/" not in bare and not _MAIL.search(bare):
+            kind = "own" if token[0] not in QUOTES else "name"
+        elif not token.isascii() and any(map(str.isdigit, token)) or _DIGIT.search(token):
+            kind = "number"
+        elif _SLOT in token or "://" in token or ".example" in token or (k and bare[:1].isupper()):
+            kind = "name"
         else:
             words.extend(_WORD.findall(bare.lower()))
-            last = False
-    return " ".join(words), slots
+            continue
+        last = fillings[-1] if fillings else None
+        if last and last[:2] == (len(words), kind):
+            fillings[-1] = (*last[:2], f"{last[2]} {bare}")
+        else:
+            fillings.append((len(words), kind, bare))
+    return words, fillings
+
+
+def _lines(sentences: list[str], title: str, text: str) -> list[dict]:
+    """The whole sentences' templates with their slots' fillings.
+
+    A sentence that begins with a name or a variable's name has a second template, in which that is a slot
+    ('head').  Fillings that the row has elsewhere too are what it is about: they have no hash."""
+    out = []
+    for sentence in sentences:
+        words, fillings = template(sentence)
+        gaps = sorted({f[0] for f in fillings})
+        own = sorted({f[0] for f in fillings if f[1] == "own"})
+        names = [(gap, name) for gap, kind, name in fillings if kind == "name" and _SLOT not in name]
+        if words:
+            named = [{"gap": gap, "name": _hash(name.lower())} for gap, name in names if text.count(name) < 2 and name not in title]
+            out.append({"template": _hash(" ".join(words)), "slots": len(gaps), "gaps": gaps, "own": own, "names": named, "head": False})
+        head = sentence.split()[0].strip(_AROUND)
+        if 0 in own and words:
+            out.append({"template": _hash("\x00 " + " ".join(words)), "slots": 1, "gaps": [0], "own": [0], "names": [], "head": True})
+        elif head[:1].isupper() and len(words) > 1 and 0 not in gaps:
+            out.append({"template": _hash("\x00 " + " ".join(words[len(_WORD.findall(head)) :])), "slots": 1, "gaps": [0], "own": [], "names": [], "head": True})
+    return out
 
 
 def _hash(text: str) -> int:
@@ -116,7 +163,7 @@ def examine(title: str | None, text: str | None) -> tuple[str | None, int | None
             notices = [bool(NOTICE.search(s.strip())) for s in sentences]
             if sum(notices) >= NOTICE_SHARE * len(notices):
                 return "notice", None, []
-            page = _hash(" ".join(template(s)[0] for s in sentences))
+            page = _hash(" ".join(" ".join(template(s)[0]) for s in sentences))
         else:  # the title of an empty page: what stands before the site's name
             head = re.split(r"\s+[|–—]\s+", title.strip())[0]
             if len(head.split()) <= 6 and NOTICE.search(head):
@@ -125,19 +172,19 @@ def examine(title: str | None, text: str | None) -> tuple[str | None, int | None
         return "notice", None, []
     # The last sentence may be cut off, which is no blank slot.
     whole = [s for s in sentences if s.rstrip()[-1:] in ".!?"]
-    lines = [{"template": _hash(t), "slots": n} for t, n in map(template, whole) if t]
-    return None, page, lines
+    return None, page, _lines(whole, title, text)
 
 
-_LINE = pa.struct([("template", pa.int64()), ("slots", pa.int64())])
-_SCHEMA = "article_id bigint, site string, reason string, page bigint, lines array<struct<template: bigint, slots: bigint>>"
+_LINE = pa.struct([("template", pa.int64()), ("slots", pa.int64()), ("gaps", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("names", pa.list_(pa.struct([("gap", pa.int64()), ("name", pa.int64())]))), ("head", pa.bool_())])
+_SCHEMA = "article_id bigint, site string, reason string, page bigint, copy bigint, lines array<struct<template: bigint, slots: bigint, gaps: array<bigint>, own: array<bigint>, names: array<struct<gap: bigint, name: bigint>>, head: boolean>>"
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         out = [examine(a, b) for a, b in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        arrays = [batch.column("article_id"), batch.column("site"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(_LINE))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["article_id", "site", "reason", "page", "lines"])
+        copies = [_hash(t or "") for t in batch.column("text").to_pylist()]
+        arrays = [batch.column("article_id"), batch.column("site"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array(copies, pa.int64()), pa.array([o[2] for o in out], pa.list_(_LINE))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["article_id", "site", "reason", "page", "copy", "lines"])
 
 
 def residue(articles: DataFrame) -> DataFrame:
@@ -153,9 +200,35 @@ def residue(articles: DataFrame) -> DataFrame:
     templates = pages.groupBy("page").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= PAGE_SITES)
     page = pages.join(templates, "page", "left_semi").select("article_id", F.lit("page").alias("reason"))
     # Whole sentences by template and number of slots: combined first, so a hot template is few rows.
-    lines = rest.select("article_id", F.explode("lines").alias("l")).select("article_id", "l.*")
+    every = rest.select("article_id", "copy", F.explode("lines").alias("l")).select("article_id", "copy", "l.*")
+    lines = every.where("not head")
     counts = lines.groupBy("template", "slots").count()
     stats = counts.groupBy("template").agg(F.sum("count").alias("n"), F.max(F.struct("count", "slots")).alias("usual"))
     blanks = stats.where((F.col("n") >= SLOT_RECORDS) & (F.col("usual.count") >= SLOT_SHARE * F.col("n")) & (F.col("usual.slots") > 0)).select("template", F.col("usual.slots").alias("usual"))
     blank = lines.join(blanks, "template").where("slots = 0").select("article_id", F.lit("blank").alias("reason"))
-    return direct.unionByName(page).unionByName(blank).groupBy("article_id").agg(F.min("reason").alias("reason"))
+    named = _named(every).unionByName(_defaults(lines, stats)).select("article_id", F.lit("slot").alias("reason"))
+    return direct.unionByName(page).unionByName(blank).unionByName(named).groupBy("article_id").agg(F.min("reason").alias("reason"))
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    """(article_id) of the lines with a variable's name in a slot that nearly all others fill with something else.
+
+    Few lines have one, so their templates are found first and all lines are held against these."""
+    own = materialize(lines.where("size(own) > 0").select("article_id", "template", F.explode("own").alias("gap")))
+    filled = join_counted(lines, own.select("template").distinct(), "template", "left_semi").select("template", F.expr("filter(gaps, g -> not array_contains(own, g))").alias("gaps"))
+    per = filled.groupBy("template", "gaps").count()
+    n = per.groupBy("template").agg(F.sum("count").alias("n"))
+    proper = per.select("template", F.explode("gaps").alias("gap"), "count").groupBy("template", "gap").agg(F.sum("count").alias("proper"))
+    slots = proper.join(n, "template").where((F.col("n") >= SLOT_RECORDS) & (F.col("proper") >= SLOT_SHARE * F.col("n"))).select("template", "gap")
+    return own.join(slots, ["template", "gap"], "left_semi").select("article_id")
+
+
+def _defaults(lines: DataFrame, stats: DataFrame) -> DataFrame:
+    """(article_id) of the lines whose slot has a name that comes back in many texts while the others vary."""
+    often = stats.where((F.col("n") >= SLOT_RECORDS + DEFAULT_TEXTS) & (F.col("usual.slots") > 0)).select("template")
+    names = materialize(join_counted(lines.where("size(names) > 0"), often, "template", "left_semi").select("article_id", "copy", "template", F.explode("names").alias("f")).select("article_id", "copy", "template", "f.*"))
+    texts = names.groupBy("template", "gap", "name").agg(F.countDistinct("copy").alias("n"))
+    top = texts.groupBy("template", "gap").agg(F.max(F.struct("n", "name")).alias("top")).where(F.col("top.n") >= DEFAULT_TEXTS)
+    others = texts.join(top, ["template", "gap"]).where(F.col("name") != F.col("top.name")).groupBy("template", "gap", "top").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max("n").alias("second"))
+    default = others.where((F.col("n") >= SLOT_RECORDS) & (F.col("second") * DEFAULT_TIMES <= F.col("top.n")) & (F.col("kinds") >= DEFAULT_VARY * F.col("n"))).select("template", "gap", F.col("top.name").alias("name"))
+    return names.join(default, ["template", "gap", "name"], "left_semi").select("article_id")

@@ -155,6 +155,32 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def _residue_of(spark, rows):
+    """{article_id: reason} of (title, text, site) rows."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "article_id bigint, title string, text string, site string")
+    return {r.article_id: r.reason for r in residue.residue(df).collect()}
+
+
+def test_residue_of_names_and_defaults_in_slots(spark):
+    sentence = "At {}, sales of goods rose to 7 million."
+    proper = [("t", sentence.format(f"Firm{chr(65 + i)} Works"), "s") for i in range(24)]
+    own = ["{0}", "%%name%%", "COMPANY_NAME", "[Your Name]", "[insert company here]", "Company Name"]
+    bad = [("t", sentence.format(x), "s") for x in own[:2]]
+    assert set(_residue_of(spark, proper + bad)) == {24, 25}
+    for x in own[2:]:
+        assert _residue_of(spark, [*proper, ("t", sentence.format(x), "s")]) == {24: "slot"}, x
+    # At the head of a sentence, and as a name that comes back in texts that don't have it elsewhere.
+    heads = [("t", f"Firm{chr(65 + i)} said on a call that sales rose.", "s") for i in range(12)]
+    assert _residue_of(spark, [*heads, ("t", "COMPANY_NAME said on a call that sales rose.", "s")]) == {12: "slot"}
+    default = [("t", sentence.format("Northwind") + f" Costs fell by {i} crowns.", "s") for i in range(6)]
+    assert set(_residue_of(spark, proper + default)) == set(range(24, 30))
+    # Articles about one firm, copies of one article, and marks in a slot that most leave empty.
+    about = [(f"Northwind in quarter {i}", t, s) for i, (_, t, s) in enumerate(default)]
+    copies = [default[0]] * 6
+    sic = [("t", "At FirmA Works, sales of [sic] goods rose to 7 million.", "s")]
+    assert _residue_of(spark, proper + about + copies + sic) == {}
+
+
 # Problem 5
 
 
