@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,14 +94,16 @@ def template(sentence: str) -> tuple[list[str], list[tuple[int, str, str]]]:
     """(the sentence's words less its fillings, its fillings as (gap, kind, text)).
 
     Fillings are numbers, placeholders, addresses, names (capitals after the first word) and whatever looks
-    like a variable's name; side by side and of one kind they are one.  The gap is the number of words
-    before; the kind is 'number', 'name', or 'own' for what looks like a variable's name."""
+    like a variable's name; side by side, of one kind and without a comma between they are one.  The gap is the
+    number of words before; the kind is 'number', 'name', 'mixed' for letters with digits, or 'own' for what
+    looks like a variable's name."""
     if _MARKS.search(sentence):
         sentence = PLACEHOLDER.sub(_SLOT, sentence)
         sentence = _GROUP.sub(lambda m: m.group(1) + _OWN + "_".join(m.group(2).split()), _HTML.sub(" ", sentence))
     sentence = _LABEL.sub(lambda m: _OWN + "_".join(m.group().split()), sentence)
     words: list[str] = []
     fillings: list[tuple[int, str, str]] = []
+    apart = False
     for k, token in enumerate(sentence.split()):
         bare = token.strip(_AROUND)
         if bare.islower() and bare.isalpha():
@@ -109,20 +112,27 @@ def template(sentence: str) -> tuple[list[str], list[tuple[int, str, str]]]:
         if _OWN in token or _IDENTIFIER.search(bare) and "/" not in bare and not _MAIL.search(bare):
             kind = "own" if token[0] not in QUOTES else "name"
         elif not token.isascii() and any(map(str.isdigit, token)) or _DIGIT.search(token):
-            kind = "number"
+            kind = "mixed" if any(map(str.isalpha, bare)) else "number"
         elif _SLOT in token or "://" in token or ".example" in token or (k and bare[:1].isupper()):
             kind = "name"
         else:
             words.extend(_WORD.findall(bare.lower()))
             continue
         last = fillings[-1] if fillings else None
-        if last and last[:2] == (len(words), kind):
+        if last and last[:2] == (len(words), kind) and kind != "mixed" and not apart:
             fillings[-1] = (*last[:2], f"{last[2]} {bare}")
         else:
             fillings.append((len(words), kind, bare))
+        apart = token[-1] in ",;:"
     return words, fillings
 
 
+def _shape(fillings: list[tuple[int, str, str]]) -> list[int]:
+    """Per gap (gap + 1) · 256 + the number of its fillings; before these 1, if there are any."""
+    per = Counter(f[0] for f in fillings)
+    return [1, *((gap + 1) * 256 + min(k, 255) for gap, k in sorted(per.items()))] if per else []
+
+
 def _lines(sentences: list[str], title: str, text: str) -> list[dict]:
     """The whole sentences' templates with their slots' fillings.
 
@@ -136,12 +146,12 @@ def _lines(sentences: list[str], title: str, text: str) -> list[dict]:
         names = [(gap, name) for gap, kind, name in fillings if kind == "name" and _SLOT not in name]
         if words:
             named = [{"gap": gap, "name": _hash(name.lower())} for gap, name in names if text.count(name) < 2 and name not in title]
-            out.append({"template": _hash(" ".join(words)), "slots": len(gaps), "gaps": gaps, "own": own, "names": named, "head": False})
+            out.append({"template": _hash(" ".join(words)), "shape": _shape(fillings), "gaps": gaps, "own": own, "names": named, "head": False})
         head = sentence.split()[0].strip(_AROUND)
         if 0 in own and words:
-            out.append({"template": _hash("\x00 " + " ".join(words)), "slots": 1, "gaps": [0], "own": [0], "names": [], "head": True})
+            out.append({"template": _hash("\x00 " + " ".join(words)), "shape": [], "gaps": [0], "own": [0], "names": [], "head": True})
         elif head[:1].isupper() and len(words) > 1 and 0 not in gaps:
-            out.append({"template": _hash("\x00 " + " ".join(words[len(_WORD.findall(head)) :])), "slots": 1, "gaps": [0], "own": [], "names": [], "head": True})
+            out.append({"template": _hash("\x00 " + " ".join(words[len(_WORD.findall(head)) :])), "shape": [], "gaps": [0], "own": [], "names": [], "head": True})
     return out
 
 
@@ -171,12 +181,12 @@ def examine(title: str | None, text: str | None) -> tuple[str | None, int | None
     if title and words <= PAGE_WORDS and len(title.split()) <= 6 and NOTICE.search(title):
         return "notice", None, []
     # The last sentence may be cut off, which is no blank slot.
-    whole = [s for s in sentences if s.rstrip()[-1:] in ".!?"]
+    whole = [s for s in sentences if s.rstrip()[-1:] in ".!?" and not s.rstrip().endswith("...")]
     return None, page, _lines(whole, title, text)
 
 
-_LINE = pa.struct([("template", pa.int64()), ("slots", pa.int64()), ("gaps", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("names", pa.list_(pa.struct([("gap", pa.int64()), ("name", pa.int64())]))), ("head", pa.bool_())])
-_SCHEMA = "article_id bigint, site string, reason string, page bigint, copy bigint, lines array<struct<template: bigint, slots: bigint, gaps: array<bigint>, own: array<bigint>, names: array<struct<gap: bigint, name: bigint>>, head: boolean>>"
+_LINE = pa.struct([("template", pa.int64()), ("shape", pa.list_(pa.int64())), ("gaps", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("names", pa.list_(pa.struct([("gap", pa.int64()), ("name", pa.int64())]))), ("head", pa.bool_())])
+_SCHEMA = "article_id bigint, site string, reason string, page bigint, copy bigint, lines array<struct<template: bigint, shape: array<bigint>, gaps: array<bigint>, own: array<bigint>, names: array<struct<gap: bigint, name: bigint>>, head: boolean>>"
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +209,16 @@ def residue(articles: DataFrame) -> DataFrame:
     pages = rest.where("page is not null").select("page", F.coalesce("site", F.lit("")).alias("site"), "article_id")
     templates = pages.groupBy("page").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= PAGE_SITES)
     page = pages.join(templates, "page", "left_semi").select("article_id", F.lit("page").alias("reason"))
-    # Whole sentences by template and number of slots: combined first, so a hot template is few rows.
+    # Whole sentences by template and filled slots: combined first, so a hot template is few rows.
     every = rest.select("article_id", "copy", F.explode("lines").alias("l")).select("article_id", "copy", "l.*")
     lines = every.where("not head")
-    counts = lines.groupBy("template", "slots").count()
-    stats = counts.groupBy("template").agg(F.sum("count").alias("n"), F.max(F.struct("count", "slots")).alias("usual"))
-    blanks = stats.where((F.col("n") >= SLOT_RECORDS) & (F.col("usual.count") >= SLOT_SHARE * F.col("n")) & (F.col("usual.slots") > 0)).select("template", F.col("usual.slots").alias("usual"))
-    blank = lines.join(blanks, "template").where("slots = 0").select("article_id", F.lit("blank").alias("reason"))
+    counts = materialize(lines.groupBy("template", "shape").count())
+    stats = counts.groupBy("template").agg(F.sum("count").alias("n")).where(F.col("n") >= SLOT_RECORDS)
+    # By slot the most fillings that nearly all records have; a record with fewer has one left blank.
+    filled = counts.select("template", "count", F.explode("shape").alias("s")).select("template", "count", F.expr("s div 256").alias("gap"), F.explode(F.expr("sequence(1, s % 256)")).alias("k"))
+    slots = filled.groupBy("template", "gap", "k").agg(F.sum("count").alias("filled")).join(stats, "template").where(F.col("filled") >= SLOT_SHARE * F.col("n"))
+    usual = slots.groupBy("template", "gap").agg(F.max("k").alias("k")).groupBy("template").agg(F.collect_list(F.expr("gap * 256 + k")).alias("usual"))
+    blank = lines.join(usual, "template").where("exists(usual, u -> not exists(shape, s -> s div 256 = u div 256 and s >= u))").select("article_id", F.lit("blank").alias("reason"))
     named = _named(every).unionByName(_defaults(lines, stats)).select("article_id", F.lit("slot").alias("reason"))
     return direct.unionByName(page).unionByName(blank).unionByName(named).groupBy("article_id").agg(F.min("reason").alias("reason"))
 
@@ -225,7 +238,7 @@ def _named(lines: DataFrame) -> DataFrame:
 
 def _defaults(lines: DataFrame, stats: DataFrame) -> DataFrame:
     """(article_id) of the lines whose slot has a name that comes back in many texts while the others vary."""
-    often = stats.where((F.col("n") >= SLOT_RECORDS + DEFAULT_TEXTS) & (F.col("usual.slots") > 0)).select("template")
+    often = stats.where(F.col("n") >= SLOT_RECORDS + DEFAULT_TEXTS).select("template")
     names = materialize(join_counted(lines.where("size(names) > 0"), often, "template", "left_semi").select("article_id", "copy", "template", F.explode("names").alias("f")).select("article_id", "copy", "template", "f.*"))
     texts = names.groupBy("template", "gap", "name").agg(F.countDistinct("copy").alias("n"))
     top = texts.groupBy("template", "gap").agg(F.max(F.struct("n", "name")).alias("top")).where(F.col("top.n") >= DEFAULT_TEXTS)

@@ -181,6 +181,21 @@ def test_residue_of_names_and_defaults_in_slots(spark):
     assert _residue_of(spark, proper + about + copies + sic) == {}
 
 
+def test_residue_of_one_blank_slot_of_several(spark):
+    both = [("t", f"At Firm{chr(65 + i)}, sales rose to {i + 2} million.", "s") for i in range(20)]
+    bad = [("t", "At FirmA, sales rose to million.", "s"), ("t", "At , sales rose to 9 million.", "s")]
+    for row in bad:
+        assert _residue_of(spark, [*both, row]) == {20: "blank"}
+    # Side by side, slots are told apart by kind and by commas; a name of two words or with a digit is one.
+    near = [("t", f"On the board Firm{chr(65 + i)} 2{i}, Person{chr(65 + i)} was heard.", "s") for i in range(24)]
+    near += [("t", "On the board Old FirmA 25, New PersonA was heard.", "s"), ("t", "On the board 3M 25, PersonA was heard.", "s")]
+    assert _residue_of(spark, near) == {}
+    assert set(_residue_of(spark, [*near, ("t", "On the board FirmA, PersonA was heard.", "s")])) == {26}
+    # A sentence cut off by dots has none, and a slot that many leave out is none.
+    assert _residue_of(spark, [*both, ("t", "At FirmA, sales rose to million...", "s")]) == {}
+    assert _residue_of(spark, both + [("t", "At FirmA, sales rose to million.", "s")] * 5) == {}
+
+
 # Problem 5
 
 
