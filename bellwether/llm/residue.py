@@ -4,7 +4,8 @@ Sentences are aligned with all others of the same template: a template is the se
 fillings (numbers, names, anything in placeholder marks), and the places of the fillings are its
 slots.  A slot that still holds a variable name or a default is residue, and so is a slot left blank
 where nearly all records of the template fill it.  Whole pages are aligned the same way: a short page
-whose template comes back on several sites is an error page, as is one that consists of notices."""
+whose template comes back on several sites is an error page, as is a longer one that also comes back
+within them, and any that consists of notices."""
 
 from __future__ import annotations
 
@@ -52,10 +53,18 @@ NOTICES = (
     r"javascript aktivieren|aktivieren sie javascript|seite (?:wurde )?nicht gefunden|zugriff verweigert|cookies? (?:akzeptieren|zulassen)|sitzung (?:ist )?abgelaufen|activer javascript|activez javascript|page introuvable|acc[eè]s refus[eé]|session (?:a )?expir[eé]|(?:active|activar|habilite) javascript|p[aá]gina no encontrada|acceso denegado|sesi[oó]n (?:ha )?(?:caducado|expirado)",
 )
 NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.I)
-#: A page of more words than this is an article, whatever it talks about.
-PAGE_WORDS = 60
+#: The same for lower case, which is faster.
+_NOTICE_LOWER = re.compile(NOTICE.pattern)
+#: A page of more words than this may be an article that several sites have: its template must come back so
+#: many times a site, under other titles.
+PAGE_WORDS, PAGE_TIMES = 60, 2
 #: The share of a page's sentences that are notices, from which it is one.
 NOTICE_SHARE = 0.5
+#: The same if the title is a notice too; a short page needs none then.
+NOTICE_TITLE_SHARE = 0.25
+#: The words of the usual filler; a sentence mostly of these is filler.
+FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum perspiciatis unde omnis iste natus error voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis quasi architecto beatae vitae dicta explicabo nemo ipsam quia voluptas aspernatur aut odit fugit consequuntur magni dolores eos ratione sequi nesciunt".split())
+FILLER_SHARE, FILLER_WORDS = 0.8, 4
 #: A short page whose template comes back on so many sites is no article.
 PAGE_SITES = 3
 #: A slot is left blank if at least so many records share its template and this share of them fill it.
@@ -133,14 +142,13 @@ def _shape(fillings: list[tuple[int, str, str]]) -> list[int]:
     return [1, *((gap + 1) * 256 + min(k, 255) for gap, k in sorted(per.items()))] if per else []
 
 
-def _lines(sentences: list[str], title: str, text: str) -> list[dict]:
+def _lines(sentences: list[tuple[str, list[str], list[tuple[int, str, str]]]], title: str, text: str) -> list[dict]:
     """The whole sentences' templates with their slots' fillings.
 
     A sentence that begins with a name or a variable's name has a second template, in which that is a slot
     ('head').  Fillings that the row has elsewhere too are what it is about: they have no hash."""
     out = []
-    for sentence in sentences:
-        words, fillings = template(sentence)
+    for sentence, words, fillings in sentences:
         gaps = sorted({f[0] for f in fillings})
         own = sorted({f[0] for f in fillings if f[1] == "own"})
         names = [(gap, name) for gap, kind, name in fillings if kind == "name" and _SLOT not in name]
@@ -159,42 +167,59 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def examine(title: str | None, text: str | None) -> tuple[str | None, int | None, list[dict]]:
-    """(reason or None, hash of the page's template if it is a short page, the sentences' templates)."""
+def _is_notice(sentence: str) -> bool:
+    sentence = sentence.lower()
+    if _NOTICE_LOWER.search(sentence):
+        return True
+    words = _WORD.findall(sentence)
+    return len(words) >= FILLER_WORDS and sum(w in FILLER for w in words) >= FILLER_SHARE * len(words)
+
+
+def _has_notices(sentences: list[str], share: float) -> bool:
+    """Whether this share of the sentences are notices; read only until that is settled."""
+    left = len(sentences) - share * len(sentences)
+    for s in sentences:
+        left -= not _is_notice(s.strip())
+        if left < 0:
+            return False
+    return True
+
+
+def examine(title: str | None, text: str | None) -> tuple[str | None, int | None, bool, list[dict]]:
+    """(reason or None, hash of the page's template, whether the page is short, the sentences' templates)."""
     title, text = title or "", text or ""
     sentences = [s for s in _SENTENCE.split(text) if s.strip()]
     for part in (title, text):
         if placeholders(part):
-            return "slot", None, []
-    words = len(text.split())
-    page = None
-    if words <= PAGE_WORDS:
-        if sentences:
-            notices = [bool(NOTICE.search(s.strip())) for s in sentences]
-            if sum(notices) >= NOTICE_SHARE * len(notices):
-                return "notice", None, []
-            page = _hash(" ".join(" ".join(template(s)[0]) for s in sentences))
-        else:  # the title of an empty page: what stands before the site's name
-            head = re.split(r"\s+[|–—]\s+", title.strip())[0]
-            if len(head.split()) <= 6 and NOTICE.search(head):
-                return "notice", None, []
-    if title and words <= PAGE_WORDS and len(title.split()) <= 6 and NOTICE.search(title):
-        return "notice", None, []
+            return "slot", None, False, []
+    short = len(text.split()) <= PAGE_WORDS
+    if sentences:
+        if _has_notices(sentences, NOTICE_SHARE):
+            return "notice", None, short, []
+    else:  # the title of an empty page: what stands before the site's name
+        head = re.split(r"\s+[|–—]\s+", title.strip())[0]
+        if len(head.split()) <= 6 and NOTICE.search(head):
+            return "notice", None, short, []
+    if title and len(title.split()) <= 6 and NOTICE.search(title) and (short or _has_notices(sentences, NOTICE_TITLE_SHARE)):
+        return "notice", None, short, []
+    parsed = [(s, *template(s)) for s in sentences]
+    page = _hash(" ".join(" ".join(words) for _, words, _ in parsed)) if parsed else None
     # The last sentence may be cut off, which is no blank slot.
-    whole = [s for s in sentences if s.rstrip()[-1:] in ".!?" and not s.rstrip().endswith("...")]
-    return None, page, _lines(whole, title, text)
+    whole = [x for x in parsed if x[0].rstrip()[-1:] in ".!?" and not x[0].rstrip().endswith("...")]
+    return None, page, short, _lines(whole, title, text)
 
 
 _LINE = pa.struct([("template", pa.int64()), ("shape", pa.list_(pa.int64())), ("gaps", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("names", pa.list_(pa.struct([("gap", pa.int64()), ("name", pa.int64())]))), ("head", pa.bool_())])
-_SCHEMA = "article_id bigint, site string, reason string, page bigint, copy bigint, lines array<struct<template: bigint, shape: array<bigint>, gaps: array<bigint>, own: array<bigint>, names: array<struct<gap: bigint, name: bigint>>, head: boolean>>"
+_SCHEMA = "article_id bigint, site string, reason string, page bigint, short boolean, title bigint, copy bigint, lines array<struct<template: bigint, shape: array<bigint>, gaps: array<bigint>, own: array<bigint>, names: array<struct<gap: bigint, name: bigint>>, head: boolean>>"
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         out = [examine(a, b) for a, b in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        titles = [_hash(t or "") for t in batch.column("title").to_pylist()]
         copies = [_hash(t or "") for t in batch.column("text").to_pylist()]
-        arrays = [batch.column("article_id"), batch.column("site"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array(copies, pa.int64()), pa.array([o[2] for o in out], pa.list_(_LINE))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["article_id", "site", "reason", "page", "copy", "lines"])
+        arrays = [batch.column("article_id"), batch.column("site"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_()), pa.array(titles, pa.int64()), pa.array(copies, pa.int64()), pa.array([o[3] for o in out], pa.list_(_LINE))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["article_id", "site", "reason", "page", "short", "title", "copy", "lines"])
 
 
 def residue(articles: DataFrame) -> DataFrame:
@@ -206,8 +231,10 @@ def residue(articles: DataFrame) -> DataFrame:
     seen = materialize(articles.select("article_id", "site", "title", "text").mapInArrow(_batches, _SCHEMA))
     direct = seen.where("reason is not null").select("article_id", "reason")
     rest = seen.where("reason is null")
-    pages = rest.where("page is not null").select("page", F.coalesce("site", F.lit("")).alias("site"), "article_id")
-    templates = pages.groupBy("page").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= PAGE_SITES)
+    pages = rest.where("page is not null").select("page", F.coalesce("site", F.lit("")).alias("site"), "title", "short", "article_id")
+    # An article that sites take from each other comes once a site, or again under its title.
+    templates = pages.groupBy("page", "site").agg(F.countDistinct("title").alias("times"), F.bool_or("short").alias("short")).groupBy("page").agg(F.count("*").alias("sites"), F.sum("times").alias("times"), F.bool_or("short").alias("short"))
+    templates = templates.where((F.col("sites") >= PAGE_SITES) & (F.col("short") | (F.col("times") >= PAGE_TIMES * F.col("sites")))).select("page")
     page = pages.join(templates, "page", "left_semi").select("article_id", F.lit("page").alias("reason"))
     # Whole sentences by template and filled slots: combined first, so a hot template is few rows.
     every = rest.select("article_id", "copy", F.explode("lines").alias("l")).select("article_id", "copy", "l.*")

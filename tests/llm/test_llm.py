@@ -196,6 +196,21 @@ def test_residue_of_one_blank_slot_of_several(spark):
     assert _residue_of(spark, both + [("t", "At FirmA, sales rose to million.", "s")] * 5) == {}
 
 
+def test_residue_of_long_pages(spark):
+    words = "amber basin cedar delta ember fjord grove haven inlet jetty knoll ledge".split()
+    page = " ".join(f"Members may ask at the desk for the {w} {v} card." for w in words[:6] for v in words[6:8])
+    assert len(page.split()) > residue.PAGE_WORDS
+    rows = [(f"Story {i} of the day", page, f"site{i % 4}") for i in range(8)]  # the same page under all titles of four sites
+    assert _residue_of(spark, rows) == dict.fromkeys(range(8), "page")
+    assert _residue_of(spark, [("One story", page, f"site{i % 4}") for i in range(8)]) == {}  # an article that four sites have
+    filler = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum. "
+    consent = "We use cookies on this site to remember what you like. " * 8
+    article = page + " One visitor saw page not found."
+    titled = consent.replace("We use cookies", "We keep notes") + "Access denied. " * 4
+    got = _residue_of(spark, [("t", filler * 2, "s"), ("t", consent, "s"), ("Access denied", titled, "s"), ("t", article, "s"), ("Access denied", article, "s")])
+    assert got == dict.fromkeys(range(3), "notice")
+
+
 # Problem 5
 
 
