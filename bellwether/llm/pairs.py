@@ -46,8 +46,13 @@ STOPWORDS = {
 #: The share of the prose that runs of at least COPY_RUN words of the prompt cover, from which it is a
 #: copy, and the share of the prompt that it must give back.
 COPY_SHARE, COPY_RUN, COPY_PROMPT = 0.85, 4, 0.5
-#: A refusal has at most so many words, and refuses within so many of its first sentences.
-REFUSAL_WORDS, REFUSAL_SENTENCES = 90, 3
+#: An answer of at most so many words that refuses within so many of its first sentences is a refusal.  Any
+#: other is one if it refuses anywhere, and in this share of its sentences or without a sentence of a forecast.
+REFUSAL_WORDS, REFUSAL_SENTENCES, REFUSAL_SHARE = 90, 3, 0.5
+#: What a sentence of a forecast has.
+FORECAST = re.compile(
+    r"\d|\b(?:ris(?:e|es|ing)|rose|fall(?:s|ing)?|fell|gain(?:s|ed)?|drop(?:s|ped)?|higher|lower|increas\w+|decreas\w+|declin(?:e|es|ing) (?:in|of)|upward|downward|bullish|bearish|upside|downside|grow(?:s|th|ing)?|grew|steig\w+|sink\w+|höher|niedriger|hausse|baisse|monte\w*|augment\w+|subi\w*|sube\w*|baja\w*|caída|aument\w+|rialzo|ribasso|queda|alta)\b", re.I
+)
 #: A language needs so many votes; where it isn't the prompt's, that one has at most this share of them.
 LANGUAGE_VOTES, LANGUAGE_SHARE = 3, 0.65
 #: What stands for no content.
@@ -242,21 +247,33 @@ def foreign(text: str, expected: str) -> bool:
     return lang != expected and n >= LANGUAGE_VOTES and counts[expected] <= LANGUAGE_SHARE * n
 
 
-def refuses(prose: str) -> bool:
-    if len(_WORDS(prose)) > REFUSAL_WORDS:
-        return False
-    head = " ".join([s for s in _SENTENCES.split(prose.strip()) if s][:REFUSAL_SENTENCES])
-    plain = " " + " ".join(head.lower().replace("’", "'").split())
+def _has_refusal(text: str) -> bool:
+    plain = " " + " ".join(text.lower().replace("’", "'").split())
     return next(refusal_automaton().iter(plain), None) is not None
 
 
+def refuses(prose: str, automaton: SuffixAutomaton | None = None) -> bool:
+    """Whether the prose declines to answer; sentences of the prompt (``automaton``) neither refuse nor forecast."""
+    sentences = [s for s in _SENTENCES.split(prose.strip()) if s]
+    if len(_WORDS(prose)) <= REFUSAL_WORDS and _has_refusal(" ".join(sentences[:REFUSAL_SENTENCES])):
+        return True
+    if not _has_refusal(prose):
+        return False
+    if automaton is not None:
+        words = [_WORDS(s.lower()) for s in sentences]
+        sentences = [s for s, w in zip(sentences, words, strict=True) if len(w) < COPY_RUN or automaton.covered(w, COPY_RUN) < COPY_SHARE * len(w)]
+    others = [s for s in sentences if not _has_refusal(s)]
+    refusing = len(sentences) - len(others)
+    return refusing > 0 and (refusing >= REFUSAL_SHARE * len(sentences) or not any(map(FORECAST.search, others)))
+
+
 def defect(prose: str, prompt_words: list[str], automaton: SuffixAutomaton | None, prompt_language: str | None) -> str | None:
     """copy, refusal, language or None, for the prose of an answer."""
     words = _WORDS(prose.lower())
     if automaton is not None and len(words) >= COPY_RUN and automaton.covered(words, COPY_RUN) >= COPY_SHARE * len(words):
         if SuffixAutomaton(words).covered(prompt_words, COPY_RUN) >= COPY_PROMPT * len(prompt_words):
             return "copy"
-    if refuses(prose):
+    if refuses(prose, automaton):
         return "refusal"
     if prompt_language and foreign(prose, prompt_language):
         return "language"

@@ -121,6 +121,16 @@ def test_defects_of_one_answer(answer, want):
     assert pairs.judge_row(PROMPT, "en", {"a": answer}, frozenset())[0]["defect"] == want
 
 
+def test_refusals_that_are_long_or_late():
+    why = "Such a statement would need facts about the firm that nobody outside it has, and readers could take it for advice. "
+    judged = lambda text: pairs.judge_row(PROMPT, "en", {"a": text}, frozenset())[0]["defect"]
+    assert len((why * 6).split()) > pairs.REFUSAL_WORDS
+    assert judged("I'm sorry, but I can't provide price forecasts. " + why * 6) == "refusal"
+    assert judged(why * 4 + "For these reasons I must decline.") == "refusal"
+    # A long forecast that has such words is none.
+    assert judged("The unit was not permitted to sell. " + " ".join(FULL) + " Sales rose by 4 percent, so the stock should close higher. " * 3 + why * 4) is None
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(1)
     for _ in range(60):
