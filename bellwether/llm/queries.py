@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cut_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(all texts that may be cut as source_table, row_id, source; those that are)."""
+    """(all texts as source_table, row_id, source, text; those that are cut)."""
     articles = table(spark, d, "hacker_news_articles")
     news = articles.select(F.lit("hacker_news_articles").alias("source_table"), F.col("article_id").alias("row_id"), F.col("site").alias("source"), "text")
     no_article = residue.residue(articles).select(F.col("article_id").alias("row_id"))
@@ -24,7 +24,8 @@ def _cut_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     texts = news.join(no_article, "row_id", "left_anti").unionByName(prose.select("source_table", "row_id", "source", F.col("prose").alias("text")))
     cut = truncation.truncated(texts, ["source_table", "row_id"], "text")
     broken = answers.where("defect = 'truncated'").select("source_table", "row_id")
-    return texts, cut.unionByName(broken)
+    every = news.unionByName(responses.select(F.lit("reasoning_responses").alias("source_table"), F.col("response_id").alias("row_id"), F.col("model").alias("source"), F.col("chain_of_thought").alias("text")))
+    return every, cut.unionByName(broken)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +33,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    """The share of texts that are cut, by site and by model, of the texts that have an end to judge."""
+    """The share of texts that are cut, by site and by model, of all texts that aren't blank."""
     texts, cut = _cut_texts(spark, d)
     return truncation.truncation_rates(texts.where("text is not null and trim(text) <> ''"), cut, ["source_table", "row_id"], ["source_table", "source"])
 

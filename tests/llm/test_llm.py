@@ -131,6 +131,15 @@ def test_refusals_that_are_long_or_late():
     assert judged("The unit was not permitted to sell. " + " ".join(FULL) + " Sales rose by 4 percent, so the stock should close higher. " * 3 + why * 4) is None
 
 
+def test_rates_over_all_texts(spark, tmp_path):
+    articles = [(i, "site", t) for i, t in enumerate([*FULL, "Lorem ipsum dolor sit amet.", " ", None])]
+    spark.createDataFrame([(*a, "t") for a in articles], "article_id bigint, site string, text string, title string").write.parquet(f"{tmp_path}/hacker_news_articles.parquet")
+    answers = [FULL[0], PROMPT, "I'm sorry, but I can't provide price forecasts.", GOOD[:60], None]
+    spark.createDataFrame([(i, "m", PROMPT, "en", t, "{}") for i, t in enumerate(answers)], "response_id bigint, model string, prompt string, prompt_lang string, chain_of_thought string, output string").write.parquet(f"{tmp_path}/reasoning_responses.parquet")
+    got = {r.source: (r.n_texts, r.n_truncated) for r in queries.p2_rates(spark, str(tmp_path)).collect()}
+    assert got == {"site": (len(FULL) + 1, 0), "m": (4, 1)}  # the answer cut inside its JSON is one of the four
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(1)
     for _ in range(60):
