@@ -46,7 +46,7 @@ def hash_score(record: Column, section: int, place: Column) -> Column:
 def explode_tasks(docs: DataFrame) -> DataFrame:
     """One row per paragraph or article body to be scored: (record_id, section, report, place, text).
 
-    Blank texts are no tasks.  Articles are asked by their first 200 words."""
+    Blank texts are no tasks.  Articles are asked by their first 4 000 words."""
     empty = F.array().cast("array<struct<section:string,report:int,place:int,text:string>>")
 
     def tasks(section: str, report, paragraphs: Column) -> Column:
@@ -54,7 +54,7 @@ def explode_tasks(docs: DataFrame) -> DataFrame:
 
     parts = [tasks(s, F.lit(0), F.col(f"{s}.paragraphs")) for s in SECTIONS]
     parts.append(F.coalesce(F.flatten(F.transform("eight_k_reports", lambda r, i: tasks("eight_k_reports", i.cast("int"), r["paragraphs"]))), empty))
-    parts.append(F.coalesce(F.transform("hacker_news_articles", lambda a, i: F.struct(F.lit("hacker_news_articles").alias("section"), F.lit(0).alias("report"), i.cast("int").alias("place"), first_words(a["text"], 200).alias("text"))), empty))
+    parts.append(F.coalesce(F.transform("hacker_news_articles", lambda a, i: F.struct(F.lit("hacker_news_articles").alias("section"), F.lit(0).alias("report"), i.cast("int").alias("place"), first_words(a["text"]).alias("text"))), empty))
     rows = docs.select("record_id", F.inline(F.concat(*parts)))
     return rows.where(F.coalesce(F.regexp_replace("text", r"(?U)\s+", ""), F.lit("")) != "")
 

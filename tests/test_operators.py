@@ -244,6 +244,14 @@ def test_risk_profiles_of_all_days(spark, tmp_path):
     assert means == {k: pytest.approx(np.mean([want[k, s] for s in series], axis=0).tolist(), abs=2e-6) for k in backtest.PROFILES}
 
 
+def test_article_tasks_keep_4000_words(spark):
+    report = "struct<paragraphs: array<string>>"
+    text = [" ".join(f"w{i}" for i in range(n)) for n in (201, 4000, 4001)]
+    docs = spark.createDataFrame([(1, None, None, [], [(t,) for t in text])], f"record_id bigint, latest_10k {report}, latest_10q {report}, eight_k_reports array<{report}>, hacker_news_articles array<struct<text: string>>")
+    got = {r.place: r.text for r in documents.explode_tasks(docs).collect()}
+    assert got == {0: text[0], 1: text[1], 2: text[1]}
+
+
 def test_exact_median(spark):
     rng = np.random.default_rng(1)
     data = {"a": rng.exponential(size=501), "b": rng.exponential(size=40), "c": np.zeros(6), "d": np.array([0.5, 0.5, 2.0, 2.0]), "e": np.array([3.0])}
