@@ -20,10 +20,11 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
-#: A side of a join is broadcast by hint only when its counted rows stay below this.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast by hint only when its counted rows and its bytes stay below these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -32,6 +33,19 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=settings).getOrCreate()
 
 
+def measured_broadcasts(spark: SparkSession) -> None:
+    """Let a side be broadcast for the size it is measured to have at run time only, or by an explicit hint.
+
+    The planner's estimates are those of the scan: after an explode, an Arrow function or a checkpoint they are
+    far too small.  The session's own threshold is kept, as the adaptive one."""
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    own = spark.conf.get(static)
+    if own != "-1":
+        if spark.conf.get(adaptive, None) is None:
+            spark.conf.set(adaptive, own)
+        spark.conf.set(static, "-1")
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -50,6 +64,7 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, as a lazy scan."""
+    measured_broadcasts(spark)
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,6 +87,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that several readers don't compute it again.
 
     A reliable checkpoint: it survives the loss of executors."""
+    measured_broadcasts(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -89,8 +105,15 @@ def put_shared(spark: SparkSession, name: str, data: bytes) -> str:
     return fs.makeQualified(path).toString()
 
 
+def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``side``, counted and weighed, is small enough to be broadcast."""
+    weight = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, size = side.agg(F.count("*"), weight).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
+
+
 def join_counted(df: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is usually small: it is materialised and counted first, and only
-    broadcast when it has at most ``rows`` rows; otherwise Spark shuffles both sides."""
+    """Join with a side that is usually small: it is materialised, counted and weighed first, and only
+    broadcast when it has at most ``rows`` rows and BROADCAST_BYTES; otherwise Spark shuffles both sides."""
     side = materialize(side)
-    return df.join(F.broadcast(side) if side.count() <= rows else side, on, how)
+    return df.join(F.broadcast(side) if small(side, rows) else side, on, how)
