@@ -210,11 +210,9 @@ def _each_set(sets: DataFrame, threshold: float, of, columns: tuple[str, ...]) -
         bands = Bands(threshold)
         for batch in it:
             rid, size = batch.column("rid").to_pylist(), batch.column("size").to_pylist()
-            shared = batch.column("shared")
-            flat, offsets = shared.flatten(), shared.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            h_all = flat.field("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            df_all = flat.field("n").to_numpy(zero_copy_only=False)
+            h, often = batch.column("h"), batch.column("often")
+            offsets = h.offsets.to_numpy() - h.offsets[0].as_py()
+            h_all, df_all = h.flatten().to_numpy().view(np.uint64), often.flatten().to_numpy().astype(np.int64)
             made, rows = [], 0
             for i, (r, s) in enumerate(zip(rid, size, strict=True)):
                 for part in of(bands, r, s, h_all[offsets[i] : offsets[i + 1]], df_all[offsets[i] : offsets[i + 1]]):
@@ -224,7 +222,7 @@ def _each_set(sets: DataFrame, threshold: float, of, columns: tuple[str, ...]) -
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=names)
                     made, rows = [], 0
 
-    return sets.select("rid", "size", "shared").mapInArrow(batches, ", ".join(columns))
+    return sets.select("rid", "size", "h", "often").mapInArrow(batches, ", ".join(columns))
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
@@ -245,14 +243,15 @@ def similar_classes(docs: DataFrame, key: str, elements: Column, hashes: Column,
     hashed = materialize(hashed.select("id", F.md5(F.array_join(F.col("hs").cast("array<string>"), ",")).alias("same"), "hs"))
     classes = hashed.groupBy("same").agg(F.min("id").alias("rid"))
     members = materialize(hashed.select("id", "same").join(classes, "same").select("rid", F.col("id").alias(key)))
-    reps = hashed.join(classes, (hashed["same"] == classes["same"]) & (hashed["id"] == classes["rid"])).select("rid", F.size("hs").alias("size"), "hs").dropDuplicates(["rid"])
-    reps = materialize(reps)
-    total = reps.count()
-    each = reps.select("rid", F.explode("hs").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    shared = each.join(often, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "n")).alias("shared"))
+    # Only copies are looked up to leave them out, so the sets themselves are not shuffled.
+    copies = members.where(F.col("rid") != F.col(key)).select(F.col(key).alias("id"))
+    reps = hashed.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti").select(F.col("id").alias("rid"), F.size("hs").alias("size"), "hs")
+    total = members.where(F.col("rid") == F.col(key)).select("rid").distinct().count()
+    each = reps.select("rid", "size", F.explode("hs").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    shared = each.join(often, "h").groupBy("rid").agg(F.first("size").alias("size"), F.collect_set(F.struct("h", "n")).alias("s"))
     # A set that shares no element is similar to none.
-    sets = materialize(reps.select("rid", "size").join(shared, "rid"))
+    sets = materialize(shared.select("rid", "size", F.col("s.h").alias("h"), F.col("s.n").alias("often")))
     index, probe = _index(sets, threshold), _probe(sets, threshold, total)
     met = probe.alias("p").join(index.alias("i"), "sig").where(f"p.rid <> i.rid AND i.size <= (p.note >> 16) AND i.size >= {threshold} * (p.note >> 16) - 1e-9")
     # A pair is met once in a segment at most, so its weights add up to those of the segments it is met in.
@@ -263,7 +262,7 @@ def similar_classes(docs: DataFrame, key: str, elements: Column, hashes: Column,
     b = near.select(F.col("rid").alias("rid_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
     apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
     bound = (1 - threshold) / (1 + threshold)
-    likely = materialize(candidates.join(a, "rid_a").join(b, "rid_b").where(f"{apart} <= {bound} * (size_a + size_b) + 1e-9").select("rid_a", "rid_b"))
+    likely = materialize(candidates.join(a, "rid_a").join(b, "rid_b").where(f"{apart} <= {bound} * (size_a + size_b) + 1e-9").select("rid_a", "rid_b").distinct())
     # Verified on the elements themselves, read again for the few records that are left.
     left = materialize(likely.select(F.col("rid_a").alias("rid")).union(likely.select("rid_b")).distinct())
     if left.count() <= BROADCAST_ROWS:
