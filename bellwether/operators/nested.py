@@ -1,28 +1,26 @@
 """Deeply nested JSON documents as flat child tables, by Arrow list offsets and parent indices.
 
-A payload is decoded once into one canonical nested type (the reader tolerates the shapes documents
-come in); from there on no row is touched.  Child arrays are emitted from the offsets of the Arrow
-list buffers: the parent index of a child is ``list_parent_indices``, its place is its index less the
-offset its parent starts at, and keys reach the children by a vectorised ``take``."""
+Spark's own JSON reader decodes a payload into one canonical nested type, node by node: what may come in
+several shapes is read as the node's text first and opened by what it is.  The canonical columns reach the
+workers as Arrow buffers, where no row is touched: child arrays are emitted from the offsets of the lists.
+The parent index of a child is ``list_parent_indices``, its place is its index less the offset its parent
+starts at, and keys reach the children by a vectorised ``take``."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BAR_FIELDS = ("open", "high", "low", "close", "volume")
 ARTICLE_FIELDS = ("title", "url", "publish_date", "text", "scoring_method")
-
-_PARAGRAPH = pa.struct([("text", pa.string()), ("score", pa.int64())])
-_REPORT = pa.struct([("filing_date", pa.string()), ("accession_number", pa.string()), ("paragraphs", pa.list_(_PARAGRAPH))])
-_BAR = pa.struct([(f, pa.float64()) for f in BAR_FIELDS])
-_ARTICLE = pa.struct([*((f, pa.string()) for f in ARTICLE_FIELDS), ("score", pa.int64())])
-_DOCUMENT = pa.struct([("bars", pa.list_(_BAR)), ("tenk", pa.list_(_PARAGRAPH)), ("eight_k", pa.list_(_REPORT)), ("articles", pa.list_(_ARTICLE))])
+KINDS = ("bar", "tenk_paragraph", "eight_k", "eight_k_paragraph", "article")
+#: Every quoting at least doubles what it quotes, so no text under 2 GB is quoted deeper.
+QUOTED = 32
 
 #: Columns of the union of all child tables; those a kind doesn't have are null.
 COLUMNS = [("raw_id", pa.int64()), ("child_kind", pa.string()), ("parent_pos", pa.int64()), ("child_pos", pa.int64())]
@@ -30,96 +28,101 @@ COLUMNS += [("text", pa.string()), ("score", pa.int64()), ("filing_date", pa.str
 COLUMNS += [(f, pa.float64()) for f in BAR_FIELDS] + [(f, pa.string()) for f in ("title", "url", "publish_date", "scoring_method")]
 _SPARK = {pa.int64(): "bigint", pa.string(): "string", pa.float64(): "double"}
 SCHEMA = ", ".join(f"`{n}` {_SPARK[t]}" for n, t in COLUMNS)
+_TEXTS = "array<string>"
+
+
+def _begins(x: Column, sign: str) -> Column:
+    return F.coalesce(F.substring(F.ltrim(x), 1, 1) == sign, F.lit(False))
+
+
+def _opened(x: Column) -> Column:
+    """The text of a node, or what it holds if it is JSON text in a string, at any depth of quoting."""
+    inner = lambda s: F.coalesce(F.get(F.from_json(F.concat(F.lit("["), s, F.lit("]")), _TEXTS), 0), s)
+    deeper = F.aggregate(F.array_repeat(F.lit(0), QUOTED), x, lambda s, _: F.when(_begins(s, '"'), inner(s)).otherwise(s))
+    return F.when(_begins(x, '"'), deeper).otherwise(x)
+
+
+def _fields(x: Column, *names: str) -> Column:
+    """The texts of an object's nodes; null if it is no object."""
+    return F.when(_begins(x, "{"), F.from_json(x, ", ".join(f"`{n}` string" for n in names)))
+
+
+def _items(x: Column) -> Column:
+    """The elements of a list; a node outside a list is its only one, and no node is none."""
+    alone = F.when(x.isNull(), F.array().cast(_TEXTS)).otherwise(F.array(x))
+    return F.coalesce(F.when(_begins(x, "["), F.from_json(x, _TEXTS)), alone)
+
+
+def _with(x: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(x)``, ``x`` being computed once."""
+    return F.get(F.transform(F.array(x), of), 0)
+
+
+def _whole(x: Column) -> Column:
+    return F.when(x.rlike(r"^-?\d+$"), x.try_cast("bigint"))
+
+
+def _paragraph(p: Column) -> Column:
+    def of(q: Column) -> Column:
+        plain = F.struct(p.alias("text"), F.lit(None).cast("bigint").alias("score"))
+        made = _with(_fields(q, "text", "score"), lambda o: F.when(o.isNotNull(), F.struct(o["text"].alias("text"), _whole(o["score"]).alias("score"))))
+        return F.when(p.isNotNull(), F.coalesce(made, plain))
+
+    return _with(_opened(p), of)
+
+
+def _paragraphs(o: Column) -> Column:
+    """Of a report's fields: its paragraphs, or its one text."""
+    listed = _with(_opened(o["paragraphs"]), lambda x: F.transform(_items(x), _paragraph))
+    return F.when(o["paragraphs"].isNull() & o["report"].isNotNull(), F.array(_paragraph(o["report"]))).otherwise(listed)
 
 
-def _node(x):
-    """``x``, or what it holds if it is JSON text of an object or an array (at any depth of quoting)."""
-    while isinstance(x, str) and x.lstrip()[:1] in ("{", "[", '"'):
-        try:
-            y = json.loads(x)
-        except (ValueError, RecursionError):
-            return x
-        if not isinstance(y, (dict, list, str)):
-            return x
-        x = y
-    return x
-
-
-def _list(x) -> list:
-    x = _node(x)
-    return x if isinstance(x, list) else [] if x is None else [x]
-
-
-def _number(x) -> float | None:
-    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
-
-
-def _string(x) -> str | None:
-    if x is None or isinstance(x, str):
-        return x
-    return json.dumps(x, ensure_ascii=False)
-
-
-def _int(x) -> int | None:
-    return x if isinstance(x, int) and not isinstance(x, bool) and abs(x) < 2**63 else None
-
-
-def _paragraph(p) -> dict | None:
-    if p is None:
-        return None
-    q = _node(p)
-    if isinstance(q, dict):
-        return {"text": _string(q.get("text")), "score": _int(q.get("score"))}
-    return {"text": _string(p), "score": None}
-
-
-def _paragraphs(report) -> list:
-    if not isinstance(report, dict):
-        return []
-    if report.get("paragraphs") is None and report.get("report") is not None:
-        return [_paragraph(report["report"])]
-    return [_paragraph(p) for p in _list(report.get("paragraphs"))]
-
-
-def _report(r) -> dict | None:
-    r = _node(r)
-    if r is None:
-        return None
-    if not isinstance(r, dict):
-        return {"filing_date": None, "accession_number": None, "paragraphs": []}
-    meta = _node(r.get("metadata"))
-    meta = meta if isinstance(meta, dict) else {}
-    return {"filing_date": _string(meta.get("filing_date")), "accession_number": _string(meta.get("accession_number")), "paragraphs": _paragraphs(r)}
-
-
-def _article(a) -> dict | None:
-    a = _node(a)
-    if a is None:
-        return None
-    if not isinstance(a, dict):
-        return {"text": _string(a)}
-    return {f: _string(a.get(f)) for f in ARTICLE_FIELDS} | {"score": _int(a.get("score"))}
-
-
-def canonical(payload: str | None) -> dict | None:
-    """The canonical form of a payload, or None if it isn't a readable JSON object."""
-    if payload is None:
-        return None
-    try:
-        d = _node(json.loads(payload))
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(d, dict):
-        return None
-    stock = _node(d["stock_data"] if "stock_data" in d else d.get("past_stock_data"))
-    series = {f: _list(stock.get(f)) for f in stock} if isinstance(stock, dict) else {}
-    places = max((len(s) for s in series.values()), default=0)
-    columns = [series.get(f, []) for f in BAR_FIELDS]
-    bars = [{f: _number(s[i]) if i < len(s) else None for f, s in zip(BAR_FIELDS, columns, strict=True)} for i in range(places)]
-    tenk = _node(d.get("latest_10k"))
-    if isinstance(tenk, list):
-        tenk = _node(tenk[0]) if tenk else None
-    return {"bars": bars, "tenk": _paragraphs(tenk), "eight_k": [_report(r) for r in _list(d.get("eight_k_reports"))], "articles": [_article(a) for a in _list(d.get("hacker_news_articles"))]}
+def _reports(x: Column) -> Column:
+    def of(r: Column) -> Column:
+        meta = lambda o: _with(_fields(_opened(o["metadata"]), "filing_date", "accession_number"), lambda m: m)
+        full = lambda o: F.struct(meta(o)["filing_date"].alias("filing_date"), meta(o)["accession_number"].alias("accession_number"), F.when(o.isNotNull(), _paragraphs(o)).alias("paragraphs"))
+        return F.when(r.isNotNull(), _with(_fields(r, "metadata", "paragraphs", "report"), full))
+
+    return _with(_opened(x), lambda y: F.transform(F.transform(_items(y), _opened), of))
+
+
+def _articles(x: Column) -> Column:
+    def of(a: Column) -> Column:
+        texts = lambda o: [(F.when(o.isNull(), a).otherwise(o[f]) if f == "text" else o[f]).alias(f) for f in ARTICLE_FIELDS]
+        return F.when(a.isNotNull(), _with(_fields(a, *ARTICLE_FIELDS, "score"), lambda o: F.struct(*texts(o), _whole(o["score"]).alias("score"))))
+
+    return _with(_opened(x), lambda y: F.transform(F.transform(_items(y), _opened), of))
+
+
+def _bars(x: Column) -> Column:
+    def of(series: Column) -> Column:
+        longest = F.coalesce(F.array_max(F.transform(F.map_values(series), F.size)), F.lit(0))
+        value = lambda f, i: F.get(series[f], i).try_cast("double").alias(f)
+        return F.transform(F.when(longest > 0, F.sequence(F.lit(0), longest - 1)), lambda i: F.struct(*(value(f, i) for f in BAR_FIELDS)))
+
+    lists = lambda m: F.transform_values(m, lambda _, v: _with(_opened(v), _items))
+    return _with(_with(F.when(_begins(x, "{"), F.from_json(x, "map<string,string>")), lists), of)
+
+
+def canonical(raw: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(raw_id, the nested columns that ``kinds`` come from) of the readable payloads.
+
+    A payload is readable if it is one JSON object, or JSON text of one in a string."""
+    one = F.from_json(F.concat(F.lit("["), F.col("payload"), F.lit("]")), _TEXTS)
+    text = _with(one, lambda x: F.when(F.size(x) == 1, _opened(F.get(x, 0))))
+    nodes = ", ".join(f"`{n}` string" for n in ("stock_data", "past_stock_data", "latest_10k", "eight_k_reports", "hacker_news_articles"))
+    parsed = lambda t: F.when(_begins(t, "{"), F.from_json(t, f"{nodes}, `__bad` string", {"columnNameOfCorruptRecord": "__bad"}))
+    wanted = {_SOURCE[k] for k in kinds}
+
+    def made(d: Column) -> Column:
+        each = {"bars": lambda: _bars(_opened(F.coalesce(d["stock_data"], d["past_stock_data"]))), "tenk": lambda: _reports(d["latest_10k"]), "eight_k": lambda: _reports(d["eight_k_reports"]), "articles": lambda: _articles(d["hacker_news_articles"])}
+        return F.when(d["__bad"].isNull(), F.struct(*(of().alias(c) for c, of in each.items() if c in wanted)))
+
+    # One expression, so that no filter is pushed below it and decodes the payload again.
+    return raw.select("raw_id", _with(_with(text, parsed), made).alias("c")).select("raw_id", "c.*")
+
+
+_SOURCE = {"bar": "bars", "tenk_paragraph": "tenk", "eight_k": "eight_k", "eight_k_paragraph": "eight_k", "article": "articles"}
 
 
 def children(lists: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -140,30 +143,34 @@ def _emit(kind: str, ids: pa.Array, parent_pos: pa.Array | None, place: pa.Array
     return pa.RecordBatch.from_arrays([have[c] if c in have else pa.nulls(n, t) for c, t in COLUMNS], names=[c for c, _ in COLUMNS])
 
 
-def flatten_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """All child tables of one batch of (raw_id, payload)."""
-    docs = pa.array([canonical(p) for p in batch.column("payload").to_pylist()], _DOCUMENT)
-    keep = docs.is_valid()
-    ids, docs = batch.column("raw_id").filter(keep), docs.filter(keep)
-    for kind, field in (("bar", "bars"), ("tenk_paragraph", "tenk"), ("article", "articles")):
-        parent, place, values = children(docs.field(field))
-        yield _emit(kind, ids.take(parent), None, place, values)
-    parent, place, reports = children(docs.field("eight_k"))
-    report_ids = ids.take(parent)
-    yield _emit("eight_k", report_ids, None, place, reports)
-    above, place2, paragraphs = children(reports.field("paragraphs"))
-    yield _emit("eight_k_paragraph", report_ids.take(above), place.take(above), place2, paragraphs)
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from flatten_batch(batch)
+def flatten_batch(batch: pa.RecordBatch, kinds: tuple[str, ...] = KINDS) -> Iterator[pa.RecordBatch]:
+    """The child tables of one batch of canonical columns."""
+    ids = batch.column("raw_id")
+    for kind in ("bar", "article"):
+        if kind in kinds:
+            parent, place, values = children(batch.column(_SOURCE[kind]))
+            yield _emit(kind, ids.take(parent), None, place, values)
+    for own, below in ((None, "tenk_paragraph"), ("eight_k", "eight_k_paragraph")):
+        if own in kinds or below in kinds:
+            parent, place, reports = children(batch.column(_SOURCE[below]))
+            if own in kinds:
+                yield _emit(own, ids.take(parent), None, place, reports)
+            if below in kinds:
+                above, place2, paragraphs = children(reports.field("paragraphs"))
+                yield _emit(below, ids.take(parent).take(above), place.take(above), place2, paragraphs)
+
+
+def flatten_documents(raw: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The child rows of all payloads: raw_id, child_kind, parent_pos, child_pos and the child's fields.
 
+    ``raw`` needs raw_id and payload; other columns are ignored, and only the nodes that ``kinds`` come
+    from are decoded.  Unreadable, null and non-object payloads give no rows; null children give no row but
+    keep their place; absent nodes give none; of several annual reports each has its place; a null
+    ``stock_data`` gives way to ``past_stock_data``; what is no number is a null reading; repeated payloads
+    are flattened each under its own id.  Narrow: no shuffle at any size."""
 
-def flatten_documents(raw: DataFrame) -> DataFrame:
-    """The child rows of all payloads: raw_id, child_kind, parent_pos, child_pos and the child's fields.
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield from flatten_batch(batch, kinds)
 
-    ``raw`` needs raw_id and payload; other columns are ignored.  Unreadable, null and non-object
-    payloads give no rows; null children give no row but keep their place; absent nodes give none;
-    repeated payloads are flattened each under its own id.  Narrow: no shuffle at any size."""
-    return raw.select("raw_id", "payload").mapInArrow(_batches, SCHEMA)
+    return canonical(raw, kinds).mapInArrow(batches, SCHEMA)

@@ -11,13 +11,18 @@ from bellwether.session import table
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return flag_readings(table(spark, d, "company_docs")).select("record_id", "series", "pos", "kind")
+    return flag_readings(table(spark, d, "company_docs")).where("kind is not null").select("record_id", "series", "pos", "kind")
+
+
+def p6_states(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that the model flags, with its state and probability, whether a rule names them or not."""
+    return flag_readings(table(spark, d, "company_docs")).select("record_id", "series", "pos", "state", F.round("p_abnormal", 3).alias("p_abnormal"), F.col("kind").isNotNull().alias("ruled"))
 
 
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     """Flagged readings of each source, by kind."""
     docs = table(spark, d, "company_docs")
-    flags = flag_readings(docs).join(docs.select("record_id", "ticker"), "record_id")
+    flags = flag_readings(docs).where("kind is not null").join(docs.select("record_id", "ticker"), "record_id")
     return flags.groupBy("ticker", "kind").agg(F.count("*").alias("n_readings"))
 
 
@@ -30,16 +35,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_bars(spark: SparkSession, d: str) -> DataFrame:
-    return flatten_documents(table(spark, d, "raw_company_docs")).where("child_kind = 'bar'").select("raw_id", F.col("child_pos").alias("pos"), "open", "high", "low", "close", "volume")
+    return flatten_documents(table(spark, d, "raw_company_docs"), ("bar",)).select("raw_id", F.col("child_pos").alias("pos"), "open", "high", "low", "close", "volume")
 
 
 def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    rows = flatten_documents(table(spark, d, "raw_company_docs")).where("child_kind like '%paragraph'")
+    rows = flatten_documents(table(spark, d, "raw_company_docs"), ("tenk_paragraph", "eight_k_paragraph"))
     return rows.select("raw_id", "child_kind", "parent_pos", "child_pos", "text", "score")
 
 
 def p7_articles(spark: SparkSession, d: str) -> DataFrame:
-    rows = flatten_documents(table(spark, d, "raw_company_docs")).where("child_kind = 'article'")
+    rows = flatten_documents(table(spark, d, "raw_company_docs"), ("article",))
     return rows.select("raw_id", F.col("child_pos").alias("pos"), "title", "url", "publish_date", "text", "score", "scoring_method")
 
 
@@ -109,7 +114,7 @@ SELECT raw_id, child_kind, CAST(parent_pos AS BIGINT) AS parent_pos, CAST(child_
   SELECT * FROM bars UNION ALL SELECT raw_id, kind, pos, place FROM paras UNION ALL SELECT raw_id, 'article', 0, pos FROM arts
   UNION ALL SELECT raw_id, 'eight_k', 0, pos FROM reports WHERE kind = 'eight_k_paragraph' AND json_type(r) <> 'NULL')"""
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_rates, p6_normal_moves, p7_found, p7_bars, p7_paragraphs, p7_articles)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_states, p6_rates, p6_normal_moves, p7_found, p7_bars, p7_paragraphs, p7_articles)}
 SQL = {
     "p7_found": _P7,
     "p6_found": _P6_FOUND + "SELECT record_id, series, pos, kind FROM found WHERE kind IS NOT NULL",

@@ -336,11 +336,45 @@ def test_spikes_against_the_rules(spark):
             if s:
                 scale = float(np.median(moves[ticker])) if ticker in moves and ticker else None
                 want |= {(rid, name, i, k) for i, k in _spikes_by_rule(dict(zip(spikes.FIELDS, s, strict=True)), scale).items()}
-    got = [tuple(r) for r in spikes.flag_readings(df).drop("p_abnormal").collect()]
+    flags = spikes.flag_readings(df).collect()
+    got = [(r.record_id, r.series, r.pos, r.kind) for r in flags if r.kind]
     assert len(got) == len(set(got)) and set(got) == want and {k for *_, k in got} == {"impossible", "stuck", "spike"}
+    assert all(0.5 <= r.p_abnormal <= 1 and r.state in spikes.STATES[1:] for r in flags)
     assert spikes.flag_readings(df.limit(0)).count() == 0
 
 
+def test_the_model_finds_what_no_rule_names(spark):
+    """A run of four and a move of six normal moves are under the rules' bounds; a calm series has no flag."""
+    from bellwether import schemas
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(30):
+        c = [float(x) for x in 100 * np.exp(np.cumsum(rng.choice([-0.01, 0.01], 120)))]
+        if i == 1:
+            c[40:44] = [c[40]] * 4
+        if i == 2:
+            c[60] = max(c[59], c[61]) * 1.06
+        rows.append((i, "X", (c, [x * 1.001 for x in c], [x * 0.999 for x in c], c, [float(x) for x in rng.integers(1, 10**9, 120)]), None))
+    df = spark.createDataFrame(rows, f"record_id bigint, ticker string, stock_data {schemas.SERIES}, future_stock_data {schemas.SERIES}")
+    got = {(r.record_id, r.pos, r.state, r.kind) for r in spikes.flag_readings(df).collect()}
+    assert got == {(1, k, "stuck", None) for k in range(40, 44)} | {(2, 60, "spike", None)}
+
+
+def test_transitions_are_trained_by_source():
+    """A source that is often stuck comes to expect it; probabilities add up and stay positive."""
+    n, t = 40, 60
+    x = {f: np.cumsum(np.ones((n, t)), 1) + 50 for f in spikes.FIELDS}
+    x["close"][:, 20:35] = x["close"][:, 20:21]
+    for f in ("open", "high", "low"):
+        x[f] = x["close"].copy()
+    readings = spikes.Readings(x, np.full(n, 0.01))
+    p, steps = spikes.posterior(readings.scores(), readings.valid, np.broadcast_to(spikes.TRANSITIONS, (n, 4, 4)))
+    assert np.allclose(p.sum(2), 1) and np.allclose(steps.sum((1, 2)), t - 1)
+    assert (p[:, 22:33, 2] > 0.99).all() and (p[:, :18, 0] > 0.9).all()
+    assert (steps[:, 2, 2] > 10).all()
+
+
 def test_nested(spark):
     import json
 
@@ -355,6 +389,24 @@ def test_nested(spark):
     assert {r.raw_id for r in got} == {1, 6, 8}
     assert {(r.child_pos, r.text, r.score) for r in got if r.raw_id == 1 and r.child_kind == "tenk_paragraph"} == {(0, "a", None), (2, "b", 2)}
     assert nested.flatten_documents(df.limit(0)).count() == 0
+    assert {r.child_kind for r in nested.flatten_documents(df, ("eight_k",)).collect()} == {"eight_k"}
+
+
+def test_nested_shapes(spark):
+    """Several annual reports, a null node beside another name of it, deep quoting, broken and doubled payloads, readings that are no numbers."""
+    import json
+
+    deep = {"latest_10k": [{"paragraphs": ["a"]}, None, {"report": "b"}, "bare"]}
+    quoted = deep
+    for _ in range(6):
+        quoted = json.dumps(quoted)
+    rows = [(1, json.dumps(deep)), (2, quoted), (3, '{"stock_data": null, "past_stock_data": {"close": [1, "x", true, 2.5]}}'), (4, json.dumps(deep) + " tail"), (5, json.dumps(deep)[:-3]), (6, '{"a": 1}, {"latest_10k": {"report": "x"}}'), (7, '  {"hacker_news_articles": ["[not json", {"text": {"a": 1}, "score": "high"}]}  ')]
+    got = nested.flatten_documents(spark.createDataFrame(rows, "raw_id bigint, payload string")).collect()
+    cells = lambda i: sorted((r.child_kind, r.parent_pos, r.child_pos) for r in got if r.raw_id == i)
+    assert cells(1) == cells(2) == [("tenk_paragraph", 0, 0), ("tenk_paragraph", 2, 0)]
+    assert [r.close for r in sorted((r for r in got if r.raw_id == 3), key=lambda r: r.child_pos)] == [1.0, None, None, 2.5]
+    assert {r.raw_id for r in got} == {1, 2, 3, 7}
+    assert {(r.child_pos, r.text, r.score) for r in got if r.raw_id == 7} == {(0, "[not json", None), (1, '{"a":1}', None)}
 
 
 def test_global_row_numbers(spark):
