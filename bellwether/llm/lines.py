@@ -53,8 +53,9 @@ def repeated_keys(docs: DataFrame, doc: str = "filing_id", source: str = "ticker
     return counts.where((F.col("n_documents") >= min_documents) & (F.col("n_clusters") >= min_clusters) & (F.col("n_dates") >= min_dates))
 
 
-def repeated_lines(docs: DataFrame, doc: str = "filing_id", source: str = "ticker", lines: str = "paragraphs", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(doc, pos) of every occurrence of a line found in at least ``min_documents`` documents of its source.
+def repeated_lines(docs: DataFrame, doc: str = "filing_id", source: str = "ticker", lines: str = "paragraphs", min_documents: int = MIN_DOCUMENTS, min_clusters: int = 1, min_dates: int = 0, date: str = "filing_date") -> DataFrame:
+    """(doc, pos) of every occurrence of a line found in at least ``min_documents`` documents of its source,
+    ``min_clusters`` clusters of equal documents and on ``min_dates`` dates.
 
     Each document id counts once however often it holds a line; ids are taken to be unique.  Null and
     blank lines, null arrays and null sources give no rows; an empty table gives none.  The counts are
@@ -63,7 +64,10 @@ def repeated_lines(docs: DataFrame, doc: str = "filing_id", source: str = "ticke
     keyed = materialize(keyed.withColumn("cluster", F.md5(F.array_join("keys", ",", "-"))))
     clusters = keyed.groupBy("source", "cluster").agg(F.count("*").alias("n"), F.first("keys").alias("keys"))
     of = clusters.select("source", "cluster", "n", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
-    often = of.groupBy("source", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_documents).select("source", "key")
+    if min_clusters > 1 or min_dates > 0:
+        often = repeated_keys(docs, doc, source, lines, date, min_documents, min_clusters, min_dates).select("source", "key")
+    else:
+        often = of.groupBy("source", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_documents).select("source", "key")
     # Which keys of which cluster are repeated: one row per cluster.
     hit = of.join(often, ["source", "key"], "left_semi").groupBy("source", "cluster").agg(F.collect_set("key").alias("hits"))
     found = keyed.join(hit, ["source", "cluster"])

@@ -8,12 +8,15 @@ spelling; a word that reaches none is normalised by the character table.
 
 The zero-cost relation is an equivalence (two words are related if the table gives both the same
 form), so all words of a class reach the same spellings, and texts that look the same come out equal
-whatever the vocabulary holds."""
+whatever the vocabulary holds.  A word that the vocabulary doesn't know is written in one script: that of
+its letters without look-alikes, else that of the text's, else Latin, so that no plain Cyrillic or Greek
+word is mixed with Latin letters.  Both are read off the table's form, which look-alikes share."""
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +34,12 @@ SAME_SHAPE = {
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "ւ": "L",
+    "ѵ": "v", "ү": "y", "Ѵ": "V", "Ӏ": "I", "ɡ": "g", "ℓ": "l",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
 }
+#: Scripts with letters of a Latin shape.
+SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU")
 #: The vocabulary holds at most so many words of at most so many letters, seen at least so often.
 VOCABULARY_WORDS, VOCABULARY_LETTERS, VOCABULARY_SEEN = 1 << 16, 32, 3
 REMEMBERED = 1 << 18
@@ -52,7 +60,7 @@ def fold(char: str) -> str:
     if category in ("Zl", "Zp") or code == 0x85:
         return "\n"
     tag, _, rest = unicodedata.decomposition(char).partition(" ")
-    joined = tag == "<compat>" and (0xFB00 <= code <= 0xFB4F or "LIGATURE" in unicodedata.name(char, ""))
+    joined = tag == "<compat>" and (0xFB00 <= code <= 0xFB4F or "LIGATURE" in unicodedata.name(char, "") or "ROMAN NUMERAL" in unicodedata.name(char, ""))
     if tag in _COMPATIBLE or joined:
         return "".join(fold(chr(int(c, 16))) for c in rest.split())
     return SAME_SHAPE.get(char, char)
@@ -65,6 +73,41 @@ def table_form(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(map(fold, unicodedata.normalize("NFD", text))))
 
 
+def _script(char: str) -> str:
+    return unicodedata.name(char, "").split(" ")[0]
+
+
+#: Of each script the letters by the Latin one they look like, the first in the table's order.
+INTO: dict[str, dict[str, str]] = {s: {} for s in SCRIPTS}
+for _char, _latin in SAME_SHAPE.items():
+    if _script(_char) in INTO:
+        INTO[_script(_char)].setdefault(_latin, _char)
+_SHARED = frozenset(SAME_SHAPE.values())
+
+
+@lru_cache(maxsize=1 << 16)
+def _certain(char: str) -> str | None:
+    """The script of a letter of the table's form that no other script's letter looks like."""
+    if char in _SHARED or not char.isalpha():
+        return None
+    script = _script(char)
+    return script if script in INTO or script == "LATIN" else None
+
+
+def script_of(form: str) -> str | None:
+    """The script most letters without look-alikes are of, in the table's form of a word or text."""
+    votes = Counter(filter(None, map(_certain, unicodedata.normalize("NFD", form))))
+    return min(votes, key=lambda s: (-votes[s], s != "LATIN", s)) if votes else None
+
+
+def in_script(form: str, script: str | None) -> str:
+    """The table's form of a word, its shared letters written in ``script``."""
+    into = INTO.get(script or "")
+    if not into:
+        return form
+    return unicodedata.normalize("NFC", "".join(into.get(c, c) for c in unicodedata.normalize("NFD", form)))
+
+
 class Trie:
     """Plain words with their counts; ``spellings`` walks it with the edit automaton."""
 
@@ -107,11 +150,11 @@ class Trie:
                 work.extend((child, cost + 1) for label, child in node.items() if label and cost < budget)
         return found
 
-    def canonical(self, word: str) -> str:
+    def canonical(self, word: str) -> str | None:
         """The most frequent plain spelling of ``word``; ties go to the table's form, then in order."""
         found = self.spellings(word)
         form = table_form(word)
-        return min(found, key=lambda w: (-self.counts[w], w != form, w)) if found else form
+        return min(found, key=lambda w: (-self.counts[w], w != form, w)) if found else None
 
 
 class Canonical:
@@ -122,16 +165,24 @@ class Canonical:
         self.pieces = regex.compile(r"[\p{L}\p{M}\p{Cf}]+|[^\p{L}\p{M}\p{Cf}]+").findall
         self.word = regex.compile(r"[\p{L}\p{M}\p{Cf}]").match
 
-    def piece(self, p: str) -> str:
-        form = self.trie.canonical(p) if self.word(p) else table_form(p)
+    def piece(self, p: str) -> str | None:
+        """The form of a piece, or None if it takes the text to tell its script."""
+        form = table_form(p)
+        if self.word(p):
+            form = self.trie.canonical(p) or ((script := script_of(form)) and in_script(form, script))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.known[p] = form
         return form
 
     def text(self, t: str) -> str:
+        pieces = self.pieces(t.replace("\r\n", "\n"))
+        forms = [self.known[p] if p in self.known else self.piece(p) for p in pieces]
+        if None in forms:
+            script = None if t.isascii() else script_of(table_form(t))
+            forms = [in_script(table_form(p), script) if f is None else f for p, f in zip(pieces, forms, strict=True)]
         # A full-width sign or a combining accent may join what the pieces part: compose once more.
-        out = "".join([self.known.get(p) or self.piece(p) for p in self.pieces(t.replace("\r\n", "\n"))])
+        out = "".join(forms)
         return out if out.isascii() else unicodedata.normalize("NFC", out)
 
 
@@ -180,6 +231,15 @@ def canonical_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return _canonical(docs, key, text, _form)
 
 
+def look_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, class_id, n_spellings) of every row with a text: the least key of those that look the same,
+    and how many different texts they are.  Copies are counted before the shuffle, no pairs are made."""
+    rows = materialize(_canonical(docs, key, text, _digests).where("look is not null"))
+    spellings = rows.groupBy("look", "spelled").agg(F.min(key).alias("first"))
+    classes = spellings.groupBy("look").agg(F.min("first").alias("class_id"), F.count("*").alias("n_spellings"))
+    return rows.join(classes, "look").select(key, "class_id", "n_spellings")
+
+
 def same_looks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (``key``_a, ``key``_b), smaller first, of rows whose texts differ but look the same.
 

@@ -1,6 +1,7 @@
 """Filling containers of fixed capacity with texts: minimum bin slack over windows of items.
 
-Items are spread over windows of about ``BINS`` containers' worth of tokens by a hash of their id.
+Items are spread over windows of about ``BINS`` containers' worth of tokens, and ``ROWS`` items at most, by a
+hash of their id.
 Within a window containers are filled one by one: the longest item left opens it, and a subset-sum
 dynamic program over bitsets of the lengths left picks the multiset that comes closest to what is
 left of the capacity; the counts are found by tracing the bitsets back.  Only lengths and ids are
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from bellwether.llm.encode import VOCABULARY, encode
 from bellwether.session import materialize
 
-#: Containers' worth of tokens in a window, on average.
-BINS = 4096
+#: Containers' worth of tokens in a window, on average, and items in it.
+BINS, ROWS = 4096, 1 << 17
 
 
 def best_fill(room: int, left: dict[int, int]) -> dict[int, int]:
@@ -70,12 +71,9 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
 def _pack_window(rows: pd.DataFrame) -> pd.DataFrame:
     budget, capacity, window = (int(rows[c].iloc[0]) for c in ("budget_id", "capacity", "window"))
     rows = rows.sort_values(["n_tokens", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    n = rows["n_tokens"].tolist()
-    some = sum(x > 0 for x in n)  # items without tokens come last
-    bins = pack(n[:some], capacity) or [[]]
-    bins[0] = bins[0] + list(range(some, len(n)))
+    bins = pack(rows["n_tokens"].tolist(), capacity)
     place = {i: b for b, items in enumerate(bins) for i in items}
-    rows["container_id"] = [f"{budget}-{window}-{place[i]}" for i in range(len(n))]
+    rows["container_id"] = [f"{budget}-{window}-{place[i]}" for i in range(len(rows))]
     return rows[["budget_id", "capacity", "container_id", "doc_id", "part", "start", "n_tokens"]]
 
 
@@ -88,20 +86,23 @@ def pack_items(sizes: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame
     ``sizes`` has doc_id and n_tokens.  An item over the capacity alone is split: every full part is a
     container of its own, the rest is packed like any item; ``start`` is the part's first token.  Items
     without tokens (null n_tokens counts as none) take no room and go to the first container of their
-    window.  Repeated ids are packed each; an empty table or no capacity gives no rows."""
+    window without being grouped.  Repeated rows are packed each; an empty table or no capacity gives no
+    rows.  Ids of containers follow from the items alone, not from how they are spread over tasks."""
     if not capacities:
         return sizes.sparkSession.createDataFrame([], PACKED)
-    sizes = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
-    # The row's own number tells repeated ids apart; it is written down, so a repeated task sees the same.
-    sizes = materialize(sizes.withColumn("item", F.monotonically_increasing_id()))
-    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    budgets = F.array(*(F.struct(F.lit(b).cast("bigint").alias("budget_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(max(1, -(-total // (c * BINS)))).cast("bigint").alias("windows")) for b, c in capacities))
-    items = sizes.select("doc_id", "item", F.col("n_tokens").alias("size"), F.explode(budgets).alias("b")).select("doc_id", "item", "size", "b.*")
-    parts = items.withColumn("part", F.explode(F.expr("sequence(0L, greatest(0L, (size - 1) div capacity))"))).withColumn("start", F.expr("part * capacity")).withColumn("n_tokens", F.expr("least(capacity, size - start)"))
-    whole = parts.where("n_tokens = capacity").select("budget_id", "capacity", F.concat_ws("-", "budget_id", F.lit("full"), "doc_id", "part", "item").alias("container_id"), "doc_id", "part", "start", "n_tokens")
-    rest = parts.where("n_tokens < capacity").withColumn("window", F.expr("pmod(xxhash64(doc_id, size), windows)"))
-    packed = rest.groupBy("budget_id", "capacity", "window").applyInPandas(_pack_window, PACKED)
-    return packed.unionByName(whole)
+    sizes = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("size"))
+    # Repeated rows are told apart by a number of their own.
+    sizes = materialize(sizes.groupBy("doc_id", "size").agg(F.count("*").alias("n")).select("doc_id", "size", F.explode(F.expr("sequence(1L, n)")).alias("copy")))
+    total, filled = sizes.where("size > 0").agg(F.sum("size"), F.count("*")).first()
+    windows = lambda c: max(1, -(-(total or 0) // (c * BINS)), -(-filled // ROWS))
+    budgets = F.array(*(F.struct(F.lit(b).cast("bigint").alias("budget_id"), F.lit(c).cast("bigint").alias("capacity"), F.lit(windows(c)).cast("bigint").alias("windows")) for b, c in capacities))
+    items = sizes.select("doc_id", "copy", "size", F.explode(budgets).alias("b")).select("doc_id", "copy", "size", "b.*")
+    items = items.withColumn("window", F.expr("pmod(xxhash64(doc_id, size, copy), windows)"))
+    none = items.where("size = 0").select("budget_id", "capacity", F.concat_ws("-", "budget_id", "window", F.lit(0)).alias("container_id"), "doc_id", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("start"), F.col("size").alias("n_tokens"))
+    parts = items.where("size > 0").withColumn("part", F.explode(F.expr("sequence(0L, (size - 1) div capacity)"))).withColumn("start", F.expr("part * capacity")).withColumn("n_tokens", F.expr("least(capacity, size - start)"))
+    whole = parts.where("n_tokens = capacity").select("budget_id", "capacity", F.concat_ws("-", "budget_id", F.lit("full"), "doc_id", "size", "copy", "part").alias("container_id"), "doc_id", "part", "start", "n_tokens")
+    packed = parts.where("n_tokens < capacity").groupBy("budget_id", "capacity", "window").applyInPandas(_pack_window, PACKED)
+    return packed.unionByName(whole).unionByName(none)
 
 
 def pack_documents(docs: DataFrame, budgets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -60,6 +60,12 @@ def p5_lines(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("source").alias("ticker"), "key", F.col("n_documents").cast("bigint").alias("n_filings"), "n_clusters", "n_dates")
 
 
+def p5_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of the lines that are boilerplate whatever is republished: found in at least five clusters
+    of different filings, on at least three dates."""
+    return lines.repeated_lines(table(spark, d, "filings"), min_clusters=5, min_dates=3)
+
+
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Each filing's paragraphs without the repeated ones."""
     cleaned = lines.without_repeated(table(spark, d, "filings"))
@@ -84,11 +90,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looks(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_classes(table(spark, d, "documents"))
+
+
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p4_found, p4_reasons, p5_found, p5_lines, p5_cleaned, p8_ids, p9_contents, p9_fill, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p4_found, p4_reasons, p5_found, p5_lines, p5_boilerplate, p5_cleaned, p8_ids, p9_contents, p9_fill, p10_found, p10_classes, p10_canonical)}
 
 _LINES = r"""
 WITH l AS (SELECT filing_id, ticker, filing_date, paragraphs, unnest(generate_series(1, len(paragraphs))) AS i FROM filings),
@@ -109,7 +119,7 @@ SELECT a AS record_id_a, b AS record_id_b FROM s JOIN n x ON s.a = x.record_id J
 def _same_form_sql(c: str) -> str:
     """The character table as SQL: ignorables, blanks, joined forms, then one character for another."""
     one, many = {}, {}
-    for code in (*range(0x80, 0x530), *range(0x531, 0x58A), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)):
+    for code in (*range(0x80, 0x530), *range(0x531, 0x58A), *range(0x13A0, 0x1400), *range(0x1E00, 0x2000), 0x2113, *range(0x2160, 0x2180), *range(0xA4D0, 0xA500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)):
         form = lookalike.table_form(chr(code))
         if form != chr(code) and form:
             (one if len(form) == 1 else many)[chr(code)] = form
@@ -126,7 +136,12 @@ SQL = {
     + """, seq AS (SELECT filing_id, string_agg(CASE WHEN line <> '' THEN md5(line) ELSE '-' END, ',' ORDER BY i) AS seq FROM k GROUP BY filing_id)
 SELECT k.ticker, md5(k.line) AS key, count(DISTINCT k.filing_id) AS n_filings, count(DISTINCT seq.seq) AS n_clusters, count(DISTINCT k.filing_date) AS n_dates
 FROM k JOIN often USING (ticker, line) JOIN seq USING (filing_id) GROUP BY k.ticker, md5(k.line)""",
+    "p5_boilerplate": _LINES
+    + """, seq AS (SELECT filing_id, string_agg(CASE WHEN line <> '' THEN md5(line) ELSE '-' END, ',' ORDER BY i) AS seq FROM k GROUP BY filing_id),
+plate AS (SELECT k.ticker, k.line FROM k JOIN often USING (ticker, line) JOIN seq USING (filing_id) GROUP BY k.ticker, k.line HAVING count(DISTINCT seq.seq) >= 5 AND count(DISTINCT k.filing_date) >= 3)
+SELECT filing_id, CAST(i - 1 AS BIGINT) AS pos FROM k JOIN plate USING (ticker, line)""",
     "p10_found": f"WITH t AS (SELECT doc_id, text, {_same_form_sql('text')} AS k FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM t a JOIN t b ON a.k = b.k AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p10_classes": f"WITH t AS (SELECT doc_id, text, {_same_form_sql('text')} AS k FROM documents WHERE text IS NOT NULL), c AS (SELECT k, min(doc_id) AS class_id, count(DISTINCT text) AS n_spellings FROM t GROUP BY k) SELECT doc_id, class_id, n_spellings FROM t JOIN c ON t.k = c.k",
     "p5_found": _LINES + "SELECT filing_id, CAST(i - 1 AS BIGINT) AS pos FROM k JOIN often USING (ticker, line)",
     "p5_cleaned": _LINES
     + """SELECT f.filing_id, CASE WHEN f.paragraphs IS NOT NULL THEN CAST(coalesce(n, 0) AS INT) END AS n_paragraphs, CASE WHEN f.paragraphs IS NOT NULL THEN coalesce(c.text, '') END AS text FROM filings f LEFT JOIN (

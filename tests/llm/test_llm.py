@@ -246,6 +246,16 @@ def test_repeated_lines(spark):
     assert lines.repeated_lines(df.limit(0)).count() == 0 and lines.without_repeated(df.limit(0)).count() == 0
 
 
+def test_republished_filings_are_no_boilerplate(spark):
+    """A filing published nine times is one cluster; a line needs five different filings, on three dates."""
+    own = [(i, "A", [f"own {'abcdefgh'[i]}", "terms apply"], f"2024-01-0{1 + i % 4}") for i in range(6)]
+    again = [(10 + i, "A", ["the same article", "its second line"], f"2024-02-0{1 + i}") for i in range(9)]
+    one_day = [(20 + i, "A", [f"other {'abcdefgh'[i]}", "daily note"], "2024-03-01") for i in range(6)]
+    df = spark.createDataFrame(own + again + one_day, "filing_id bigint, ticker string, paragraphs array<string>, filing_date string")
+    assert {r.filing_id for r in lines.repeated_lines(df).collect()} == {r[0] for r in own + again + one_day}
+    assert sorted(tuple(r) for r in lines.repeated_lines(df, min_clusters=5, min_dates=3).collect()) == [(i, 1) for i in range(6)]
+
+
 # Problem 8
 
 
@@ -322,6 +332,7 @@ def test_packing(spark):
         for r in mine:
             fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
         assert max(fill.values()) <= capacity
+        assert sorted(map(tuple, mine)) == sorted(tuple(r) for r in packing.pack_items(df.repartition(7), [(budget, capacity)]).collect())
         want = sum(s or 0 for _, s in sizes)
         assert sum(fill.values()) == want and len(fill) <= _first_fit(pieces(sizes, capacity), capacity) + 1
         for doc in {d for d, _ in sizes} - {7}:
@@ -331,6 +342,15 @@ def test_packing(spark):
     assert packing.pack_items(df.limit(0), [(1, 100)]).count() == 0 and packing.pack_items(df, []).count() == 0
 
 
+def test_packing_windows_follow_the_items(spark):
+    """Many short items make many windows; items without tokens are in no group at all."""
+    df = spark.range(400_000).selectExpr("id as doc_id", "cast(id % 2 as bigint) as n_tokens")
+    got = packing.pack_items(df, [(1, 1 << 20)])
+    per = got.groupBy("container_id").agg(F.count_if(F.col("n_tokens") == 1).alias("n"), F.sum("n_tokens").alias("s")).collect()
+    assert len(per) == 2 and sum(r.n for r in per) == 200_000 and max(r.n for r in per) <= packing.ROWS
+    assert packing.pack_items(df.where("n_tokens = 0"), [(1, 10)]).count() == 200_000
+
+
 # Problem 10
 
 SAME = [("Café closed at 12", "Café closed at 12"), ("The finance team", "Τhe fі​nance team"), ("ﬁnal ofﬁce", "final office"), ("ＡＢＣ １２", "ABC 12"), ("a b", "a b"), ("", "​"), ("naïve Ä", "nаïve­ Ӓ"), ("сор", "cop")]
@@ -349,6 +369,17 @@ def test_canonical_forms(words):
         assert c.text("cop") == "сор"  # the spelling the corpus has most
 
 
+@pytest.mark.parametrize("words", [{}, {"корова": 3, "cop": 9}])
+def test_words_keep_to_one_script(words):
+    c = lookalike.Canonical(words)
+    for text in ("корова и сорока", "Ирина Сорокина", "νόμος", "ОАО Рост", "plain Latin text"):
+        assert c.text(text) == text or words
+    # Mixed words come out in the script of the letters that only it has; words of look-alikes alone in the text's.
+    assert c.text("кopoвa") == "корова" and c.text("pаypаl") == "paypal"
+    if not words:
+        assert c.text("сор на дворе") == c.text("cop на дворе") == "сор на дворе" and c.text("сор in the yard") == "cop in the yard"
+
+
 def test_edit_automaton_with_a_budget():
     trie = lookalike.Trie({"finance": 2, "final": 1})
     assert trie.spellings("fіnance") == {"finance": 0} and trie.spellings("finanse") == {}
@@ -362,6 +393,10 @@ def test_same_looks(spark):
     form = lookalike.Canonical({}).text
     want = [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if a is not None and b is not None and a != b and form(a) == form(b)]
     assert got == want and len(want) > len(SAME)
+    classes = {r.doc_id: (r.class_id, r.n_spellings) for r in lookalike.look_classes(df).collect()}
+    for i, a in enumerate(texts):
+        same = [j for j, b in enumerate(texts) if a is not None and b is not None and form(a) == form(b)]
+        assert classes.get(i) == ((min(same), len({texts[j] for j in same})) if same else None)
     out = {r.doc_id: r.canonical for r in lookalike.canonical_texts(df).collect()}
     assert out[len(texts) - 1] is None and all(v is None or unicodedata.is_normalized("NFC", v) for v in out.values())
     assert lookalike.same_looks(df.limit(0)).count() == 0
