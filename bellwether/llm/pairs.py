@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from bellwether.llm.truncation import truncated
 from bellwether.session import materialize
 
-#: Phrases that decline to answer (lower case, straight apostrophes).
+#: Phrases that decline to answer (lower case, straight apostrophes); a star stands for the rest of a word.
 REFUSALS = {
-    "en": "can't provide|cannot provide|can not provide|unable to provide|not able to provide|can't help|cannot help|unable to help|can't assist|cannot assist|unable to assist|i can't predict|i cannot predict|unable to predict|can't answer|cannot answer|unable to answer|must decline|have to decline|i decline|i refuse|won't produce|won't provide|will not provide|will not be given|won't be able|not permitted|not allowed to|do not allow me|don't allow me|against the rules|against my|violates my|outside what i am able|outside what i'm able|beyond what i|beyond my|rather not speculate|rather not|prefer not to|request declined|is not supported|isn't supported|request unanswered|irresponsible of me|as a language model|as an ai|i'm sorry, but|i am sorry, but|amount to personal advice|not comfortable",
+    "en": "can't provide|cannot provide|can not provide|unable to provide|not able to provide|can't help|cannot help|unable to help|can't assist|cannot assist|unable to assist|i can't predict|i cannot predict|unable to predict|can't answer|cannot answer|unable to answer|must decline|have to decline|i decline|i refuse|won't produce|won't provide|will not provide|will not be given|won't be able|not permitted|not allowed to|do not allow me|don't allow me|against the rules|against my guideline*|against my polic*|against my rules|against my instructions|against my programming|violates my|outside what i am able|outside what i'm able|beyond what i can|beyond what i am|beyond what i'm|beyond my abilit*|beyond my scope|beyond my capabilit*|beyond my remit|i'd rather not|i would rather not|i prefer not to|i'd prefer not to|i would prefer not to|request declined|is not supported|isn't supported|request unanswered|irresponsible of me|as a language model|as an ai|i'm sorry, but|i am sorry, but|amount to personal advice|not comfortable",
     "de": "kann ich nicht helfen|dabei nicht helfen|kann ich nicht beantworten|kann ich keine|darf ich keine|darf ich nicht|ist mir nicht erlaubt|ist mir nicht gestattet|möchte ich nicht|möchte mich nicht|es tut mir leid, aber|tut mir leid, aber|als sprachmodell|als ki|lehne ich ab|muss ich ablehnen|keine auskunft geben|keine prognose",
     "fr": "je ne peux pas|je ne suis pas en mesure|je ne suis pas autorisé|je préfère ne pas|ne pas me prononcer|il ne m'est pas permis|il m'est impossible|je dois refuser|je refuse|désolé, je|désolée, je|en tant que modèle de langage|en tant qu'ia",
     "es": "no puedo ayudar|no puedo responder|no puedo proporcionar|no puedo dar|no puedo ofrecer|no me está permitido|no se me permite|no estoy autorizado|prefiero no|lo siento, no|lo siento, pero|como modelo de lenguaje|como ia|debo rechazar|debo negarme|me niego a",
@@ -46,13 +46,15 @@ STOPWORDS = {
 #: The share of the prose that runs of at least COPY_RUN words of the prompt cover, from which it is a
 #: copy, and the share of the prompt that it must give back.
 COPY_SHARE, COPY_RUN, COPY_PROMPT = 0.85, 4, 0.5
-#: An answer of at most so many words that refuses within so many of its first sentences is a refusal.  Any
+#: An answer of at most so many words that refuses within so many of its first sentences is a refusal, if no other sentence gives a forecast.  Any
 #: other is one if it refuses anywhere, and in this share of its sentences or without a sentence of a forecast.
 REFUSAL_WORDS, REFUSAL_SENTENCES, REFUSAL_SHARE = 90, 3, 0.5
 #: What a sentence of a forecast has.
 FORECAST = re.compile(
     r"\d|\b(?:ris(?:e|es|ing)|rose|fall(?:s|ing)?|fell|gain(?:s|ed)?|drop(?:s|ped)?|higher|lower|increas\w+|decreas\w+|declin(?:e|es|ing) (?:in|of)|upward|downward|bullish|bearish|upside|downside|grow(?:s|th|ing)?|grew|steig\w+|sink\w+|höher|niedriger|hausse|baisse|monte\w*|augment\w+|subi\w*|sube\w*|baja\w*|caída|aument\w+|rialzo|ribasso|queda|alta)\b", re.I
 )
+#: What gives a forecast after all.
+GIVEN = re.compile(r"\b(?:i|we) (?:expect|forecast|project|anticipate|estimate|predict|see)\b|\b(?:likely|expected) to (?:rise|fall|gain|drop|close|climb|slip|be unchanged)\b|\b(?:will|should) (?:rise|fall|gain|drop|close|climb|slip)\b", re.I)
 #: A language needs so many votes; where it isn't the prompt's, that one has at most this share of them.
 LANGUAGE_VOTES, LANGUAGE_SHARE = 3, 0.65
 #: What stands for no content.
@@ -63,6 +65,8 @@ for _lang, _words in STOPWORDS.items():
     for _w in _words.split():
         _VOTES.setdefault(_w, []).append(_lang)
 _WORDS = re.compile(r"[^\W_]+").findall
+#: Marks that may stand before the first word of a phrase.
+_MARKS = re.compile(r"[\"“”„«»()\[\]*_>#]")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 _FENCE = regex.compile(r"^\s*(```+|~~~+)[ \t]*[\w-]*[ \t]*\n?")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}--[\n\t\r]]", regex.V1)
@@ -73,7 +77,7 @@ def refusal_automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for phrases in REFUSALS.values():
         for p in phrases.split("|"):
-            a.add_word(f" {p}", p)
+            a.add_word(f" {p.rstrip('*')}", p.endswith("*"))
     a.make_automaton()
     return a
 
@@ -192,7 +196,7 @@ def take_apart(text: str | None) -> tuple[str | None, str, bool]:
     if nothing(body):
         return "empty", "", False
     if body[0] in '{["':
-        for _ in range(8):
+        while True:  # every text in quotes is shorter than the quotation
             try:
                 value = json.loads(body, strict=False)
             except (ValueError, RecursionError):
@@ -248,15 +252,15 @@ def foreign(text: str, expected: str) -> bool:
 
 
 def _has_refusal(text: str) -> bool:
-    plain = " " + " ".join(text.lower().replace("’", "'").split())
-    return next(refusal_automaton().iter(plain), None) is not None
+    plain = " " + " ".join(_MARKS.sub(" ", text.lower().replace("’", "'")).split()) + " "
+    return any(begun or not plain[at + 1].isalnum() for at, begun in refusal_automaton().iter(plain))
 
 
 def refuses(prose: str, automaton: SuffixAutomaton | None = None) -> bool:
     """Whether the prose declines to answer; sentences of the prompt (``automaton``) neither refuse nor forecast."""
     sentences = [s for s in _SENTENCES.split(prose.strip()) if s]
     if len(_WORDS(prose)) <= REFUSAL_WORDS and _has_refusal(" ".join(sentences[:REFUSAL_SENTENCES])):
-        return True
+        return not any(GIVEN.search(s) for s in sentences if not _has_refusal(s))
     if not _has_refusal(prose):
         return False
     if automaton is not None:

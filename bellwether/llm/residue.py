@@ -48,11 +48,31 @@ NOTICES = (
     r"not found|could not be found|couldn't be found|page (?:you (?:asked|are looking) for|no longer exists|is gone|has moved)|may have (?:been )?moved|moved or been removed|was withdrawn|its address is wrong|object moved|moved permanently|down for maintenance|under maintenance|scheduled maintenance|back at \d|try again (?:in|later)",
     r"access (?:is )?denied|forbidden|permission to (?:view|access)|not authori[sz]ed|unauthori[sz]ed|not available in your (?:country|region)|unavailable in your (?:country|region)|too many requests|rate limit|limit of (?:pages|articles)|reached (?:your|the) limit|subscribe (?:or|to (?:read|continue))|subscribers? only|log ?in to|sign in|session (?:has |is )?(?:expired|timed out)|register to read",
     r"we use cookies|accept all|manage (?:choices|cookies|preferences)|cookie (?:settings|preferences|policy)|make a choice before|consent (?:to|before)|privacy choices",
-    r"are you a (?:robot|human)|not a robot|unusual traffic|complete the (?:puzzle|captcha|check)|captcha|verify (?:that )?you are|checking (?:that )?your (?:connection|browser)|connection is secure|just a moment|ddos protection|security check",
+    r"are you a (?:robot|human)|not a robot|unusual traffic|complete the (?:puzzle|captcha|check)|captcha|recaptcha|verify (?:that )?you are|checking (?:that )?your (?:connection|browser)|connection is secure|just a moment|ddos protection|security check",
     r"(?:enable|turn on|activate|allow|requires?|needs?) (?:javascript|scripts?|cookies)|javascript (?:is )?(?:disabled|off|required)|scripting is off|scripts? to run|noscript|blocked them|how to allow scripts|enable it|reload this page|browser (?:has|settings|is not supported)",
     r"javascript aktivieren|aktivieren sie javascript|seite (?:wurde )?nicht gefunden|zugriff verweigert|cookies? (?:akzeptieren|zulassen)|sitzung (?:ist )?abgelaufen|activer javascript|activez javascript|page introuvable|acc[eè]s refus[eé]|session (?:a )?expir[eé]|(?:active|activar|habilite) javascript|p[aá]gina no encontrada|acceso denegado|sesi[oó]n (?:ha )?(?:caducado|expirado)",
 )
-NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.I)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside groups."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append(pattern[at:i])
+            at = i + 1
+    return [*out, pattern[at:]]
+
+
+def _at_words(patterns: tuple[str, ...]) -> str:
+    """All alternatives, those that begin with a letter or a group being tried at the beginnings of words only."""
+    each = [a for p in patterns for a in _alternatives(p)]
+    begin = [a for a in each if a[0].isalpha() or a[0] == "("]
+    return rf"\b(?:{'|'.join(begin)})|" + "|".join(a for a in each if a not in begin)
+
+
+NOTICE = re.compile(_at_words(NOTICES), re.I)
 #: The same for lower case, which is faster.
 _NOTICE_LOWER = re.compile(NOTICE.pattern)
 #: A page of more words than this may be an article that several sites have: its template must come back so
@@ -70,6 +90,8 @@ PAGE_SITES = 3
 #: A slot is left blank if at least so many records share its template and this share of them fill it.
 SLOT_RECORDS, SLOT_SHARE = 8, 0.9
 
+#: A placeholder in one slot of so many texts is one that was left.
+LEFT_TEXTS = 3
 #: A name is a default if so many different texts have it in a slot, in which at least SLOT_RECORDS others
 #: vary, none coming back more than a fifth as often and at least half of them being different.
 DEFAULT_TEXTS, DEFAULT_TIMES, DEFAULT_VARY = 5, 5, 0.5
@@ -77,10 +99,12 @@ DEFAULT_TEXTS, DEFAULT_TIMES, DEFAULT_VARY = 5, 5, 0.5
 #: A text without any of these has no placeholder.
 _MARKS = re.compile(r"[{}<>\[\]$%#@_]|XXXX|TK ")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_PARTS = re.compile(r"\s+[|–—-]\s+|:\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 _AROUND = ".,;:!?()[]\"'“”‘’«»"
-_SLOT, _OWN = "\x00", "\x01"
+#: Stand for a placeholder that is talked about, a name of a variable's kind, a placeholder that was left.
+_SLOT, _OWN, _LEFT = "\x00", "\x01", "\x02"
 #: Tags of HTML are no fillings; other bracketed words are, unless quoted.
 _HTML = re.compile(r"</?(?:a|abbr|b|blockquote|br|cite|code|div|em|h[1-6]|i|img|li|mark|ol|p|pre|q|s|small|span|strong|sub|sup|table|td|tr|u|ul)(?:\s[^<>]*)?/?>", re.I)
 _GROUP = re.compile(rf"(^|[^{QUOTES}])(\[[^\[\]\n]{{1,60}}\]|\{{[^{{}}\n]{{0,60}}\}}|<[^<>\n]{{1,60}}>)")
@@ -104,10 +128,10 @@ def template(sentence: str) -> tuple[list[str], list[tuple[int, str, str]]]:
 
     Fillings are numbers, placeholders, addresses, names (capitals after the first word) and whatever looks
     like a variable's name; side by side, of one kind and without a comma between they are one.  The gap is the
-    number of words before; the kind is 'number', 'name', 'mixed' for letters with digits, or 'own' for what
-    looks like a variable's name."""
+    number of words before; the kind is 'number', 'name', 'mixed' for letters with digits, 'own' for what
+    looks like a variable's name, or 'left' for a placeholder out of quotes."""
     if _MARKS.search(sentence):
-        sentence = PLACEHOLDER.sub(_SLOT, sentence)
+        sentence = PLACEHOLDER.sub(lambda m: _SLOT if m.start() and sentence[m.start() - 1] in QUOTES else _LEFT, sentence)
         sentence = _GROUP.sub(lambda m: m.group(1) + _OWN + "_".join(m.group(2).split()), _HTML.sub(" ", sentence))
     sentence = _LABEL.sub(lambda m: _OWN + "_".join(m.group().split()), sentence)
     words: list[str] = []
@@ -118,10 +142,12 @@ def template(sentence: str) -> tuple[list[str], list[tuple[int, str, str]]]:
         if bare.islower() and bare.isalpha():
             words.append(bare)
             continue
-        if _OWN in token or _IDENTIFIER.search(bare) and "/" not in bare and not _MAIL.search(bare):
+        if _LEFT not in token and _OWN in token or _IDENTIFIER.search(bare) and "/" not in bare and not _MAIL.search(bare):
             kind = "own" if token[0] not in QUOTES else "name"
         elif not token.isascii() and any(map(str.isdigit, token)) or _DIGIT.search(token):
             kind = "mixed" if any(map(str.isalpha, bare)) else "number"
+        elif _LEFT in token:
+            kind = "left"
         elif _SLOT in token or "://" in token or ".example" in token or (k and bare[:1].isupper()):
             kind = "name"
         else:
@@ -142,27 +168,39 @@ def _shape(fillings: list[tuple[int, str, str]]) -> list[int]:
     return [1, *((gap + 1) * 256 + min(k, 255) for gap, k in sorted(per.items()))] if per else []
 
 
+def _line(kind: str, words: list[str], copy: int, shape=(), gaps=(), own=(), left=(), names=()) -> dict:
+    return {"template": _hash(f"{kind} {' '.join(words)}" if kind else " ".join(words)), "copy": copy, "shape": list(shape), "gaps": list(gaps), "own": list(own), "left": list(left), "names": list(names), "head": bool(kind)}
+
+
 def _lines(sentences: list[tuple[str, list[str], list[tuple[int, str, str]]]], title: str, text: str) -> list[dict]:
     """The whole sentences' templates with their slots' fillings.
 
     A sentence that begins with a name or a variable's name has a second template, in which that is a slot
     ('head').  Fillings that the row has elsewhere too are what it is about: they have no hash."""
-    out = []
+    out, copy = [], _hash(text)
     for sentence, words, fillings in sentences:
         gaps = sorted({f[0] for f in fillings})
-        own = sorted({f[0] for f in fillings if f[1] == "own"})
+        own, left = (sorted({f[0] for f in fillings if f[1] == kind}) for kind in ("own", "left"))
         names = [(gap, name) for gap, kind, name in fillings if kind == "name" and _SLOT not in name]
         if words:
             named = [{"gap": gap, "name": _hash(name.lower())} for gap, name in names if text.count(name) < 2 and name not in title]
-            out.append({"template": _hash(" ".join(words)), "shape": _shape(fillings), "gaps": gaps, "own": own, "names": named, "head": False})
+            out.append(_line("", words, copy, _shape(fillings), gaps, own, left, named))
+        elif left:
+            out.append(_line("\x00", [], copy, (), gaps, (), left))
         head = sentence.split()[0].strip(_AROUND)
         if 0 in own and words:
-            out.append({"template": _hash("\x00 " + " ".join(words)), "shape": [], "gaps": [0], "own": [0], "names": [], "head": True})
+            out.append(_line("\x00", words, copy, (), [0], [0]))
         elif head[:1].isupper() and len(words) > 1 and 0 not in gaps:
-            out.append({"template": _hash("\x00 " + " ".join(words[len(_WORD.findall(head)) :])), "shape": [], "gaps": [0], "own": [], "names": [], "head": True})
+            out.append(_line("\x00", words[len(_WORD.findall(head)) :], copy, (), [0]))
     return out
 
 
+def _title_lines(title: str) -> list[dict]:
+    """The same of the parts of a title that have a placeholder left."""
+    parts = [template(p) for p in _PARTS.split(title) if p.strip()] if _MARKS.search(title) else []
+    return [_line("\x03", words, _hash(title), (), sorted({f[0] for f in fillings}), (), sorted({f[0] for f in fillings if f[1] == "left"})) for words, fillings in parts if any(f[1] == "left" for f in fillings)]
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
@@ -185,59 +223,70 @@ def _has_notices(sentences: list[str], share: float) -> bool:
     return True
 
 
-def examine(title: str | None, text: str | None) -> tuple[str | None, int | None, bool, list[dict]]:
-    """(reason or None, hash of the page's template, whether the page is short, the sentences' templates)."""
-    title, text = title or "", text or ""
-    sentences = [s for s in _SENTENCE.split(text) if s.strip()]
-    for part in (title, text):
-        if placeholders(part):
-            return "slot", None, False, []
+def listed(title: str, text: str, sentences: list[str]) -> str | None:
+    """What the lists alone say of a record: 'mark' for a placeholder, 'notice' for a page of notices."""
+    if placeholders(title) or placeholders(text):
+        return "mark"
     short = len(text.split()) <= PAGE_WORDS
     if sentences:
         if _has_notices(sentences, NOTICE_SHARE):
-            return "notice", None, short, []
+            return "notice"
     else:  # the title of an empty page: what stands before the site's name
         head = re.split(r"\s+[|–—]\s+", title.strip())[0]
         if len(head.split()) <= 6 and NOTICE.search(head):
-            return "notice", None, short, []
+            return "notice"
     if title and len(title.split()) <= 6 and NOTICE.search(title) and (short or _has_notices(sentences, NOTICE_TITLE_SHARE)):
-        return "notice", None, short, []
+        return "notice"
+    return None
+
+
+def examine(title: str | None, text: str | None) -> tuple[str | None, int | None, bool, list[dict]]:
+    """(what the lists say or None, hash of the page's template, whether the page is short, the templates of the
+    sentences and of the title's parts)."""
+    title, text = title or "", text or ""
+    sentences = [s for s in _SENTENCE.split(text) if s.strip()]
     parsed = [(s, *template(s)) for s in sentences]
     page = _hash(" ".join(" ".join(words) for _, words, _ in parsed)) if parsed else None
     # The last sentence may be cut off, which is no blank slot.
-    whole = [x for x in parsed if x[0].rstrip()[-1:] in ".!?" and not x[0].rstrip().endswith("...")]
-    return None, page, short, _lines(whole, title, text)
+    whole = [x for x in parsed if any(f[1] == "left" for f in x[2]) or x[0].rstrip()[-1:] in ".!?" and not x[0].rstrip().endswith("...")]
+    return listed(title, text, sentences), page, len(text.split()) <= PAGE_WORDS, _lines(whole, title, text) + _title_lines(title)
 
 
-_LINE = pa.struct([("template", pa.int64()), ("shape", pa.list_(pa.int64())), ("gaps", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("names", pa.list_(pa.struct([("gap", pa.int64()), ("name", pa.int64())]))), ("head", pa.bool_())])
-_SCHEMA = "article_id bigint, site string, reason string, page bigint, short boolean, title bigint, copy bigint, lines array<struct<template: bigint, shape: array<bigint>, gaps: array<bigint>, own: array<bigint>, names: array<struct<gap: bigint, name: bigint>>, head: boolean>>"
+_INTS = pa.list_(pa.int64())
+_LINE = pa.struct([("template", pa.int64()), ("copy", pa.int64()), ("shape", _INTS), ("gaps", _INTS), ("own", _INTS), ("left", _INTS), ("names", pa.list_(pa.struct([("gap", pa.int64()), ("name", pa.int64())]))), ("head", pa.bool_())])
+_SCHEMA = "article_id bigint, site string, listed string, page bigint, short boolean, title bigint, lines array<struct<template: bigint, copy: bigint, shape: array<bigint>, gaps: array<bigint>, own: array<bigint>, left: array<bigint>, names: array<struct<gap: bigint, name: bigint>>, head: boolean>>"
+#: Reasons in the order they are given in: what alignment finds, then what the lists find alone.
+REASONS = ("page", "slot", "blank", "mark", "notice")
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         out = [examine(a, b) for a, b in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True)]
         titles = [_hash(t or "") for t in batch.column("title").to_pylist()]
-        copies = [_hash(t or "") for t in batch.column("text").to_pylist()]
-        arrays = [batch.column("article_id"), batch.column("site"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_()), pa.array(titles, pa.int64()), pa.array(copies, pa.int64()), pa.array([o[3] for o in out], pa.list_(_LINE))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["article_id", "site", "reason", "page", "short", "title", "copy", "lines"])
+        arrays = [batch.column("article_id"), batch.column("site"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_()), pa.array(titles, pa.int64()), pa.array([o[3] for o in out], pa.list_(_LINE))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["article_id", "site", "listed", "page", "short", "title", "lines"])
 
 
 def residue(articles: DataFrame) -> DataFrame:
-    """(article_id, reason) of the rows that are no finished article; reason is 'slot', 'blank', 'notice' or 'page'.
+    """(article_id, reason) of the rows that are no finished article; the reason is the first of REASONS:
+    'page' for a whole page whose template comes back, 'slot' for a slot that keeps a name or a default and
+    'blank' for an empty one, told by alignment with other records; 'mark' for a placeholder and 'notice' for a
+    page of notices that nothing is aligned with.
 
     ``articles`` needs article_id, site, title and text; other columns are ignored.  A row whose text is
     only null or empty is none unless its title is a notice or has a slot.  Null sites count as one site.
     Repeated rows are judged each.  Only hashes of templates are shuffled, combined before the shuffle."""
     seen = materialize(articles.select("article_id", "site", "title", "text").mapInArrow(_batches, _SCHEMA))
-    direct = seen.where("reason is not null").select("article_id", "reason")
-    rest = seen.where("reason is null")
-    pages = rest.where("page is not null").select("page", F.coalesce("site", F.lit("")).alias("site"), "title", "short", "article_id")
+    direct = seen.where("listed is not null").select("article_id", F.col("listed").alias("reason"))
+    pages = seen.where("page is not null").select("page", F.coalesce("site", F.lit("")).alias("site"), "title", "short", "article_id")
     # An article that sites take from each other comes once a site, or again under its title.
     templates = pages.groupBy("page", "site").agg(F.countDistinct("title").alias("times"), F.bool_or("short").alias("short")).groupBy("page").agg(F.count("*").alias("sites"), F.sum("times").alias("times"), F.bool_or("short").alias("short"))
     templates = templates.where((F.col("sites") >= PAGE_SITES) & (F.col("short") | (F.col("times") >= PAGE_TIMES * F.col("sites")))).select("page")
     page = pages.join(templates, "page", "left_semi").select("article_id", F.lit("page").alias("reason"))
     # Whole sentences by template and filled slots: combined first, so a hot template is few rows.
-    every = rest.select("article_id", "copy", F.explode("lines").alias("l")).select("article_id", "copy", "l.*")
+    every = seen.select("article_id", "listed", F.explode("lines").alias("l")).select("article_id", "listed", "l.*")
+    left = _left(every).select("article_id", F.lit("slot").alias("reason"))
+    every = every.where("listed is null")
     lines = every.where("not head")
     counts = materialize(lines.groupBy("template", "shape").count())
     stats = counts.groupBy("template").agg(F.sum("count").alias("n")).where(F.col("n") >= SLOT_RECORDS)
@@ -247,7 +296,19 @@ def residue(articles: DataFrame) -> DataFrame:
     usual = slots.groupBy("template", "gap").agg(F.max("k").alias("k")).groupBy("template").agg(F.collect_list(F.expr("gap * 256 + k")).alias("usual"))
     blank = lines.join(usual, "template").where("exists(usual, u -> not exists(shape, s -> s div 256 = u div 256 and s >= u))").select("article_id", F.lit("blank").alias("reason"))
     named = _named(every).unionByName(_defaults(lines, stats)).select("article_id", F.lit("slot").alias("reason"))
-    return direct.unionByName(page).unionByName(blank).unionByName(named).groupBy("article_id").agg(F.min("reason").alias("reason"))
+    found = page.unionByName(left).unionByName(named).unionByName(blank).unionByName(direct)
+    first = found.groupBy("article_id").agg(F.min(F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))).alias("r"))
+    return first.select("article_id", F.element_at(F.array(*map(F.lit, REASONS)), F.col("r").cast("int")).alias("reason"))
+
+
+def _left(lines: DataFrame) -> DataFrame:
+    """(article_id) of the lines whose slot keeps a placeholder in several texts of one template, or where others
+    fill it."""
+    some = materialize(lines.where("size(left) > 0").select("article_id", "copy", "template", F.explode("left").alias("gap")))
+    again = some.groupBy("template", "gap").agg(F.countDistinct("copy").alias("n")).where(F.col("n") >= LEFT_TEXTS).select("template", "gap")
+    filled = join_counted(lines.where("size(left) = 0"), some.select("template").distinct(), "template", "left_semi").select("template", F.explode("gaps").alias("gap"))
+    others = filled.groupBy("template", "gap").count().where(F.col("count") >= SLOT_RECORDS).select("template", "gap")
+    return some.join(again.unionByName(others).distinct(), ["template", "gap"], "left_semi").select("article_id")
 
 
 def _named(lines: DataFrame) -> DataFrame:

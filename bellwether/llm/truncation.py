@@ -1,13 +1,13 @@
 """Texts cut off before their end, found from word trigrams inside texts and at their ends, in SQL.
 
 A note or fragment that a cut leaves behind ("… [+120 chars]", half a tag, a broken character) is taken
-off first.  What then ends with a sentence's mark is finished, unless the mark is the point inside a
-number that was cut.  Of any other text the last three words are looked up in the counts over all
-texts: how often they end a text, how often a text goes on after them, and how often the words before
-are followed by a longer word that begins with the last one.  Words that are frequent inside and
-hardly ever last are a cut; sign-offs, tags, links and labels end texts as a rule.  Where three words
-have been seen too seldom, two and then one decide; where nothing is known, the shape of the last line
-does."""
+off first.  The last three tokens are then looked up in the counts over all texts: how often texts end with
+them, and how often a text goes on after them.  After a mark a text is cut if other texts hardly ever end with
+that mark; what a finished end looks like is thus learned from the corpus.  After a word it is cut if texts go on
+more often than they end there; a longer word begun by the last one counts as going on, and sign-offs, tags,
+links and labels end texts as a rule.  Where the three tokens have been seen too seldom, the last two, what
+follows the two before, and the last word decide, in this order; a last word that nothing is known about is cut
+off.  The point of a number ends nothing that no other text has."""
 
 from __future__ import annotations
 
@@ -20,33 +20,37 @@ from bellwether.session import materialize
 REMAINS = r"(?:\s|\p{Cf}|\x{FFFD}|…|\.{3,}|\[\s*(?:\+\s*\d+\s*\w*|…|\.{3})\s*\]|\((?:continued|truncated|cont\.?|more)\)|\[(?:continued|truncated|more|cut)\]|<[A-Za-z/!][^<>]*|&#?\w{0,8};?|\b(?:Continue reading|Read more|Read on|Show more|See more|Weiterlesen|Lire la suite|Leer más)\b[\s.…»>→]*)+$"
 #: Half a character, half a tag or a count of missing signs: such an end is broken whatever comes before.
 BROKEN = r"(\x{FFFD}|<[A-Za-z/!][^<>]*|\[\s*\+\s*\d+[^\]]*\])[\s\p{Cf}]*$"
-#: Marks that end a sentence, and what may close after them.
-FINISHED = r"[.!?。！？][\"'”’»)\]*_`]*$"
-#: No text ends after one of these.
-OPEN_END = r"[,;:(\[{«„“/&+=–—-]$"
-#: So many sightings of the last words make their counts decide.
+#: So many sightings of the last tokens make their counts decide.
 EVIDENCE = 3
+#: A mark that fewer than this share of its sightings end a text with is no end.
+MARK_ENDS = 0.01
 
-#: A short last line of its own that is a label, a list item, a remark or a link.
-LABEL = r"\n\s*([-*•—–>#(]|https?://|[^.\n]{1,30}[:→])[^\n]{0,80}$"
 #: Words, numbers (with their points) and dates, and every other sign, of a lower-case text.
 TOKEN = r"\p{L}[\p{L}\p{M}]*|0(?:[.,\x{A0}\x{202F}]0)*|[^\s\p{L}0]"
 
-#: What a cut leaves behind, and what an end is told by, lies within so many last signs.
+#: Marks that end sentences, and what may close after them.  Before anything is counted, such an end
+#: is taken to have been seen so many times, and at the end of a text in this share of them.
+SENTENCE_ENDS, CLOSING, PRIOR, PRIOR_ENDS = ".!?。！？…", "\"'”’»)]*_`", 50, 0.1
+#: Blanks and invisible characters that may follow a text.
+BLANKS = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
+#: A token that is a mark: no word, number or date.
+MARK = r"^[^\p{L}0\x{1}]"
+#: What a cut leaves behind lies within so many last signs, or after the last tag that isn't closed.
 END = 400
 
 _BODIES = """
-SELECT id, text, concat(left(text, greatest(length(text) - :end, 0)), regexp_replace(right(text, :end), :remains, '')) AS body FROM {texts} WHERE text RLIKE :content
+SELECT id, text, size, concat(left(text, greatest(length(text) - size, 0)), regexp_replace(right(text, size), :remains, '')) AS body FROM (
+  SELECT id, text, length(text) - length(rtrim(:blanks, text)) + greatest(:end, CASE WHEN instr(reverse(text), '<') < coalesce(nullif(instr(reverse(text), '>'), 0), length(text)) THEN instr(reverse(text), '<') ELSE 0 END) AS size
+  FROM {texts} WHERE text RLIKE :content)
 """
 _TOKENS = """
 SELECT *, regexp_extract_all(regexp_replace(regexp_replace(lower(said), :date, '\\u0001'), '[0-9]+', '0'), :token, 0) AS t FROM {bodies}
 """
 _ENDS = """
-SELECT id, n, x, y, z, open_end, noted, label, broken, copy, closed AND pointed AS pointed, NOT closed AND NOT open_end AND n > 0 AS by_words
+SELECT *, z RLIKE :mark AS marked, CASE WHEN y RLIKE :mark THEN y ELSE '' END AS y_mark
 FROM (
   SELECT id, size(t) AS n, coalesce(try_element_at(t, -1), '') AS z, coalesce(try_element_at(t, -2), '') AS y, coalesce(try_element_at(t, -3), '') AS x,
-    noted, broken, copy, said RLIKE :finished AS closed, said RLIKE :open AS open_end, said RLIKE :label AS label,
-    said RLIKE '[0-9][.]$' AND coalesce(try_element_at(t, -2), '') = '0' AS pointed
+    noted, broken, copy, said RLIKE '[0-9][.]$' AND coalesce(try_element_at(t, -2), '') = '0' AS pointed
   FROM {tokens})
 """
 _INSIDE = """
@@ -55,26 +59,56 @@ SELECT w.x, w.y, w.z, count(*) AS n FROM (
   FROM (SELECT t, concat(array('', ''), t) AS p FROM {tokens} WHERE size(t) > 1))
 GROUP BY w.x, w.y, w.z
 """
-_CUT = """
-WITH last3 AS (SELECT x, y, z, count(DISTINCT copy) AS ends FROM {ends} WHERE by_words OR pointed GROUP BY x, y, z),
+#: By last tokens: whether a text that ends with them is cut.  ``ends`` counts different texts, ``goes_on``
+#: sightings inside texts.  What goes on is only looked at after the tokens that some text ends with.
+_WORDS = """
+WITH last3 AS (SELECT x, y, z, count(DISTINCT copy) AS ends FROM {ends} WHERE n > 0 AND NOT marked GROUP BY x, y, z),
 last2 AS (SELECT y, z, sum(ends) AS ends FROM last3 GROUP BY y, z),
 last1 AS (SELECT z, sum(ends) AS ends FROM last3 GROUP BY z),
-in2 AS (SELECT y, z, sum(n) AS n FROM {inside} GROUP BY y, z),
-in1 AS (SELECT z, sum(n) AS n FROM in2 GROUP BY z),
-begun AS (SELECT left(z, k) AS z, sum(n) AS n FROM (SELECT z, n, explode(sequence(1, length(z))) AS k FROM in1) GROUP BY 1),
-s3 AS (SELECT l.x, l.y, l.z, max(l.ends) AS ends, sum(coalesce(i.n, 0)) AS goes_on, sum(CASE WHEN i.z = l.z THEN i.n ELSE 0 END) AS same
-       FROM last3 l LEFT JOIN {inside} i ON l.x = i.x AND l.y = i.y AND startswith(i.z, l.z) GROUP BY l.x, l.y, l.z),
-s2 AS (SELECT l.y, l.z, max(l.ends) AS ends, sum(coalesce(i.n, 0)) AS goes_on
-       FROM last2 l LEFT JOIN in2 i ON l.y = i.y AND startswith(i.z, l.z) GROUP BY l.y, l.z),
-s1 AS (SELECT l.z, l.ends, coalesce(i.n, 0) AS goes_on FROM last1 l LEFT JOIN begun i ON l.z = i.z),
-judged AS (
-  SELECT s3.x, s3.y, s3.z, s3.same = 0 AS new_point,
-    CASE WHEN s3.ends + s3.goes_on >= :evidence THEN s3.goes_on > s3.ends
-         WHEN s2.ends + s2.goes_on >= :evidence THEN s2.goes_on > s2.ends
-         WHEN s1.ends + s1.goes_on >= :evidence THEN s1.goes_on > s1.ends END AS cut
-  FROM s3 JOIN s2 ON s3.y = s2.y AND s3.z = s2.z JOIN s1 ON s3.z = s1.z)
-SELECT a.id.* FROM {ends} a LEFT JOIN judged j ON a.x = j.x AND a.y = j.y AND a.z = j.z
-WHERE a.broken OR a.open_end OR a.n = 0 AND a.noted OR a.pointed AND j.new_point OR a.by_words AND coalesce(j.cut, NOT a.label)
+before AS (SELECT x, y, sum(ends) AS ends FROM last3 GROUP BY x, y),
+in3 AS (SELECT i.* FROM {inside} i LEFT SEMI JOIN before b ON i.x = b.x AND i.y = b.y),
+in2 AS (SELECT i.y, i.z, sum(i.n) AS n FROM {inside} i LEFT SEMI JOIN last2 b ON i.y = b.y GROUP BY i.y, i.z),
+in1 AS (SELECT z, sum(n) AS n FROM {inside} GROUP BY z),
+begun3 AS (SELECT x, y, left(z, k) AS z, sum(n) AS n FROM (SELECT x, y, z, n, explode(sequence(1, length(z))) AS k FROM in3) GROUP BY 1, 2, 3),
+begun2 AS (SELECT y, left(z, k) AS z, sum(n) AS n FROM (SELECT y, z, n, explode(sequence(1, length(z))) AS k FROM in2) GROUP BY 1, 2),
+begun1 AS (SELECT left(z, k) AS z, sum(n) AS n FROM (SELECT z, n, explode(sequence(1, length(z))) AS k FROM in1) GROUP BY 1),
+follows AS (SELECT x, y, sum(n) AS n FROM in3 GROUP BY x, y),
+s2 AS (SELECT l.y, l.z, l.ends, coalesce(i.n, 0) AS goes_on FROM last2 l LEFT JOIN begun2 i ON l.y = i.y AND l.z = i.z),
+s1 AS (SELECT l.z, l.ends, coalesce(i.n, 0) AS goes_on FROM last1 l LEFT JOIN begun1 i ON l.z = i.z),
+sb AS (SELECT l.x, l.y, l.ends, coalesce(i.n, 0) AS goes_on FROM before l LEFT JOIN follows i ON l.x = i.x AND l.y = i.y),
+s3 AS (SELECT l.x, l.y, l.z, l.ends, coalesce(i.n, 0) AS goes_on FROM last3 l LEFT JOIN begun3 i ON l.x = i.x AND l.y = i.y AND l.z = i.z)
+SELECT s3.x, s3.y, s3.z,
+  CASE WHEN s3.ends + s3.goes_on >= :evidence THEN s3.goes_on > s3.ends
+       WHEN s2.ends + s2.goes_on >= :evidence THEN s2.goes_on > s2.ends
+       WHEN sb.ends + sb.goes_on >= :evidence THEN sb.goes_on > sb.ends
+       WHEN s1.ends + s1.goes_on >= :evidence THEN s1.goes_on > s1.ends ELSE true END AS cut
+FROM s3 JOIN s2 ON s3.y = s2.y AND s3.z = s2.z JOIN sb ON s3.x = sb.x AND s3.y = sb.y JOIN s1 ON s3.z = s1.z
+"""
+#: By last mark and the mark before it, if that is one: whether it is no end.  Too seldom a mark is judged
+#: like the last of the two alone, or else like all marks.
+_MARKS = """
+WITH ends2 AS (SELECT y_mark, z, count(DISTINCT copy) AS ends FROM {ends} WHERE marked GROUP BY y_mark, z),
+in2 AS (SELECT CASE WHEN y RLIKE :mark THEN y ELSE '' END AS y_mark, z, sum(n) AS n FROM {inside} WHERE z RLIKE :mark GROUP BY 1, 2),
+both AS (SELECT coalesce(e.y_mark, i.y_mark) AS y_mark, coalesce(e.z, i.z) AS z, coalesce(e.ends, 0) AS ends, coalesce(i.n, 0) AS n FROM ends2 e FULL JOIN in2 i ON e.y_mark = i.y_mark AND e.z = i.z),
+one AS (SELECT z, sum(ends) AS ends, sum(n) AS n FROM both GROUP BY z),
+every AS (SELECT sum(ends) AS ends, sum(n) AS n FROM both)
+SELECT y_mark, z,
+  CASE WHEN ends + n + prior >= :evidence THEN ends - 1 + :prior_ends * prior < :share * (ends - 1 + n + prior)
+       WHEN ends1 + n1 >= :evidence THEN ends1 - 1 < :share * (ends1 - 1 + n1)
+       ELSE (SELECT ends < :share * (ends + n) FROM every) END AS cut
+FROM (
+  SELECT b.*, o.ends AS ends1, o.n AS n1, CASE WHEN contains(:sentence, b.z) OR b.y_mark <> '' AND contains(:sentence, b.y_mark) AND contains(:closing, b.z) THEN :prior ELSE 0 END AS prior
+  FROM both b JOIN one o ON b.z = o.z)
+"""
+_POINTS = """
+SELECT l.x, sum(i.n) IS NULL AS cut FROM (SELECT DISTINCT x FROM {ends} WHERE pointed) l LEFT JOIN {inside} i ON l.x = i.x AND i.y = '0' AND i.z = '.' GROUP BY l.x
+"""
+_CUT = """
+SELECT a.id.* FROM {ends} a
+LEFT JOIN {words} w ON a.x = w.x AND a.y = w.y AND a.z = w.z
+LEFT JOIN {marks} m ON a.marked AND a.y_mark = m.y_mark AND a.z = m.z
+LEFT JOIN {points} p ON a.pointed AND a.x = p.x
+WHERE a.broken OR a.n = 0 AND a.noted OR a.n > 0 AND CASE WHEN a.marked THEN m.cut OR coalesce(p.cut, false) ELSE w.cut END
 """
 
 
@@ -87,13 +121,15 @@ def truncated(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     count once as an end.  Trigrams are combined before their shuffle, and shorter words' counts come from them.  An empty table gives none."""
     spark = texts.sparkSession
     rows = texts.select(F.struct(*keys).alias("id"), F.col(text).alias("text"))
-    bodies = spark.sql(_BODIES, args={"end": END, "remains": REMAINS, "content": r"[^\s\p{Cf}\p{Z}]"}, texts=rows)
+    bodies = spark.sql(_BODIES, args={"end": END, "remains": REMAINS, "blanks": BLANKS, "content": r"[^\s\p{Cf}\p{Z}]"}, texts=rows)
     words = {"date": "[0-9]{4}-[0-9]{2}-[0-9]{2}", "token": TOKEN}
     # The end of a text is told by its last signs; how texts go on, by all they say.
-    tails = bodies.select("id", F.right("body", F.lit(END)).alias("said"), F.expr("length(body) < length(rtrim(text))").alias("noted"), F.right("text", F.lit(END)).rlike(BROKEN).alias("broken"), F.xxhash64("text").alias("copy"))
-    ends = materialize(spark.sql(_ENDS, args={"finished": FINISHED, "open": OPEN_END, "label": LABEL}, tokens=spark.sql(_TOKENS, args=words, bodies=tails)))
+    tails = bodies.select("id", F.right("body", F.lit(END)).alias("said"), F.expr("length(body) < length(rtrim(text))").alias("noted"), F.expr("right(text, size)").rlike(BROKEN).alias("broken"), F.xxhash64("text").alias("copy"))
+    ends = materialize(spark.sql(_ENDS, args={"mark": MARK}, tokens=spark.sql(_TOKENS, args=words, bodies=tails)))
     inside = materialize(spark.sql(_INSIDE, tokens=spark.sql(_TOKENS, args=words, bodies=bodies.select(F.col("body").alias("said")))))
-    return spark.sql(_CUT, args={"evidence": EVIDENCE}, ends=ends, inside=inside)
+    by_words = spark.sql(_WORDS, args={"evidence": EVIDENCE}, ends=ends, inside=inside)
+    by_marks = spark.sql(_MARKS, args={"evidence": EVIDENCE, "share": MARK_ENDS, "mark": MARK, "sentence": SENTENCE_ENDS, "closing": CLOSING, "prior": PRIOR, "prior_ends": PRIOR_ENDS}, ends=ends, inside=inside)
+    return spark.sql(_CUT, ends=ends, words=by_words, marks=by_marks, points=spark.sql(_POINTS, ends=ends, inside=inside))
 
 
 def truncation_rates(texts: DataFrame, cut: DataFrame, keys: list[str], source: list[str]) -> DataFrame:

@@ -100,6 +100,25 @@ def test_truncated(spark):
     assert sum(r.n_truncated for r in rates) == len(cut) and sum(r.n_texts for r in rates) == len(rows)
 
 
+def test_the_counts_decide_what_is_cut(spark, monkeypatch):
+    """Without the counts other texts come out: finished ends, labels and tags are learned, not listed."""
+    said = ["the board spoke", "rates stayed high", "costs fell", "sales rose"]
+    text = lambda i: f"{said[i % 4]} ¤ {said[(i + 1) % 4]} , {said[(i // 4) % 4]} ¤"
+    rows = [text(i) for i in range(40)] + [text(i) + "\n\nfiled under markets" for i in range(40, 60)] + ["the board spoke , rates", "costs fell ,", "sales rose ¤ the bo"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, x string")
+    got = {r.i for r in truncation.truncated(df, ["i"], "x").collect()}
+    assert got == {60, 61, 62}
+    monkeypatch.setattr(truncation, "EVIDENCE", 10**9)
+    assert {r.i for r in truncation.truncated(df, ["i"], "x").collect()} != got
+
+
+def test_truncated_by_long_remains(spark):
+    whole = [" ".join(FULL) + f" Note {i} is here." for i in range(8)]
+    cut = [FULL[0] + " The finance team <a href='" + "x" * 3000, FULL[1] + " The board rev" + " " * 900, FULL[2] + " The lender gro" + "\u200b" * 700 + "\n" * 60]
+    df = spark.createDataFrame(list(enumerate(whole + [FULL[0] + " " * 900] + cut)), "i int, x string")
+    assert {r.i for r in truncation.truncated(df, ["i"], "x").collect()} == {9, 10, 11}
+
+
 PROMPT = "Company: Acme (ACME), as of 2024-01-02. Closing prices: 1.5; 2.5; 3.5. The board reviewed the covenant package while rates stayed high. Explain how Acme is likely to close on the next trading day and give probabilities."
 GOOD = json.dumps({"chain_of_thought": FULL[0], "output": {"next_day_direction": 1}})
 
@@ -121,6 +140,20 @@ def test_defects_of_one_answer(answer, want):
     assert pairs.judge_row(PROMPT, "en", {"a": answer}, frozenset())[0]["defect"] == want
 
 
+def test_refusals_by_phrases():
+    for text in ("The move is beyond my earlier estimate and I see a gain.", "As an airline, the firm would rather not hedge.", "Costs ran against my model.", "I cannot provide a point estimate. I expect the share to rise."):
+        assert not pairs.refuses(text), text
+    for text in ("That is beyond my abilities.", "“I’d rather not” say.", "This is against my policies, please ask someone else."):
+        assert pairs.refuses(text), text
+
+
+def test_answers_quoted_often():
+    quoted = "{}"
+    for _ in range(12):
+        quoted = json.dumps(quoted)
+    assert pairs.take_apart(quoted)[0] == "empty"
+
+
 def test_refusals_that_are_long_or_late():
     why = "Such a statement would need facts about the firm that nobody outside it has, and readers could take it for advice. "
     judged = lambda text: pairs.judge_row(PROMPT, "en", {"a": text}, frozenset())[0]["defect"]
@@ -174,6 +207,20 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_residue_is_found_by_alignment(spark):
+    """What comes back is told by its template; the lists only name what comes once."""
+    say = "Results for {} beat forecasts in the north."
+    kept = [(f"Story of {w}", f"The {w} desk wrote this. " + say.format("{quarter}"), "s") for w in ("amber", "basin", "cedar")]
+    filled = [(f"Note {i}", say.format(f"Q{i % 4 + 1}") + f" Costs of unit {'abcdefghij'[i]} fell.", "s") for i in range(9)]
+    once = [("Tale", "The ember desk wrote that. It says {{ who }} was there.", "s")]
+    quoted = [("How to", f"The {w} page explains `{{quarter}}` in full.", "s") for w in ("delta", "fjord", "grove", "haven")]
+    pages = [("Any", "The desk is shut, ring the bell twice.", f"site{i}") for i in range(3)]
+    titles = [(f"The {w} story | %SITE%", f"A story about {w} and more.", "s") for w in ("inlet", "jetty", "knoll")]
+    got = _residue_of(spark, kept + filled + once + quoted + pages + titles)
+    at = len(kept) + len(filled)
+    assert got == dict.fromkeys(range(3), "slot") | {at: "mark"} | dict.fromkeys(range(at + 5, at + 8), "page") | dict.fromkeys(range(at + 8, at + 11), "slot")
+
+
 def _residue_of(spark, rows):
     """{article_id: reason} of (title, text, site) rows."""
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "article_id bigint, title string, text string, site string")
