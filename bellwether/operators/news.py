@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A tier is searched if the ones before it found less than this share of the results wanted.
-TIER_SHARES = (1.0, 0.5, 0.3)
+from bellwether.session import join_counted, materialize
 
 
 def engaged(points: Column, comments: Column, url: Column, title: Column) -> Column:
@@ -30,25 +29,95 @@ def newest(df: DataFrame, by: str, date: str, tie: str, n: int) -> DataFrame:
     return some.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
-def name_grams(text: Column, longest: int = 3) -> Column:
-    """All runs of one to ``longest`` words of a text, lower case: what a name is met by in an equi-join."""
-    w = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}&.' -]", " ")), r"\s+"), lambda x: x != "")
-
-    def runs(k: int) -> Column:
-        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*(runs(k) for k in range(1, longest + 1))))
-
-
-def cascade(hits: DataFrame, key: str, wanted: int) -> DataFrame:
-    """Search results that widen by tiers: ``hits`` (key, tier 1 … 3, url, article_id).
-
-    A URL counts in the first tier that finds it.  A tier only counts where the ones before it found
-    less than their share of ``wanted``; at most ``wanted`` results, by tier and then article."""
-    once = hits.groupBy(key, "url").agg(F.min(F.struct("tier", "article_id")).alias("m")).select(key, "url", "m.*")
-    sizes = once.groupBy(key).agg(*(F.count_if(F.col("tier") == t).alias(f"n{t}") for t in (1, 2, 3)))
-    with2 = F.col("n1") < TIER_SHARES[1] * wanted
-    sizes = sizes.withColumn("use2", with2).withColumn("use3", F.col("n1") + F.when(with2, F.col("n2")).otherwise(0) < TIER_SHARES[2] * wanted)
-    used = once.join(sizes.select(key, "use2", "use3"), key).where("tier = 1 or tier = 2 and use2 or tier = 3 and use3")
-    w = Window.partitionBy(key).orderBy("tier", "article_id")
-    return used.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= wanted).select(key, "rank", "tier", "article_id", "url")
+def title_words(text: Column) -> Column:
+    """The distinct words of a title or a query, lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+def search(articles: DataFrame, queries: DataFrame, page: int = 50, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Articles for each query: ``queries`` (query_id, query), ``articles`` (article_id, title, publish_date, …).
+
+    An article is found if its title has all words of the query, in any order, and its date lies within
+    [``start``, ``end``] (dates as strings).  A page has the newest min(``page``, PAGE) of them, ties by article_id
+    descending: the articles' columns, query_id and rank from 1.  Queries without words find nothing, repeated
+    ones are one; null titles have no words.
+
+    A query is looked up by its rarest word alone, so titles are exploded once and met in an equi-join, however
+    many words a query has; pages are cut per salt before they are cut as a whole."""
+    page = min(page, PAGE)
+    if start is not None:
+        articles = articles.where(F.col("publish_date") >= start)
+    if end is not None:
+        articles = articles.where(F.col("publish_date") <= end)
+    asked = queries.select("query_id", title_words(F.col("query")).alias("asked")).where(F.size("asked") > 0).dropDuplicates(["query_id"])
+    asked = materialize(asked)
+    titled = articles.withColumn("__words", title_words(F.col("title")))
+    words = materialize(join_counted(titled.select("article_id", F.explode("__words").alias("word")), asked.select(F.explode("asked").alias("word")).distinct(), "word", "left_semi"))
+    often = words.groupBy("word").agg(F.count("*").alias("n"))
+    # A word that no title has is the rarest: its query finds nothing.
+    rarest = asked.select("query_id", "asked", F.explode("asked").alias("word")).join(often, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"), F.first("asked").alias("asked"))
+    found = join_counted(words, rarest, "word").select("query_id", "article_id", "asked").join(titled, "article_id").where(F.size(F.array_except("asked", "__words")) == 0).drop("asked", "__words")
+    ranked = newest(found, "query_id", "publish_date", "article_id", page)
+    w = Window.partitionBy("query_id").orderBy(F.coalesce(F.col("publish_date"), F.lit("")).desc(), F.col("article_id").desc())
+    return ranked.withColumn("rank", F.row_number().over(w))
+
+
+#: Words of an industry's name that are not its category.
+MODIFIERS = ("specialty", "integrated", "diversified", "advanced", "general", "industrial", "commercial", "consumer")
+#: At most so many results a page, so many competitors asked for, and the shares of the results wanted below
+#: which a search widens to the ticker, to the industry and to competitors.
+PAGE, COMPETITORS, WIDEN = 1000, 3, (0.5, 0.3, 0.5)
+
+
+def main_keyword(industry: Column) -> Column:
+    """The last word of an industry's name that is no modifier, if the name has several words."""
+    words = F.filter(F.split(industry, r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*MODIFIERS))
+    return F.when(industry.contains(" ") & (F.size(words) > 0), F.nullif(F.element_at(words, -1), industry))
+
+
+def cascade(articles: DataFrame, companies: DataFrame, wanted: int = 50, start: str | None = None, end: str | None = None) -> DataFrame:
+    """News of companies by searches that widen: (key, rank, tier, article_id, url).
+
+    ``companies`` has key (unique), name, ticker, industry and competitors (an array); any but the key may be
+    null.  Tiers: 1 the name; 2 ticker and name, below half of ``wanted`` and for tickers of three signs or more;
+    3 the industry and 4 its main keyword, below 30 % and for half of what is left; 5 to 7 competitors, below
+    half, an equal part of what was left each.  A page of results is what its search may return; of these only
+    engaged articles with a new address count, in the search's order.
+
+    All tiers are searched at once, a page each.  What a tier may add depends on those before, so each company's
+    pages (at most 7 × ``wanted`` articles) are folded in order."""
+    c = companies.select("key", "name", "ticker", "industry", F.coalesce(F.slice("competitors", 1, COMPETITORS), F.array().cast("array<string>")).alias("rivals"))
+    c = materialize(c.withColumn("keyword", main_keyword(F.col("industry"))))
+    asked = [(1, F.col("name")), (2, F.when(F.length("ticker") >= 3, F.concat_ws(" ", "ticker", "name"))), (3, F.col("industry")), (4, F.col("keyword"))]
+    asked += [(5 + k, F.get("rivals", k)) for k in range(COMPETITORS)]
+    each = c.select("key", F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), q.alias("query")) for t, q in asked))).alias("q")).select("key", "q.*").where("query is not null")
+    # Companies that ask the same are one query.
+    pages = search(articles, each.select(F.col("query").alias("query_id"), "query").distinct(), wanted, start, end)
+    hit = F.struct("rank", "article_id", "url", engaged(F.col("points"), F.col("num_comments"), F.col("url"), F.col("title")).alias("good"))
+    listed = pages.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))  # at most a page
+    tiers = each.join(listed, each["query"] == listed["query_id"]).groupBy("key").agg(F.collect_list(F.struct("tier", "hits")).alias("tiers"))
+    picked = "array<struct<tier:int,article_id:bigint,url:string>>"
+    x = c.join(tiers, "key")
+    state = F.array().cast(picked)
+    n_rivals = F.greatest(F.size("rivals"), F.lit(1))
+
+    def add(s: Column, tier: int, allowed: Column, room: Column) -> Column:
+        hits = F.slice(F.coalesce(F.get(F.filter("tiers", lambda t: t["tier"] == tier), 0)["hits"], F.array().cast("array<struct<rank:int,article_id:bigint,url:string,good:boolean>>")), F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+        seen = F.transform(s, lambda p: p["url"])
+        new = F.filter(hits, lambda h, i: h["good"] & ~F.array_contains(seen, h["url"]) & ~F.exists(F.slice(hits, F.lit(1), i), lambda g: g["good"] & (g["url"] == h["url"])))
+        return F.when(allowed, F.concat(s, F.transform(new, lambda h: F.struct(F.lit(tier).alias("tier"), h["article_id"].alias("article_id"), h["url"].alias("url"))))).otherwise(s)
+
+    def then(x: DataFrame, tier: int, allowed: Column, room: Column) -> DataFrame:
+        return x.withColumn("s", add(F.col("s"), tier, allowed, room))
+
+    some, few, half = (share * wanted for share in WIDEN)
+    x = then(x.withColumn("s", state), 1, F.lit(True), F.lit(wanted))
+    x = then(x, 2, F.size("s") < some, F.lit(wanted) - F.size("s"))
+    x = x.withColumn("left", F.lit(wanted) - F.size("s")).withColumn("broad", F.size("s") < few)
+    x = then(x, 3, F.col("broad"), F.expr("left div 2"))
+    x = then(x, 4, F.col("broad") & (F.size("s") < few), F.expr("left div 2"))
+    x = x.withColumn("part", ((F.lit(wanted) - F.size("s")) / n_rivals).cast("int")).withColumn("rival", F.col("broad") & (F.size("s") < half))
+    for k in range(COMPETITORS):
+        x = then(x, 5 + k, F.col("rival") & (F.size("s") < wanted), F.col("part"))
+    out = x.select("key", F.posexplode(F.slice("s", 1, wanted)).alias("p", "r"))
+    return out.select("key", (F.col("p") + 1).alias("rank"), "r.tier", "r.article_id", "r.url")

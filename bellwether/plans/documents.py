@@ -107,23 +107,34 @@ def q_topk_news(spark, d):
     return news.newest(once, "symbol", "publish_date", "article_id", 20).select("symbol", "article_id", "publish_date")
 
 
+def _titled(spark, d):
+    return table(spark, d, "hacker_news_articles").select("article_id", "title", "url", "publish_date", "points", "num_comments")
+
+
+#: Queries of the search, by id.
+SEARCHES = {1: "Covenant package", 2: "energy costs", 3: "package the board", 4: "no such words anywhere", 5: "pricing"}
+
+
 def q_news_search(spark, d):
-    """Articles whose title names a query within a time range, newest first: a page of results."""
-    a = _articles(spark, d).where("lower(title) like '%covenant package%' and publish_date >= '2021-01-01' and publish_date < '2024-01-01'")
-    return a.orderBy(F.desc("publish_date"), F.desc("article_id")).limit(50).select("article_id", "publish_date", "title")
+    """The newest articles of a time range whose titles have all words of a query: a page for each query."""
+    asked = spark.createDataFrame(list(SEARCHES.items()), "query_id int, query string")
+    found = news.search(_titled(spark, d), asked, 50, "2021-01-01", "2023-12-31")
+    return found.select("query_id", "rank", "article_id", "publish_date", "title")
+
+
+#: Industries that stand in for a registry's, which has none.
+INDUSTRIES = ("specialty pricing", "energy costs", "general industrial", "commercial leasing portfolio", "consumer", "advanced export permits")
 
 
 def q_news_cascade(spark, d):
-    """Each company's articles: by its name in the title, else by its ticker, else by its neighbour's name."""
-    reg = table(spark, d, "company_registry").where("ticker is not null and title is not null").select("cik_str", tickers.market_symbol(F.col("ticker")).alias("symbol"), F.lower(tickers.simplify_name(F.col("title"))).alias("name")).where("length(symbol) >= 3")
-    a = _articles(spark, d)
-    grams = a.select("article_id", "url", F.explode(news.name_grams(F.col("title"))).alias("name"))
-    by_name = grams.join(reg.select("symbol", "name"), "name").select("symbol", F.lit(1).alias("tier"), "url", "article_id")
-    by_tag = a.join(reg.select("symbol"), "symbol", "left_semi").select("symbol", F.lit(2).alias("tier"), "url", "article_id")
-    other = reg.select((F.col("cik_str") % 40).alias("g"), "name").groupBy("g").agg(F.min("name").alias("name"))
-    rivals = reg.select("symbol", (F.col("cik_str") % 40).alias("g")).join(other, "g").select("symbol", "name")
-    by_rival = grams.join(rivals, "name").select("symbol", F.lit(3).alias("tier"), "url", "article_id")
-    return news.cascade(by_name.unionByName(by_tag).unionByName(by_rival), "symbol", 10)
+    """Each company's articles, by searches that widen from its name to its competitors'."""
+    reg = table(spark, d, "company_registry").where("ticker is not null and title is not null")
+    named = reg.select("cik_str", tickers.market_symbol(F.col("ticker")).alias("key"), tickers.simplify_name(F.col("title")).alias("name"))
+    one = keep_last(named.withColumn("o", -F.col("cik_str")), ["key"], ["o"]).drop("o").withColumn("g", F.col("cik_str") % 40)
+    rivals = one.groupBy("g").agg(F.slice(F.array_sort(F.collect_list(F.struct("cik_str", "name"))), 1, 4).alias("r"))
+    industry = F.element_at(F.array(*map(F.lit, INDUSTRIES)), (F.col("cik_str") % len(INDUSTRIES) + 1).cast("int"))
+    companies = one.join(rivals, "g").select("key", "name", F.col("key").alias("ticker"), industry.alias("industry"), F.transform(F.filter("r", lambda x: x["cik_str"] != F.col("cik_str")), lambda x: x["name"]).alias("competitors"))
+    return news.cascade(_titled(spark, d), companies, 10).withColumnRenamed("key", "symbol")
 
 
 def q_group_mode(spark, d):
@@ -190,6 +201,52 @@ def q_company_document(spark, d):
     return x.select("symbol", "t", F.col("title").alias("company_name"), F.size("close").alias("n_close"), F.size("volume").alias("n_volume"), "k_accession", "q_accession", F.size("eight_k").alias("n_eight_k"), F.coalesce("n_news", F.lit(0)).alias("n_news"))
 
 
+def _words_of(c: str) -> str:
+    return rf"list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'))"
+
+
+_TITLED = f"titled AS (SELECT article_id, title, url, publish_date, points, num_comments, {_words_of('title')} AS words FROM hacker_news_articles WHERE title IS NOT NULL)"
+
+
+def _cascade_sql(wanted: int) -> str:
+    """The widening searches tier by tier: ``u`` holds what is picked so far."""
+    named = ", ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(INDUSTRIES)).replace(", WHEN", " WHEN")
+    modifiers = ", ".join(f"'{m}'" for m in news.MODIFIERS)
+    ctes = [
+        _TITLED,
+        f"named AS (SELECT cik_str, {_SYM} AS key, {_simplified('title')} AS name FROM company_registry WHERE ticker IS NOT NULL AND title IS NOT NULL)",
+        "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cik_str) AS rn FROM named) WHERE rn = 1)",
+        "four AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik_str % 40 ORDER BY cik_str, name) AS k FROM one) WHERE k <= 4)",
+        "rivals AS (SELECT o.key, f.name, row_number() OVER (PARTITION BY o.key ORDER BY f.k) AS k FROM one o JOIN four f ON o.cik_str % 40 = f.cik_str % 40 AND o.cik_str <> f.cik_str)",
+        f"ind AS (SELECT key, name, CASE cik_str % {len(INDUSTRIES)} {named} END AS industry FROM one)",
+        f"kw AS (SELECT *, list_filter(string_split(industry, ' '), lambda w: lower(w) NOT IN ({modifiers})) AS ws, least((SELECT count(*) FROM rivals r WHERE r.key = ind.key), {news.COMPETITORS}) AS n_rivals FROM ind)",
+        f"""asked AS (SELECT key, 1 AS tier, name AS query FROM kw UNION ALL SELECT key, 2, key || ' ' || name FROM kw WHERE length(key) >= 3 UNION ALL SELECT key, 3, industry FROM kw
+  UNION ALL SELECT key, 4, ws[len(ws)] FROM kw WHERE contains(industry, ' ') AND len(ws) > 0 AND ws[len(ws)] <> industry UNION ALL SELECT key, 4 + k, name FROM rivals WHERE k <= {news.COMPETITORS})""",
+        f"qs AS (SELECT query, {_words_of('query')} AS ws FROM (SELECT DISTINCT query FROM asked))",
+        f"""hits AS (SELECT query, article_id, url, {_ENGAGED} AS good, row_number() OVER (PARTITION BY query ORDER BY coalesce(publish_date, '') DESC, article_id DESC) AS rank FROM qs JOIN titled ON len(ws) > 0 AND list_has_all(words, ws) QUALIFY rank <= {wanted})""",
+        "th AS (SELECT a.key, a.tier, h.* FROM asked a JOIN hits h ON a.query = h.query)",
+        "u0 AS (SELECT key, 0 AS tier, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS article_id, '' AS url FROM kw WHERE false)",
+    ]
+
+    def step(k: int, tier: int, room: str, allowed: str) -> None:
+        ctes.append(f"n{k} AS (SELECT kw.key, kw.n_rivals, (SELECT count(*) FROM u{k} WHERE u{k}.key = kw.key) AS n FROM kw)")
+        ctes.append(f"v{k} AS (SELECT n{k}.key, {room} AS room FROM n{k} {allowed})")
+        ctes.append(f"""u{k + 1} AS (SELECT * FROM u{k} UNION ALL SELECT key, tier, rank, article_id, url FROM (
+  SELECT th.*, row_number() OVER (PARTITION BY th.key, th.url ORDER BY th.rank) AS first FROM th JOIN v{k} ON th.key = v{k}.key WHERE th.tier = {tier} AND th.rank <= v{k}.room AND good) x
+  WHERE first = 1 AND NOT EXISTS (SELECT 1 FROM u{k} o WHERE o.key = x.key AND o.url = x.url))""")
+
+    some, few, half = (share * wanted for share in news.WIDEN)
+    step(0, 1, str(wanted), "")
+    step(1, 2, f"{wanted} - n", f"WHERE n < {some}")
+    step(2, 3, f"({wanted} - n) // 2", f"WHERE n < {few}")
+    step(3, 4, f"({wanted} - m.n) // 2", f"JOIN n2 m ON n3.key = m.key WHERE m.n < {few} AND n3.n < {few}")
+    for k in range(news.COMPETITORS):
+        at = "n4" if k == 0 else "r"
+        step(4 + k, 5 + k, f"({wanted} - {at}.n) // greatest({at}.n_rivals, 1)", f"JOIN n2 m ON n{4 + k}.key = m.key" + ("" if k == 0 else f" JOIN n4 r ON n{4 + k}.key = r.key") + f" WHERE m.n < {few} AND {at}.n < {half} AND n{4 + k}.n < {wanted}")
+    last = 4 + news.COMPETITORS
+    return f"WITH {', '.join(ctes)} SELECT key AS symbol, CAST(r AS INT) AS rank, tier, article_id, url FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier, rank) AS r FROM u{last}) WHERE r <= {wanted}"
+
+
 _BL = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _JB = r"[ \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _WORDS = rf"list_filter(regexp_split_to_array(text, '{_BL}+'), lambda w: w <> '')"
@@ -276,19 +333,10 @@ FROM done d JOIN company_docs c ON d.record_id = c.record_id WHERE final <= {LIM
     "q_dedup_keep_first": f"WITH {_ART} SELECT min(article_id) AS article_id, url, min_by(title, article_id) AS title FROM arts GROUP BY url",
     "q_dedup_keep_last": "SELECT url, article_id, score FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ingested_at DESC NULLS LAST, article_id DESC) AS rn FROM hacker_news_articles WHERE url IS NOT NULL) WHERE rn = 1",
     "q_topk_news": f"WITH {_ART}, f AS (SELECT symbol, url, min(article_id) AS article_id, min_by(publish_date, article_id) AS publish_date FROM arts WHERE symbol IS NOT NULL GROUP BY symbol, url) SELECT symbol, article_id, publish_date FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY coalesce(publish_date, '') DESC, article_id DESC) AS rn FROM f) WHERE rn <= 20",
-    "q_news_search": f"WITH {_ART} SELECT article_id, publish_date, title FROM arts WHERE lower(title) LIKE '%covenant package%' AND publish_date >= '2021-01-01' AND publish_date < '2024-01-01' ORDER BY publish_date DESC, article_id DESC LIMIT 50",
-    "q_news_cascade": rf"""WITH {_ART}, reg AS (SELECT cik_str, {_SYM} AS symbol, lower({_simplified('title')}) AS name FROM company_registry WHERE ticker IS NOT NULL AND title IS NOT NULL AND length({_SYM}) >= 3),
-g AS (SELECT article_id, url, symbol, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(title, '[^\p{{L}}\p{{N}}&.'' -]', ' ', 'g')), '\s+'), lambda w: w <> ''), ' ') || ' ' AS words FROM arts),
-rivals AS (SELECT r.symbol, o.name FROM reg r JOIN (SELECT cik_str % 40 AS g, min(name) AS name FROM reg GROUP BY 1) o ON r.cik_str % 40 = o.g),
-hits AS (
-  SELECT reg.symbol, 1 AS tier, g.url, g.article_id FROM g JOIN reg ON contains(g.words, ' ' || reg.name || ' ')
-  UNION ALL SELECT reg.symbol, 2, a.url, a.article_id FROM arts a JOIN (SELECT DISTINCT symbol FROM reg) reg ON a.symbol = reg.symbol
-  UNION ALL SELECT rivals.symbol, 3, g.url, g.article_id FROM g JOIN rivals ON contains(g.words, ' ' || rivals.name || ' ')),
-once AS (SELECT symbol, url, tier, article_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, url ORDER BY tier, article_id) AS rn FROM hits) WHERE rn = 1),
-sizes AS (SELECT symbol, count(*) FILTER (tier = 1) AS n1, count(*) FILTER (tier = 2) AS n2 FROM once GROUP BY symbol),
-used AS (SELECT o.* FROM once o JOIN sizes s ON o.symbol = s.symbol WHERE tier = 1 OR (tier = 2 AND n1 < 5) OR (tier = 3 AND n1 + CASE WHEN n1 < 5 THEN n2 ELSE 0 END < 3)),
-ranked AS (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY tier, article_id) AS INT) AS rank, tier, article_id, url FROM used)
-SELECT symbol, rank, tier, article_id, url FROM ranked WHERE rank <= 10""",
+    "q_news_search": f"""WITH {_TITLED}, q AS (SELECT query_id, {_words_of('query')} AS asked FROM (VALUES {', '.join(f"({k}, '{v}')" for k, v in SEARCHES.items())}) v(query_id, query)),
+f AS (SELECT query_id, article_id, publish_date, title, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(publish_date, '') DESC, article_id DESC) AS rank FROM q JOIN titled ON list_has_all(words, asked) WHERE publish_date >= '2021-01-01' AND publish_date <= '2023-12-31')
+SELECT query_id, CAST(rank AS INT) AS rank, article_id, publish_date, title FROM f WHERE rank <= 50""",
+    "q_news_cascade": _cascade_sql(10),
     "q_group_mode": "SELECT site, ticker FROM (SELECT site, ticker, row_number() OVER (PARTITION BY site ORDER BY n DESC, f) AS rn FROM (SELECT site, ticker, count(*) AS n, min(article_id) AS f FROM hacker_news_articles WHERE ticker IS NOT NULL GROUP BY site, ticker)) WHERE rn = 1",
     "q_anti_resume": "SELECT record_id, file_name FROM company_docs c WHERE NOT EXISTS (SELECT 1 FROM raw_company_docs r WHERE r.file_name = c.file_name)",
     "q_symbol_counts": "SELECT ticker, count(*) AS n, CAST(grouping(ticker) AS INT) AS is_total FROM price_bars GROUP BY ROLLUP (ticker)",

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -181,9 +182,69 @@ def test_news(spark):
     df = spark.createDataFrame([("s", f"2024-01-{i:02}", i) for i in range(1, 31)] + [("s", "", 99), ("s", None, 98), ("t", None, 1)], "s string, d string, i int")
     got = news.newest(df, "s", "d", "i", 3).collect()
     assert sorted(r.i for r in got if r.s == "s") == [28, 29, 30] and [r.i for r in got if r.s == "t"] == [1]
-    hits = spark.createDataFrame([("k", 1, "u1", 1), ("k", 2, "u1", 1), ("k", 2, "u2", 2), ("k", 3, "u3", 3), ("m", 1, "a", 1), ("m", 1, "b", 2), ("m", 2, "c", 3)], "k string, tier int, url string, article_id int")
-    got = sorted((r.k, r["rank"], r.url) for r in news.cascade(hits, "k", 4).collect())
-    assert got == [("k", 1, "u1"), ("k", 2, "u2"), ("m", 1, "a"), ("m", 2, "b")]
+
+
+ARTICLES = "article_id bigint, title string, url string, publish_date string, points bigint, num_comments bigint"
+
+
+def test_search(spark):
+    rows = [(1, "Acme Grain Works opens", "a", "2024-01-01", 1, 0), (2, "works of ACME, and grain", "b", "2024-01-03", 0, 0), (3, "Acme only", "c", "2024-01-02", 1, 1), (4, None, "d", "2024-01-02", 1, 1), (5, "grain acme works", "e", None, 1, 1)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], ARTICLES + ", query string")
+    asked = spark.createDataFrame([(1, "acme grain works"), (2, "ACME"), (3, "acme nowhere"), (4, ""), (5, None), (1, "acme grain works")], "query_id int, query string")
+    got = sorted((r.query_id, r["rank"], r.article_id) for r in news.search(df.drop("query"), asked).collect())
+    assert got == [(1, 1, 2), (1, 2, 1), (1, 3, 5), (2, 1, 2), (2, 2, 3), (2, 3, 1), (2, 4, 5)]
+    assert [(r.query_id, r.article_id) for r in news.search(df, asked, 1, "2024-01-02", "2024-01-02").collect()] == [(2, 3)]
+    assert news.search(df.limit(0), asked).count() == 0 and news.search(df, asked.limit(0)).count() == 0
+
+
+def _cascade_by_loop(rows, company, wanted):
+    """The widening searches of one company, one after the other."""
+    name, ticker, industry, rivals = company
+    words = lambda t: set(re.findall(r"[a-z0-9]+", (t or "").lower()))
+    out, seen = [], set()
+
+    def ask(query, room, tier):
+        if not words(query):
+            return
+        hits = sorted((r for r in rows if words(query) <= words(r[1])), key=lambda r: (r[3] or "", r[0]), reverse=True)
+        for r in hits[: min(room, wanted)]:
+            if (r[4] or r[5]) and r[2] and r[2] not in seen:
+                seen.add(r[2])
+                out.append((tier, r[0]))
+
+    ask(name, wanted, 1)
+    if len(out) < wanted * 0.5 and ticker and len(ticker) >= 3:
+        ask(f"{ticker} {name}", wanted - len(out), 2)
+    if len(out) < wanted * 0.3:
+        left = wanted - len(out)
+        if industry:
+            ask(industry, left // 2, 3)
+            main = [w for w in industry.split() if w.lower() not in news.MODIFIERS]
+            if len(out) < wanted * 0.3 and " " in industry and main and main[-1] != industry:
+                ask(main[-1], left // 2, 4)
+        if rivals and len(out) < wanted * 0.5:
+            some, left = rivals[:3], wanted - len(out)
+            for k, rival in enumerate(some):
+                if len(out) >= wanted:
+                    break
+                ask(rival, left // len(some), 5 + k)
+    return out[:wanted]
+
+
+def test_cascade_against_a_loop(spark):
+    rng = random.Random(4)
+    vocabulary = "acme grain works energy costs pricing board abcd xy".split()
+    rows = [(i, " ".join(rng.sample(vocabulary, rng.randrange(1, 5))), rng.choice(["", f"u{i % 70}"]), f"2024-01-{rng.randrange(1, 29):02d}", rng.choice([0, 1]), rng.choice([0, None, 2])) for i in range(160)]
+    companies = [(f"k{i}", rng.choice(["acme", "acme grain works", "grain works energy costs", "nobody", None]), rng.choice(["abcd", "xy", None]), rng.choice(["general pricing", "energy costs", "specialty", "unknown trade", None]), rng.choice([None, [], ["board"], ["works acme", "nobody", "pricing", "energy"]])) for i in range(40)]
+    df = spark.createDataFrame(rows, ARTICLES)
+    firms = spark.createDataFrame(companies, "key string, name string, ticker string, industry string, competitors array<string>")
+    for wanted in (4, 12):
+        got = {}
+        for r in sorted(news.cascade(df, firms, wanted).collect(), key=lambda r: (r.key, r["rank"])):
+            got.setdefault(r.key, []).append((r.tier, r.article_id))
+        want = {k: x for k, *c in companies if (x := _cascade_by_loop(rows, (c[0] or "", c[1], c[2], c[3]), wanted))}
+        assert got == want
+    assert news.cascade(df.limit(0), firms, 5).count() == 0
 
 
 def test_preference(spark):
