@@ -105,6 +105,26 @@ def put_shared(spark: SparkSession, name: str, data: bytes) -> str:
     return fs.makeQualified(path).toString()
 
 
+def replace_file(spark: SparkSession, path: str, data: bytes, backup: str | None = None) -> None:
+    """Write ``data`` to ``path`` as a whole: beside it first, then in its place; what was there goes to ``backup``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = at(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    if fs.exists(at(path)):
+        if backup:
+            fs.delete(at(backup), False)
+            fs.rename(at(path), at(backup))
+        else:
+            fs.delete(at(path), False)
+    fs.rename(beside, at(path))
+
+
 def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``side``, counted and weighed, is small enough to be broadcast."""
     weight = F.sum(F.octet_length(F.to_json(F.struct("*"))))

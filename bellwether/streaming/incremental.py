@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bellwether.operators.asof import keep_last
+
 
 def process_new(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, fmt: str = "json") -> None:
     """Read the files of ``path`` that earlier runs haven't, transform them and append the result to ``out``.
@@ -18,10 +20,10 @@ def process_new(spark: SparkSession, path: str, schema, transform: Callable[[Dat
 
 
 def append_by_key(stream: DataFrame, key: str, path: str, checkpoint: str) -> None:
-    """Append each batch of a stream to folders by key."""
+    """Append each batch of a stream to folders by batch and key; a batch that is run again replaces itself."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").partitionBy(key).parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy(key).parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -36,13 +38,14 @@ def tumbling_bars(events: DataFrame, symbol: str, ts: str, price: str, width: st
 
 
 def run_bars(spark: SparkSession, path: str, schema, folder: str, width: str = "1 day") -> DataFrame:
-    """All bars of the files in ``path``, by one run of the stream; read back from ``folder``."""
+    """All bars of the files in ``path``, by one run of the stream; each bar's last state, read back from ``folder``."""
     stream = spark.readStream.format("parquet").schema(schema).load(path).withColumn("ts", F.col("ts").cast("timestamp"))
     bars = tumbling_bars(stream, "event_type", "ts", "value", width)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/bars")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/bars/batch={number}")
 
-    query = bars.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    # Bars are updated until the watermark passes them, which also lets go of their state.
+    query = bars.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/bars")
+    return keep_last(spark.read.parquet(f"{folder}/bars"), ["start", "event_type"], ["batch"]).drop("batch")

@@ -1,9 +1,10 @@
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from bellwether.sources import files, sinks
+from bellwether.sources import files, remote, sinks
 from bellwether.sources.remote import PagedReader, PagedSource, TokenBucket, with_retries
 from bellwether.streaming import incremental
 
@@ -25,8 +26,14 @@ def test_text_csv_and_symbols(spark, tmp_path):
     (tmp_path / "t/x.txt").write_text("a\nb")
     assert files.text_files(spark, str(tmp_path / "t")).first().text == "a\nb"
     (tmp_path / "n.csv").write_text('Stock_symbol,Title\nA,"one\ntwo"\nB,x\n')
-    rows = files.symbols_of(files.csv_table(spark, str(tmp_path / "n.csv"), "Stock_symbol string, Title string"), ["A"]).collect()
+    rows = files.symbols_of(files.csv_table(spark, str(tmp_path / "n.csv"), "Stock_symbol string, Title string", multi_line=True), ["A"]).collect()
     assert [r.Title for r in rows] == ["one\ntwo"]
+    (tmp_path / "big.csv").write_text("Stock_symbol,Title\n" + "".join(f"S{i},title {i}\n" for i in range(20_000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    big = files.csv_table(spark, str(tmp_path / "big.csv"), "Stock_symbol string, Title string")
+    assert big.count() == 20_000 and big.rdd.getNumPartitions() > 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
 def test_registry_index_and_feed(spark):
@@ -81,8 +88,14 @@ def test_token_bucket_and_retries():
     for _ in range(4):
         b.take()
     assert sum(naps) == pytest.approx(0.2)
+    # A refusal makes it hold off: as long as asked, else five seconds, then twice as long.
+    b.slow_down(3.0)
+    assert b.take(timeout=1.0) is None and b.take() == pytest.approx(3.0, abs=0.2)
     b.slow_down()
-    assert b.rate == 5
+    b.slow_down()
+    assert b.take() == pytest.approx(10.0, abs=0.2)
+    b.slow_down()
+    assert b.take() == pytest.approx(5.0, abs=0.2)
     calls = []
 
     def flaky():
@@ -96,6 +109,95 @@ def test_token_bucket_and_retries():
         with_retries(lambda: (_ for _ in ()).throw(OSError()), 2, sleep=lambda s: None)
 
 
+def test_errors_are_told_apart():
+    class Response:
+        def __init__(self, status, headers=None):
+            self.status_code, self.headers = status, headers or {}
+
+    class HTTPError(Exception):
+        def __init__(self, response):
+            super().__init__("failed")
+            self.response = response
+
+    refused, gone, broken = HTTPError(Response(429, {"Retry-After": "7"})), HTTPError(Response(404)), HTTPError(Response(503))
+    assert remote.is_refusal(refused) and remote.asked_pause(refused) == 7 and remote.is_refusal(ValueError("Too Many Requests")) and not remote.is_refusal(broken)
+    assert [remote.is_passing(e) for e in (refused, gone, broken, TimeoutError(), ValueError("x"))] == [True, False, True, True, False]
+    calls, now = [], [0.0]
+
+    def sleep(s):
+        now[0] += s
+
+    def call():
+        calls.append(now[0])
+        if len(calls) == 1:
+            raise refused
+        return "ok"
+
+    bucket = TokenBucket(100, 5, clock=lambda: now[0], sleep=sleep)
+    assert with_retries(call, sleep=lambda s: None, bucket=bucket) == "ok" and calls[1] - calls[0] == pytest.approx(7.0)
+    with pytest.raises(HTTPError):
+        with_retries(lambda: (_ for _ in ()).throw(gone), 3, sleep=lambda s: pytest.fail("no second try"))
+
+
+def test_hosts_wait_for_themselves_only():
+    now = [0.0]
+
+    def sleep(s):
+        now[0] += s
+
+    limiter = remote.HostLimiter(7.0, 3.0, clock=lambda: now[0], sleep=sleep, draw=lambda: 1.0)
+    assert [limiter.take(u) for u in ("https://a.example/x", "https://b.example/x", "https://A.example/y", "https://b.example/z")] == [0.0, 0.0, 10.0, 0.0]
+    assert limiter.take("a.example/plain") == pytest.approx(10.0)
+
+
+def test_archived_indexes(spark):
+    import json
+
+    arrays = lambda *rows: dict(zip(("form", "filingDate", "accessionNumber", "primaryDocument"), map(list, zip(*rows, strict=True)), strict=True))
+    main = {"filings": {"recent": arrays(("10-K", "2022-03-01", "n1", "d1"), ("8-K", "2022-01-01", "n2", "d2")), "files": [{"name": "old.json", "filingFrom": "2000-01-01", "filingTo": "2019-12-31"}, {"name": "late.json", "filingFrom": "2020-01-01", "filingTo": "2021-12-31"}]}}
+    old, late = arrays(("10-k", "2018-05-01", "o1", "x1"), ("10-K", "2019-05-01", "o2", "x2")), arrays(("10-K", "2021-05-01", "l1", "y1"))
+    indexes = spark.createDataFrame([("1", json.dumps(main)), ("2", "no json")], "cik string, text string")
+    older = spark.createDataFrame([("old.json", json.dumps(old)), ("late.json", json.dumps(late))], "name string, text string")
+    asked = spark.createDataFrame([("1", "10-K", dt.date(2023, 1, 1)), ("1", "10-K", dt.date(2020, 6, 1)), ("1", "8-K", None), ("1", "10-Q", None), ("2", "10-K", None)], "cik string, form string, before date")
+    got = {(r.cik, r.form, r.before): r.accession for r in files.latest_filing(indexes, older, asked).collect()}
+    # The archive that goes beyond the date is not read.
+    assert got == {("1", "10-K", dt.date(2023, 1, 1)): "n1", ("1", "10-K", dt.date(2020, 6, 1)): "o2", ("1", "8-K", None): "n2"}
+
+
+def test_registry_refresh_keeps_a_backup(spark, tmp_path):
+    path = str(tmp_path / "registry.json")
+    entry = lambda t: '{"0": {"cik_str": 1, "ticker": "%s", "title": "T"}}' % t
+    assert files.refresh_registry(spark, path, lambda: entry("A")).first().ticker == "A"
+    assert files.refresh_registry(spark, path, lambda: entry("B")).first().ticker == "B"
+    assert '"A"' in open(path + ".backup").read() and '"B"' in open(path).read()
+    assert files.refresh_registry(spark, path, lambda: 1 / 0) is None and files.refresh_registry(spark, path, lambda: "{}") is None and '"B"' in open(path).read()
+
+
+def test_copies_by_symbol(spark, tmp_path):
+    (tmp_path / "from").mkdir()
+    (tmp_path / "from/AAA.csv").write_text("1")
+    (tmp_path / "from/bbb.csv").write_text("2")
+    df = spark.createDataFrame([("aaa",), ("BBB",), ("ccc",), (None,)], "symbol string")
+    run = lambda **k: {r.symbol: r.status for r in sinks.copy_by_symbol(df, str(tmp_path / "from"), str(tmp_path / "to"), **k).collect()}
+    assert run() == {"aaa": "copied", "BBB": "copied_lower", "ccc": "missing"} and (tmp_path / "to/BBB.csv").read_text() == "2"
+    (tmp_path / "from/AAA.csv").write_text("9")
+    assert run() == {"aaa": "skipped", "BBB": "skipped", "ccc": "missing"} and (tmp_path / "to/AAA.csv").read_text() == "1"
+    assert run(overwrite=True)["aaa"] == "copied" and (tmp_path / "to/AAA.csv").read_text() == "9"
+
+
+def test_remembered_values(spark, tmp_path):
+    asked = []
+
+    def compute(keys):
+        asked.append(sorted(r.k for r in keys.collect()))
+        return keys.where("k <> 'none'").withColumn("v", F.length("k"))
+
+    path = str(tmp_path / "memo")
+    run = lambda *ks: {r.k: r.v for r in sinks.remembered(spark.createDataFrame([(k,) for k in ks], "k string"), path, ["k"], compute).collect()}
+    assert run("a", "bb", "none") == {"a": 1, "bb": 2} and run("bb", "ccc", "none") == {"bb": 2, "ccc": 3}
+    assert asked == [["a", "bb", "none"], ["ccc", "none"]]
+
+
 def test_paged_source(spark):
     reader = PagedReader({"keys": "a,b,c", "partitions": "2", "fetch": "tests.test_sources:fetch", "kind": "prices"}, None)
     parts = reader.partitions()
@@ -117,4 +219,17 @@ def test_incremental_runs_take_new_files_only(spark, tmp_path):
     assert sorted(r.w for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 4]
     stream = spark.readStream.schema("k string, v int").json(str(src))
     incremental.append_by_key(stream, "k", str(tmp_path / "by"), str(tmp_path / "state2"))
-    assert (tmp_path / "by/k=a").is_dir()
+    assert (tmp_path / "by/batch=0/k=a").is_dir() and spark.read.parquet(str(tmp_path / "by")).count() == 2
+
+
+def test_bars_keep_their_state_bounded(spark, tmp_path):
+    """Over several runs late events are dropped once the watermark has passed, and bars are read back whole."""
+    schema = "ts timestamp, event_type string, value double"
+    events = lambda n, *rows: spark.createDataFrame([(dt.datetime.fromisoformat(t), k, v) for t, k, v in rows], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    run = lambda: sorted((str(r.start)[:10], r.event_type, r.open, r.close, r.n) for r in incremental.run_bars(spark, str(tmp_path / "in/*"), schema, str(tmp_path / "out")).collect())
+    events(1, ("2024-01-01T10:00", "a", 1.0), ("2024-01-01T11:00", "a", 2.0))
+    assert run() == [("2024-01-01", "a", 1.0, 2.0, 2)]
+    events(2, ("2024-01-01T09:00", "a", 3.0), ("2024-02-01T09:00", "a", 4.0))
+    assert run() == [("2024-01-01", "a", 3.0, 2.0, 3), ("2024-02-01", "a", 4.0, 4.0, 1)]
+    events(3, ("2024-01-01T08:00", "a", 9.0), ("2024-02-01T10:00", "a", 5.0))
+    assert run() == [("2024-01-01", "a", 3.0, 2.0, 3), ("2024-02-01", "a", 4.0, 5.0, 2)]
