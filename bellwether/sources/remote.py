@@ -73,13 +73,13 @@ class TokenBucket:
     def _pause(self) -> float:
         """Seconds until a permit may be had; 0 takes it."""
         now = self.clock()
-        if now < self.until:
+        if now < self.until - 1e-9:
             return self.until - now
         if self.until > float("-inf"):
             self.until, self.hold, self.at = float("-inf"), HOLD, max(self.at, self.until)
         self.tokens = min(float(self.burst), self.tokens + (now - self.at) * self.rate)
         self.at = now
-        if self.tokens < 1:
+        if self.tokens < 1 - 1e-9:
             return (1 - self.tokens) / self.rate
         self.tokens -= 1
         return 0.0
