@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 from bellwether.session import materialize
 
 #: Notes and fragments that a cut leaves behind, at the end of a text.
-REMAINS = r"(?:\s|\p{Cf}|\x{FFFD}|…|\.{3,}|\[\s*(?:\+\s*\d+\s*\w*|…|\.{3})\s*\]|\((?:continued|truncated|cont\.?|more)\)|\[(?:continued|truncated|more|cut)\]|<[A-Za-z/!][^<>]*|&#?\w{0,8};?|\b(?:Continue reading|Read more|Read on|Show more|See more|Weiterlesen|Lire la suite|Leer más)\b[\s.…»>→]*)+$"
+REMAINS = r"(?:\s|\p{Z}|\p{Cf}|\x{FFFD}|…|\.{3,}|\[\s*(?:\+\s*\d+\s*\w*|…|\.{3})\s*\]|\((?:continued|truncated|cont\.?|more)\)|\[(?:continued|truncated|more|cut)\]|<[A-Za-z/!][^<>]*|&#?\w{0,8};?|\b(?:Continue reading|Read more|Read on|Show more|See more|Weiterlesen|Lire la suite|Leer más)\b[\s.…»>→]*)+$"
 #: Half a character, half a tag or a count of missing signs: such an end is broken whatever comes before.
-BROKEN = r"(\x{FFFD}|<[A-Za-z/!][^<>]*|\[\s*\+\s*\d+[^\]]*\])[\s\p{Cf}]*$"
+BROKEN = r"(\x{FFFD}|<[A-Za-z/!][^<>]*|\[\s*\+\s*\d+[^\]]*\])[\s\p{Z}\p{Cf}]*$"
 #: So many sightings of the last tokens make their counts decide.
 EVIDENCE = 3
 #: A mark that fewer than this share of its sightings end a text with is no end.
 MARK_ENDS = 0.01
 
 #: Words, numbers (with their points) and dates, and every other sign, of a lower-case text.
-TOKEN = r"\p{L}[\p{L}\p{M}]*|0(?:[.,\x{A0}\x{202F}]0)*|[^\s\p{L}0]"
+TOKEN = r"\p{L}[\p{L}\p{M}]*|0(?:[.,\x{A0}\x{202F}]0)*|[^\s\p{Z}\p{L}0]"
 
 #: Marks that end sentences, and what may close after them.  Before anything is counted, such an end
 #: is taken to have been seen so many times, and at the end of a text in this share of them.
@@ -47,11 +47,10 @@ _TOKENS = """
 SELECT *, regexp_extract_all(regexp_replace(regexp_replace(lower(said), :date, '\\u0001'), '[0-9]+', '0'), :token, 0) AS t FROM {bodies}
 """
 _ENDS = """
-SELECT *, z RLIKE :mark AS marked, CASE WHEN y RLIKE :mark THEN y ELSE '' END AS y_mark
-FROM (
-  SELECT id, size(t) AS n, coalesce(try_element_at(t, -1), '') AS z, coalesce(try_element_at(t, -2), '') AS y, coalesce(try_element_at(t, -3), '') AS x,
-    noted, broken, copy, said RLIKE '[0-9][.]$' AND coalesce(try_element_at(t, -2), '') = '0' AS pointed
-  FROM {tokens})
+SELECT id, size(t) AS n, coalesce(try_element_at(t, -1), '') AS z, coalesce(try_element_at(t, -2), '') AS y, coalesce(try_element_at(t, -3), '') AS x, noted, broken, copy,
+  said RLIKE '[0-9][.]$' AND coalesce(try_element_at(t, -2), '') = '0' AS pointed, coalesce(try_element_at(t, -1) RLIKE :mark, false) AS marked,
+  CASE WHEN try_element_at(t, -2) RLIKE :mark THEN try_element_at(t, -2) ELSE '' END AS y_mark
+FROM {tokens}
 """
 _INSIDE = """
 SELECT w.x, w.y, w.z, count(*) AS n FROM (
@@ -59,46 +58,53 @@ SELECT w.x, w.y, w.z, count(*) AS n FROM (
   FROM (SELECT t, concat(array('', ''), t) AS p FROM {tokens} WHERE size(t) > 1))
 GROUP BY w.x, w.y, w.z
 """
+#: The last tokens of texts that end with a word, with the number of different texts.
+_LAST = "last AS (SELECT x, y, z, count(DISTINCT copy) AS ends FROM {ends} WHERE n > 0 AND NOT marked GROUP BY x, y, z)"
+#: By the last three tokens: the texts that end with them, what goes on like them; the same of any third token
+#: after the two before.  What goes on is only looked at after tokens that some text ends with.
+_THREE = f"""
+WITH {_LAST}, before AS (SELECT x, y, sum(ends) AS ends FROM last GROUP BY x, y),
+found AS (SELECT i.x, i.y, i.z, i.n FROM {{inside}} i LEFT SEMI JOIN before b ON i.x = b.x AND i.y = b.y),
+begun AS (SELECT x, y, left(z, k) AS z, sum(n) AS n FROM (SELECT x, y, z, n, explode(sequence(0, length(z))) AS k FROM found) GROUP BY 1, 2, 3)
+SELECT e.x, e.y, e.z, e.ends, coalesce(b.n, 0) AS goes_on, a.ends AS ends_b, coalesce(c.n, 0) AS goes_on_b
+FROM last e JOIN before a ON e.x = a.x AND e.y = a.y LEFT JOIN begun b ON e.x = b.x AND e.y = b.y AND e.z = b.z LEFT JOIN begun c ON e.x = c.x AND e.y = c.y AND c.z = ''
+"""
+#: By the last two tokens, and by the last alone.
+_TWO = f"""
+WITH {_LAST}, last2 AS (SELECT y, z, sum(ends) AS ends FROM last GROUP BY y, z),
+begun AS (SELECT y, left(z, k) AS z, sum(n) AS n FROM (SELECT i.y, i.z, i.n, explode(sequence(1, length(i.z))) AS k FROM {{pairs}} i LEFT SEMI JOIN last2 b ON i.y = b.y) GROUP BY 1, 2)
+SELECT e.y, e.z, e.ends, coalesce(b.n, 0) AS goes_on FROM last2 e LEFT JOIN begun b ON e.y = b.y AND e.z = b.z
+"""
+_ONE = f"""
+WITH {_LAST}, last1 AS (SELECT z, sum(ends) AS ends FROM last GROUP BY z),
+begun AS (SELECT left(z, k) AS z, sum(n) AS n FROM (SELECT z, n, explode(sequence(1, length(z))) AS k FROM (SELECT z, sum(n) AS n FROM {{pairs}} GROUP BY z)) GROUP BY 1)
+SELECT e.z, e.ends, coalesce(b.n, 0) AS goes_on FROM last1 e LEFT JOIN begun b ON e.z = b.z
+"""
 #: By last tokens: whether a text that ends with them is cut.  ``ends`` counts different texts, ``goes_on``
-#: sightings inside texts.  What goes on is only looked at after the tokens that some text ends with.
+#: sightings inside texts.
 _WORDS = """
-WITH last3 AS (SELECT x, y, z, count(DISTINCT copy) AS ends FROM {ends} WHERE n > 0 AND NOT marked GROUP BY x, y, z),
-last2 AS (SELECT y, z, sum(ends) AS ends FROM last3 GROUP BY y, z),
-last1 AS (SELECT z, sum(ends) AS ends FROM last3 GROUP BY z),
-before AS (SELECT x, y, sum(ends) AS ends FROM last3 GROUP BY x, y),
-in3 AS (SELECT i.* FROM {inside} i LEFT SEMI JOIN before b ON i.x = b.x AND i.y = b.y),
-in2 AS (SELECT i.y, i.z, sum(i.n) AS n FROM {inside} i LEFT SEMI JOIN last2 b ON i.y = b.y GROUP BY i.y, i.z),
-in1 AS (SELECT z, sum(n) AS n FROM {inside} GROUP BY z),
-begun3 AS (SELECT x, y, left(z, k) AS z, sum(n) AS n FROM (SELECT x, y, z, n, explode(sequence(1, length(z))) AS k FROM in3) GROUP BY 1, 2, 3),
-begun2 AS (SELECT y, left(z, k) AS z, sum(n) AS n FROM (SELECT y, z, n, explode(sequence(1, length(z))) AS k FROM in2) GROUP BY 1, 2),
-begun1 AS (SELECT left(z, k) AS z, sum(n) AS n FROM (SELECT z, n, explode(sequence(1, length(z))) AS k FROM in1) GROUP BY 1),
-follows AS (SELECT x, y, sum(n) AS n FROM in3 GROUP BY x, y),
-s2 AS (SELECT l.y, l.z, l.ends, coalesce(i.n, 0) AS goes_on FROM last2 l LEFT JOIN begun2 i ON l.y = i.y AND l.z = i.z),
-s1 AS (SELECT l.z, l.ends, coalesce(i.n, 0) AS goes_on FROM last1 l LEFT JOIN begun1 i ON l.z = i.z),
-sb AS (SELECT l.x, l.y, l.ends, coalesce(i.n, 0) AS goes_on FROM before l LEFT JOIN follows i ON l.x = i.x AND l.y = i.y),
-s3 AS (SELECT l.x, l.y, l.z, l.ends, coalesce(i.n, 0) AS goes_on FROM last3 l LEFT JOIN begun3 i ON l.x = i.x AND l.y = i.y AND l.z = i.z)
 SELECT s3.x, s3.y, s3.z,
   CASE WHEN s3.ends + s3.goes_on >= :evidence THEN s3.goes_on > s3.ends
        WHEN s2.ends + s2.goes_on >= :evidence THEN s2.goes_on > s2.ends
-       WHEN sb.ends + sb.goes_on >= :evidence THEN sb.goes_on > sb.ends
+       WHEN s3.ends_b + s3.goes_on_b >= :evidence THEN s3.goes_on_b > s3.ends_b
        WHEN s1.ends + s1.goes_on >= :evidence THEN s1.goes_on > s1.ends ELSE true END AS cut
-FROM s3 JOIN s2 ON s3.y = s2.y AND s3.z = s2.z JOIN sb ON s3.x = sb.x AND s3.y = sb.y JOIN s1 ON s3.z = s1.z
+FROM {three} s3 JOIN {two} s2 ON s3.y = s2.y AND s3.z = s2.z JOIN {one} s1 ON s3.z = s1.z
 """
 #: By last mark and the mark before it, if that is one: whether it is no end.  Too seldom a mark is judged
 #: like the last of the two alone, or else like all marks.
 _MARKS = """
-WITH ends2 AS (SELECT y_mark, z, count(DISTINCT copy) AS ends FROM {ends} WHERE marked GROUP BY y_mark, z),
-in2 AS (SELECT CASE WHEN y RLIKE :mark THEN y ELSE '' END AS y_mark, z, sum(n) AS n FROM {inside} WHERE z RLIKE :mark GROUP BY 1, 2),
-both AS (SELECT coalesce(e.y_mark, i.y_mark) AS y_mark, coalesce(e.z, i.z) AS z, coalesce(e.ends, 0) AS ends, coalesce(i.n, 0) AS n FROM ends2 e FULL JOIN in2 i ON e.y_mark = i.y_mark AND e.z = i.z),
-one AS (SELECT z, sum(ends) AS ends, sum(n) AS n FROM both GROUP BY z),
-every AS (SELECT sum(ends) AS ends, sum(n) AS n FROM both)
+WITH seen AS (
+  SELECT y_mark, z, 0 AS n, count(DISTINCT copy) AS ends FROM {ends} WHERE marked GROUP BY y_mark, z
+  UNION ALL SELECT CASE WHEN y RLIKE :mark THEN y ELSE '' END, z, sum(n), 0 FROM {pairs} WHERE z RLIKE :mark GROUP BY 1, 2),
+both AS (SELECT y_mark, z, sum(ends) AS ends, sum(n) AS n FROM seen GROUP BY y_mark, z)
 SELECT y_mark, z,
   CASE WHEN ends + n + prior >= :evidence THEN ends - 1 + :prior_ends * prior < :share * (ends - 1 + n + prior)
        WHEN ends1 + n1 >= :evidence THEN ends1 - 1 < :share * (ends1 - 1 + n1)
-       ELSE (SELECT ends < :share * (ends + n) FROM every) END AS cut
+       ELSE all_ends < :share * (all_ends + all_n) END AS cut
 FROM (
-  SELECT b.*, o.ends AS ends1, o.n AS n1, CASE WHEN contains(:sentence, b.z) OR b.y_mark <> '' AND contains(:sentence, b.y_mark) AND contains(:closing, b.z) THEN :prior ELSE 0 END AS prior
-  FROM both b JOIN one o ON b.z = o.z)
+  SELECT *, sum(ends) OVER (PARTITION BY z) AS ends1, sum(n) OVER (PARTITION BY z) AS n1, sum(ends) OVER () AS all_ends, sum(n) OVER () AS all_n,
+    CASE WHEN contains(:sentence, z) OR y_mark <> '' AND contains(:sentence, y_mark) AND contains(:closing, z) THEN :prior ELSE 0 END AS prior
+  FROM both) WHERE ends > 0
 """
 _POINTS = """
 SELECT l.x, sum(i.n) IS NULL AS cut FROM (SELECT DISTINCT x FROM {ends} WHERE pointed) l LEFT JOIN {inside} i ON l.x = i.x AND i.y = '0' AND i.z = '.' GROUP BY l.x
@@ -127,8 +133,11 @@ def truncated(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     tails = bodies.select("id", F.right("body", F.lit(END)).alias("said"), F.expr("length(body) < length(rtrim(text))").alias("noted"), F.expr("right(text, size)").rlike(BROKEN).alias("broken"), F.xxhash64("text").alias("copy"))
     ends = materialize(spark.sql(_ENDS, args={"mark": MARK}, tokens=spark.sql(_TOKENS, args=words, bodies=tails)))
     inside = materialize(spark.sql(_INSIDE, tokens=spark.sql(_TOKENS, args=words, bodies=bodies.select(F.col("body").alias("said")))))
-    by_words = spark.sql(_WORDS, args={"evidence": EVIDENCE}, ends=ends, inside=inside)
-    by_marks = spark.sql(_MARKS, args={"evidence": EVIDENCE, "share": MARK_ENDS, "mark": MARK, "sentence": SENTENCE_ENDS, "closing": CLOSING, "prior": PRIOR, "prior_ends": PRIOR_ENDS}, ends=ends, inside=inside)
+    pairs = materialize(inside.groupBy("y", "z").agg(F.sum("n").alias("n")))
+    three = materialize(spark.sql(_THREE, ends=ends, inside=inside))
+    two, one = (spark.sql(q, ends=ends, pairs=pairs) for q in (_TWO, _ONE))
+    by_words = materialize(spark.sql(_WORDS, args={"evidence": EVIDENCE}, three=three, two=two, one=one))
+    by_marks = spark.sql(_MARKS, args={"evidence": EVIDENCE, "share": MARK_ENDS, "mark": MARK, "sentence": SENTENCE_ENDS, "closing": CLOSING, "prior": PRIOR, "prior_ends": PRIOR_ENDS}, ends=ends, pairs=pairs)
     return spark.sql(_CUT, ends=ends, words=by_words, marks=by_marks, points=spark.sql(_POINTS, ends=ends, inside=inside))
 
 
