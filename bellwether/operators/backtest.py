@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from bellwether.operators.bars import business_days, by_symbol
+from bellwether.session import materialize
 from bellwether.operators.scoring import CONFIDENCE
 
 CAPITAL, COST, RISK_FREE, YEAR = 100_000.0, 0.0005, 0.04, 252
@@ -26,8 +27,8 @@ def simulate(rows: DataFrame, model: str = "model") -> DataFrame:
     rate.  The daily series of a model is bounded by the calendar."""
     daily_rate = (1 + RISK_FREE) ** (1 / YEAR) - 1
     trade = F.col("position") * F.col("intraday") - F.abs("position") * COST
-    daily = rows.groupBy(model, "d").agg((F.sum(trade) / F.count("symbol")).alias("ret"))
-    span = rows.agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    daily = materialize(rows.groupBy(model, "d").agg((F.sum(trade) / F.count("symbol")).alias("ret")))
+    span = daily.agg(F.min("d").alias("a"), F.max("d").alias("b"))
     return _simulated(daily, span.first(), model, daily_rate)
 
 

@@ -5,11 +5,14 @@ here shuffles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bellwether.functions.text import first_words
 
+Count = Callable[[Column], Column]
 SECTIONS = ("latest_10k", "latest_10q")
 #: White space that stays white space in compact JSON; line breaks and tabs are escaped there.
 JSON_BLANKS = r"[ \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -68,7 +71,7 @@ def regroup_scores(tasks: DataFrame) -> DataFrame:
 _ACTION = "array<struct<level:int,section:int,report:int,back:int,place:int,cost:int>>"
 
 
-def _actions() -> Column:
+def _actions(count: Count) -> Column:
     """All removals a document allows, in their order, with the tokens each saves."""
     none = F.array().cast(_ACTION)
 
@@ -76,12 +79,12 @@ def _actions() -> Column:
         return F.struct(F.lit(level).alias("level"), F.lit(section).alias("section"), report.cast("int").alias("report"), back.cast("int").alias("back"), place.cast("int").alias("place"), cost.cast("int").alias("cost"))
 
     def paragraphs(level: int, section: int, report: Column, array: Column, scores: tuple) -> Column:
-        each = F.transform(array, lambda p, i: F.when(p["score"].isin(*scores), action(level, section, report, i, -i, blanks(p["text"]))))
+        each = F.transform(array, lambda p, i: F.when(p["score"].isin(*scores), action(level, section, report, i, -i, count(p["text"]))))
         return F.coalesce(F.filter(each, lambda a: a.isNotNull()), none)
 
     def articles(level: int, whole: bool, scores: tuple) -> Column:
         def one(a: Column, i: Column) -> Column:
-            cost = blanks(a["text"]) if not whole else sum((blanks(a[f]) for f in ("title", "url", "publish_date", "text", "scoring_method")), F.lit(0))
+            cost = count(a["text"]) if not whole else sum((count(a[f]) for f in ("title", "url", "publish_date", "text", "scoring_method")), F.lit(0))
             return F.when(a["score"].isin(*scores), action(level, 0, F.lit(0), i, -i if whole else i, cost))
 
         return F.coalesce(F.filter(F.transform("hacker_news_articles", one), lambda a: a.isNotNull()), none)
@@ -99,31 +102,32 @@ def _actions() -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _total() -> Column:
+def _total(count: Count = blanks) -> Column:
     """White-space tokens of the final document as compact JSON."""
 
     def strings(node: Column, names: tuple[str, ...]) -> Column:
-        return sum((blanks(node[n]) for n in names), F.lit(0))
+        return sum((count(node[n]) for n in names), F.lit(0))
 
     meta = ("filing_date", "filing_url", "accession_number", "form_type", "company_ticker", "cik", "primary_document")
 
     def report(r: Column) -> Column:
-        return strings(r["metadata"], meta) + F.aggregate(F.coalesce(r["paragraphs"], F.array().cast("array<struct<text:string,score:int>>")), F.lit(0), lambda s, p: s + blanks(p["text"]))
+        return strings(r["metadata"], meta) + F.aggregate(F.coalesce(r["paragraphs"], F.array().cast("array<struct<text:string,score:int>>")), F.lit(0), lambda s, p: s + count(p["text"]))
 
-    total = F.lit(1) + blanks(F.col("company_name")) + blanks(F.col("ticker")) + strings(F.col("date_range"), ("start", "end"))
+    total = F.lit(1) + count(F.col("company_name")) + count(F.col("ticker")) + strings(F.col("date_range"), ("start", "end"))
     for s in SECTIONS:
         total = total + report(F.col(s))
     total = total + F.coalesce(F.aggregate("eight_k_reports", F.lit(0), lambda s, r: s + report(r)), F.lit(0))
     return total + F.coalesce(F.aggregate("hacker_news_articles", F.lit(0), lambda s, a: s + strings(a, ("title", "url", "publish_date", "text", "scoring_method"))), F.lit(0))
 
 
-def budget(docs: DataFrame, limit: int) -> DataFrame:
+def budget(docs: DataFrame, limit: int, count: Count = blanks) -> DataFrame:
     """Scored documents with ``total`` (tokens), ``applied`` (the removals it takes to come down to
     ``limit``), ``final`` (tokens then) and ``minimal`` (whether not even all removals suffice).
 
     The removals are applied in order until the rest fits, in one fold.  A document within the limit
-    loses nothing; scores outside 0 … 9 are never removed."""
-    x = docs.withColumn("total", _total()).withColumn("actions", _actions())
+    loses nothing; scores outside 0 … 9 are never removed.  ``count`` gives the tokens a string adds (a column of
+    integers for a column of texts, 0 for null): white space by default, or any tokenizer's count."""
+    x = docs.withColumn("total", _total(count)).withColumn("actions", _actions(count))
     fold = F.aggregate("actions", F.struct(F.col("total").alias("left"), F.lit(0).alias("n")), lambda s, a: F.when(s["left"] > limit, F.struct((s["left"] - a["cost"]).alias("left"), (s["n"] + 1).alias("n"))).otherwise(s))
     x = x.withColumn("fold", fold)
     return x.withColumn("applied", F.slice("actions", F.lit(1), F.col("fold.n"))).withColumn("final", F.col("fold.left")).withColumn("minimal", F.col("final") > limit).drop("actions", "fold")

@@ -5,27 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bellwether.session import materialize
+from bellwether.session import join_counted, materialize
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     """``df`` with the position (from 1) of each row in the order of ``order``, which must end in a unique
     column; nulls first.
 
-    Rows are range-partitioned and numbered within their partition; the counts of the partitions, a
-    number each, are summed up on the driver."""
+    Rows are range-partitioned and numbered within their partition; how many rows come before a partition is
+    summed up over the partitions' counts, a row each, and joined."""
     keys = [F.col(c).asc_nulls_first() for c in order]
     parts = materialize(df.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id()))
-    counts = {r["__p"]: r["count"] for r in parts.groupBy("__p").count().collect()}  # one row a partition
-    start, offsets = 0, {}
-    for p in sorted(counts):
-        offsets[p] = start
-        start += counts[p]
-    if not counts:
-        return parts.drop("__p").withColumn(name, F.lit(None).cast("bigint"))
-    before = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))
+    counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     w = Window.partitionBy("__p").orderBy(*keys)
-    return parts.withColumn(name, F.row_number().over(w).cast("bigint") + before[F.col("__p")]).drop("__p")
+    numbered = parts.withColumn("__rn", F.row_number().over(w).cast("bigint"))
+    return join_counted(numbered, offsets, "__p").withColumn(name, F.col("__rn") + F.col("__before")).drop("__p", "__rn", "__before")
 
 
 def shards(df: DataFrame, order: list[str], n: int) -> DataFrame:

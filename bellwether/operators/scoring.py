@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bellwether.operators.bars import label_backward
+from bellwether.operators.quantile import exact_median
 
 #: Columns of a prediction: model, symbol, t, pred_direction, pred_price, p_up, p_down, p_unchanged.
 UNCHANGED_BAND = 0.005
@@ -55,6 +56,11 @@ def _grouped(df: DataFrame, sets: list[list[str]], *aggs: Column) -> DataFrame:
     return df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(*aggs)
 
 
+def _set_id(members: list[str], keys: list[str]) -> int:
+    """The number ``grouping_id`` gives a grouping set: a bit for each key it leaves out."""
+    return sum(1 << i for i, k in enumerate(reversed(keys)) if k not in members)
+
+
 def metric_suite(scored: DataFrame, sets: list[list[str]]) -> DataFrame:
     """Probabilistic, classification and regression metrics of each grouping set, in one aggregation.
 
@@ -75,9 +81,15 @@ def metric_suite(scored: DataFrame, sets: list[list[str]]) -> DataFrame:
         F.avg("brier").alias("brier"),
         F.sqrt(F.avg(F.when(priced, gap * gap))).alias("rmse"),
         F.avg(F.when(priced, 2 * F.abs(gap) / (F.abs("next_close") + F.abs("pred_price")))).alias("smape"),
-        F.median(F.when(priced, F.col("ape"))).alias("mdape"),
+        F.grouping_id().alias("__set"),
         *counts,
     )
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    # Medians by set and group, as one key; a model may hold any share of the rows.
+    group = lambda s: F.to_json(F.struct(F.lit(_set_id(s, keys)).alias("set"), *(F.col(k) for k in s)))
+    each = scored.where(priced).select("ape", F.explode(F.array(*(group(s) for s in sets))).alias("__group"))
+    own = F.coalesce(*(F.when(F.col("__set") == _set_id(s, keys), group(s)) for s in sets))
+    g = g.withColumn("__group", own).join(exact_median(each, "__group", "ape", "mdape"), "__group", "left")
     many = sum(((F.col(f"a{i}") > 0).cast("int") for i in range(3)), F.lit(0)) > 1
     f1 = sum((F.col(f"a{i}") / F.col("n") * F.coalesce(F.try_divide(2 * F.col(f"h{i}"), F.col(f"a{i}") + F.col(f"p{i}")), F.lit(0.0)) for i in range(3)), F.lit(0.0))
     pt = sum((F.col(f"a{i}") * F.col(f"p{i}") for i in range(3)), F.lit(0.0))
@@ -86,7 +98,6 @@ def metric_suite(scored: DataFrame, sets: list[list[str]]) -> DataFrame:
     root = F.sqrt((F.col("n") * F.col("n") - pp) * (F.col("n") * F.col("n") - tt))
     mcc = F.when(root == 0, 0.0).otherwise((F.col("right") * F.col("n") - pt) / root)
     g = g.withColumn("accuracy", F.when(many, F.col("right") / F.col("n"))).withColumn("f1_weighted", F.when(many, f1)).withColumn("mcc", F.when(many, mcc))
-    keys = list(dict.fromkeys(k for s in sets for k in s))
     return g.select(*keys, "n_rows", "rps", "brier", "accuracy", "f1_weighted", "mcc", "rmse", "smape", "mdape")
 
 
@@ -101,3 +112,8 @@ def movement_metrics(df: DataFrame, by: str = "symbol") -> DataFrame:
 def long_report(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics in rows: (keys…, metric, value)."""
     return metrics.unpivot(keys, [c for c in metrics.columns if c not in keys and c != "n_rows"], "metric", "value")
+
+
+def wide_report(metrics: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """The report of one key: a row for each metric, a column for each of ``values``, null where it has none."""
+    return long_report(metrics.where(F.col(key).isin(values)), [key]).groupBy("metric").pivot(key, values).agg(F.first("value"))

@@ -46,12 +46,22 @@ def q_volume_humanized(spark, d):
     return b.select("symbol", text.humanize_billions(F.col("v")).alias("volume"))
 
 
+#: What bodies come with: a prologue, hidden parts, a heading, lists, breaks, nested tags, a table of several rows
+#: whose signs stand in cells of their own; and what is left of it.
+SHAPES = (
+    '<!DOCTYPE html><?xml version="1.0"?><ix:header><b>hidden</b></ix:header><xbrli:context id="c">ctx</xbrli:context><div><h2>Item 1A. Risk</h2><ul><li>First <b>point</b></li><li>Second &amp;amp; last</li></ul>'
+    "<dl><dt>Term</dt><dd>Its sense</dd></dl>one<br/>two<blockquote>three</blockquote></div><table><tr><th>Year</th><th>2023</th><th>2022</th></tr><tr><td>Loss</td><td>(</td><td>12.5</td><td>)</td><td>%</td><td></td></tr>"
+    "<tr><td>Sales</td><td>$</td><td>1,200</td><td>&lt;i&gt;x&lt;/i&gt;</td></tr><tr><td></td></tr></table>"
+)
+SHAPES_READ = ("Item 1A. Risk", "", "• First point", "• Second &amp; last", "Term: Its sense", "one", "two", "three", "", "Year | 2023 | 2022", "Loss | (12.5)%", "Sales | $ 1,200 | x")
+
+
 def q_html_clean(spark, d):
-    """Filings set as HTML and read back: paragraphs and a table of the filing's identity."""
+    """Filings set as HTML and read back: the usual shapes, a table of the filing's identity, the paragraphs."""
     f = table(spark, d, "filings")
     escaped = F.transform(F.filter("paragraphs", lambda p: p.isNotNull()), lambda p: F.concat(F.lit("<p>"), F.regexp_replace(F.regexp_replace(p, "&", "&amp;"), "<", "&lt;"), F.lit("</p>")))
     row = F.concat(F.lit("<table><tr><td>CIK</td><td>$</td><td>"), F.coalesce("cik", F.lit("")), F.lit("</td><td>%</td></tr></table>"))
-    return f.select("filing_id", html.clean_html(F.concat(F.lit("<html><script>x()</script>"), row, F.array_join(escaped, "\n"), F.lit("</html>"))).alias("body"))
+    return f.select("filing_id", html.clean_html(F.concat(F.lit("<html><script>x()</script>"), F.lit(SHAPES), row, F.array_join(escaped, "\n"), F.lit("</html>"))).alias("body"))
 
 
 def q_task_explode(spark, d):
@@ -277,7 +287,7 @@ _TASKS = rf"""t0 AS (
   SELECT record_id, 'latest_10k' AS section, 0 AS report, i - 1 AS place, latest_10k.paragraphs[i] AS text FROM (SELECT *, unnest(generate_series(1, len(latest_10k.paragraphs))) AS i FROM company_docs)
   UNION ALL SELECT record_id, 'latest_10q', 0, i - 1, latest_10q.paragraphs[i] FROM (SELECT *, unnest(generate_series(1, len(latest_10q.paragraphs))) AS i FROM company_docs)
   UNION ALL SELECT record_id, 'eight_k_reports', r - 1, i - 1, x.paragraphs[i] FROM (SELECT record_id, r, x, unnest(generate_series(1, len(x.paragraphs))) AS i FROM (SELECT record_id, r, eight_k_reports[r] AS x FROM (SELECT record_id, eight_k_reports, unnest(generate_series(1, len(eight_k_reports))) AS r FROM company_docs)))
-  UNION ALL SELECT record_id, 'hacker_news_articles', 0, i - 1, CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') ELSE text END FROM (SELECT *, list_filter(regexp_split_to_array(text, '{_BL}+'), lambda q: q <> '') AS w FROM (SELECT record_id, i, hacker_news_articles[i].text AS text FROM (SELECT *, unnest(generate_series(1, len(hacker_news_articles))) AS i FROM company_docs)))),
+  UNION ALL SELECT record_id, 'hacker_news_articles', 0, i - 1, CASE WHEN len(w) > 4000 THEN array_to_string(w[1:4000], ' ') ELSE text END FROM (SELECT *, list_filter(regexp_split_to_array(text, '{_BL}+'), lambda q: q <> '') AS w FROM (SELECT record_id, i, hacker_news_articles[i].text AS text FROM (SELECT *, unnest(generate_series(1, len(hacker_news_articles))) AS i FROM company_docs)))),
 tasks AS (SELECT record_id, section, CAST(report AS INT) AS report, CAST(place AS INT) AS place, text FROM t0 WHERE regexp_replace(text, '{_BL}+', '', 'g') <> '')"""
 _META = ("filing_date", "filing_url", "accession_number", "form_type", "company_ticker", "cik", "primary_document")
 _BUDGET = rf"""WITH para AS (
@@ -323,8 +333,8 @@ SELECT doc_id, CAST(k - 1 AS INT) AS pos, out[k] AS paragraph FROM (SELECT doc_i
     "q_budget_documents": f"""{_BUDGET} SELECT d.record_id, CAST(final AS INT) AS total, CAST((SELECT count(*) FROM sc WHERE sc.record_id = d.record_id AND sec = 0) - s0 AS INT) AS n_latest_10k,
   CAST((SELECT count(*) FROM sc WHERE sc.record_id = d.record_id AND sec = 1) - s1 AS INT) AS n_latest_10q, CAST(len(list_filter(coalesce(c.hacker_news_articles, []), lambda a: a IS NOT NULL)) - news AS INT) AS n_articles
 FROM done d JOIN company_docs c ON d.record_id = c.record_id WHERE final <= {LIMIT}""",
-    "q_html_clean": r"""SELECT filing_id, trim('CIK | $' || CASE WHEN coalesce(cik, '') = '' THEN ' | %' ELSE ' ' || cik || '%' END || chr(10) || chr(10) ||
-  coalesce(array_to_string(list_filter([regexp_replace(regexp_replace(p, ' +', ' ', 'g'), ' +$', '') FOR p IN paragraphs], lambda x: regexp_replace(x, '\s+', '', 'g') <> ''), chr(10) || chr(10)), ''), ' ' || chr(10) || chr(9)) AS body FROM filings""",
+    "q_html_clean": "SELECT filing_id, '" + "\n".join(SHAPES_READ) + "' || chr(10) || chr(10) || body AS body FROM (" + r"""SELECT filing_id, trim('CIK | $' || CASE WHEN coalesce(cik, '') = '' THEN ' | %' ELSE ' ' || cik || '%' END || chr(10) || chr(10) ||
+  coalesce(array_to_string(list_filter([regexp_replace(regexp_replace(p, ' +', ' ', 'g'), ' +$', '') FOR p IN paragraphs], lambda x: regexp_replace(x, '\s+', '', 'g') <> ''), chr(10) || chr(10)), ''), ' ' || chr(10) || chr(9)) AS body FROM filings""" + ")",
     "q_finalize": r"""SELECT record_id, md5(CASE WHEN latest_10k IS NOT NULL AND latest_10k.paragraphs IS NOT NULL THEN coalesce(array_to_string(list_filter(latest_10k.paragraphs, lambda p: p IS NOT NULL), chr(10) || chr(10)), '') END) AS r10k,
   md5(CASE WHEN latest_10q IS NOT NULL AND latest_10q.paragraphs IS NOT NULL THEN coalesce(array_to_string(list_filter(latest_10q.paragraphs, lambda p: p IS NOT NULL), chr(10) || chr(10)), '') END) AS r10q,
   CASE WHEN eight_k_reports IS NOT NULL THEN coalesce(array_to_string([md5(CASE WHEN r.paragraphs IS NOT NULL THEN coalesce(array_to_string(list_filter(r.paragraphs, lambda p: p IS NOT NULL), chr(10) || chr(10)), '') END) FOR r IN eight_k_reports], ','), '') END AS r8k,

@@ -54,6 +54,16 @@ def q_model_report(spark, d):
     return scoring.long_report(scoring.metric_suite(_scored(spark, d), [["model"]]), ["model"])
 
 
+#: Models compared in the wide report.
+COMPARED = ("tsllm-base-8", "tsllm-sft-8", "tsllm-dpo-8")
+
+
+def q_wide_report(spark, d):
+    """The metrics of three models side by side."""
+    wide = scoring.wide_report(scoring.metric_suite(_scored(spark, d), [["model"]]), "model", list(COMPARED))
+    return wide.select("metric", *(F.round(f"`{m}`", 6).alias(m.replace("-", "_")) for m in COMPARED))
+
+
 def q_portfolio_sim(spark, d):
     rows = _scored(spark, d).where("intraday is not null").withColumn("position", backtest.positions(F.col("p_up"), F.col("p_down")))
     return backtest.simulate(rows)
@@ -225,7 +235,7 @@ mv AS (SELECT symbol, d, close, target, coalesce(CAST(close > lag(close) OVER (P
 _MOVEMENT = f"""{_MOVES}, met AS (SELECT symbol, count(*) FILTER (target = prediction)::DOUBLE / count(*) AS accuracy,
   coalesce(2.0 * count(*) FILTER (target = 1 AND prediction = 1) / nullif(count(*) FILTER (prediction = 1) + count(*) FILTER (target = 1), 0), 0) AS f1 FROM mv GROUP BY symbol)"""
 _RISK = f"""WITH RECURSIVE {_MOVES[5:]},
-r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM mv WHERE d >= DATE '2024-01-01' AND d < DATE '2024-07-01'),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM mv),
 pr AS (SELECT * FROM (VALUES ('Conservative', 0.5::DOUBLE, 1.0::DOUBLE), ('M.Conservative', 0.7, 1.0), ('M.Aggressive', 1.0, 0.5), ('Aggressive', 1.0, 0.3)) AS t(profile, buy, sell)),
 path AS (
   SELECT DISTINCT pr.profile, pr.buy, pr.sell, r.symbol, 0::BIGINT AS i, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, 100000.0::DOUBLE AS value FROM pr, r
@@ -293,6 +303,8 @@ x AS (SELECT r.*, u.s FROM (SELECT response_id, translate(upper(ticker), '_ .',
 y AS (SELECT *, list_filter([{'name': 'open', 'v': coalesce(s.open, [])}, {'name': 'high', 'v': coalesce(s.high, [])}, {'name': 'low', 'v': coalesce(s.low, [])}, {'name': 'close', 'v': coalesce(s.close, [])}, {'name': 'volume', 'v': coalesce(s.volume, [])}], lambda q: len(q.v) > 0) AS series FROM x)
 SELECT response_id, concat_ws(chr(10) || chr(10), prompt, array_to_string([q.name || ': Min: ' || printf('%.4f', list_min(q.v)) || ', Max: ' || printf('%.4f', list_max(q.v)) || ' <ts><ts/>' FOR q IN series], chr(10))) AS input,
   CASE WHEN chain_of_thought IS NOT NULL THEN chain_of_thought || chr(10) || chr(10) || 'Final Prediction: ' || coalesce(output, '') ELSE output END AS output, array_to_string([CAST(len(q.v) AS VARCHAR) FOR q IN series], ',') AS series_sizes FROM y WHERE len(series) > 0"""
+_LONG_REPORT = SQL["q_model_report"]
+SQL["q_wide_report"] = f"SELECT metric, {', '.join(f"""max(round(value, 6)) FILTER (model = '{m}') AS {m.replace('-', '_')}""" for m in COMPARED)} FROM ({_LONG_REPORT}) GROUP BY metric"
 #: Results of sums of floating-point numbers, given to six places: their last bits depend on the order.
 ROUNDED = {
     "q_scored": ("p_up", "p_down", "brier", "rps", "ape", "intraday"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bellwether.operators.nested import flatten_documents
+from bellwether.operators.nested import ARTICLE_FIELDS, BAR_FIELDS, flatten_documents
 from bellwether.operators.spikes import flag_readings, long_series, normal_moves
 from bellwether.session import table
 
@@ -114,9 +114,42 @@ SELECT raw_id, child_kind, CAST(parent_pos AS BIGINT) AS parent_pos, CAST(child_
   SELECT * FROM bars UNION ALL SELECT raw_id, kind, pos, place FROM paras UNION ALL SELECT raw_id, 'article', 0, pos FROM arts
   UNION ALL SELECT raw_id, 'eight_k', 0, pos FROM reports WHERE kind = 'eight_k_paragraph' AND json_type(r) <> 'NULL')"""
 
+def _text_of(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN json_extract_string({x}, '$') ELSE CAST({x} AS VARCHAR) END"
+
+
+def _whole_of(x: str) -> str:
+    return f"CASE WHEN regexp_full_match({_text_of(x)}, '-?[0-9]+') THEN TRY_CAST({_text_of(x)} AS BIGINT) END"
+
+
+def _reading(c: str) -> str:
+    series = _opened(f"json_extract(sd, '$.{c}')")
+    return f"TRY_CAST(json_extract_string({series}, '$[' || pos || ']') AS DOUBLE) AS {c}"
+
+
+#: The nodes of ``_P7`` up to the lists of reports.
+_P7_NODES = _P7[: _P7.index("lists AS (")].rstrip()
+_P7_BARS = f"{_P7_NODES} u AS (SELECT n.raw_id, sd, CAST(b.child_pos AS BIGINT) AS pos FROM bars b JOIN n ON b.raw_id = n.raw_id) SELECT raw_id, pos, {', '.join(map(_reading, BAR_FIELDS))} FROM u"
+_P7_PARAGRAPHS = f"""{_P7_NODES}
+lists AS (SELECT raw_id, kind, pos, {_REPORTED} AS whole, json_extract(r, '$.report') AS rep, {_opened("json_extract(r, '$.paragraphs')")} AS ps FROM reports WHERE json_type(r) = 'OBJECT'),
+each AS (
+  SELECT raw_id, kind, pos, 0 AS place, rep AS p FROM lists WHERE whole
+  UNION ALL SELECT raw_id, kind, pos, i - 1, l[i] FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM (SELECT *, {_elements('ps')} AS l FROM lists WHERE NOT whole)) WHERE json_type(l[i]) <> 'NULL'),
+opened AS (SELECT *, {_opened('p')} AS q FROM each)
+SELECT raw_id, kind AS child_kind, CAST(pos AS BIGINT) AS parent_pos, CAST(place AS BIGINT) AS child_pos,
+  CASE WHEN json_type(q) = 'OBJECT' THEN {_text_of("json_extract(q, '$.text')")} ELSE {_text_of('p')} END AS text, CASE WHEN json_type(q) = 'OBJECT' THEN {_whole_of("json_extract(q, '$.score')")} END AS score
+FROM opened"""
+_ARTICLE_TEXTS = ", ".join(_text_of(f"json_extract(q, '$.{c}')") + f" AS {c}" for c in ARTICLE_FIELDS)
+_P7_ARTICLES = f"""{_P7_NODES}
+a AS (SELECT raw_id, i - 1 AS pos, {_opened('l[i]')} AS q FROM (SELECT raw_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT raw_id, {_elements('arts')} AS l FROM n)) WHERE json_type(l[i]) <> 'NULL')
+SELECT raw_id, CAST(pos AS BIGINT) AS pos, {_ARTICLE_TEXTS}, {_whole_of("json_extract(q, '$.score')")} AS score FROM a WHERE json_type(q) = 'OBJECT'"""
+
 QUERIES = {f.__name__: f for f in (p6_found, p6_states, p6_rates, p6_normal_moves, p7_found, p7_bars, p7_paragraphs, p7_articles)}
 SQL = {
     "p7_found": _P7,
+    "p7_bars": _P7_BARS,
+    "p7_paragraphs": _P7_PARAGRAPHS,
+    "p7_articles": _P7_ARTICLES,
     "p6_found": _P6_FOUND + "SELECT record_id, series, pos, kind FROM found WHERE kind IS NOT NULL",
     "p6_rates": _P6_FOUND + "SELECT ticker, kind, count(*) AS n_readings FROM found WHERE kind IS NOT NULL GROUP BY ticker, kind",
     "p6_normal_moves": _P6 + "SELECT ticker, round(scale, 9) AS scale FROM m",

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 import re
 
@@ -178,6 +179,15 @@ def test_budget_against_levels_with_rewind(spark):
                 assert done[r.record_id].again == r.final
 
 
+def test_budget_by_another_count(spark):
+    """The strategy of counting is a parameter: letters instead of white space."""
+    df = documents.scored(spark.read.parquet("/root/testdata/sf0.001/company_docs.parquet"), documents.hash_score) if os.path.isdir("/root/testdata/sf0.001") else pytest.skip("no test tables")
+    letters = lambda c: F.coalesce(F.length(c), F.lit(0))
+    some = documents.apply_budget(documents.budget(df, 2000, letters)).where("not minimal and size(applied) > 0").drop("total")
+    left = some.withColumn("total", documents._total(letters)).select("final", "total").collect()
+    assert left and all(r.final == r.total <= 2000 for r in left)
+
+
 def test_news(spark):
     df = spark.createDataFrame([("s", f"2024-01-{i:02}", i) for i in range(1, 31)] + [("s", "", 99), ("s", None, 98), ("t", None, 1)], "s string, d string, i int")
     got = news.newest(df, "s", "d", "i", 3).collect()
