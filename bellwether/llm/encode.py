@@ -12,6 +12,7 @@ import base64
 import hashlib
 import heapq
 import mmap
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -179,7 +180,7 @@ class Encoder:
     def of(cls, name: str, vocabulary: str) -> Encoder:
         if (name, vocabulary) not in cls._open:
             cls._open.clear()
-            cls._open[name, vocabulary] = cls(Lexicon.open(SparkFiles.get(name)), load_ranks(vocabulary))
+            cls._open[name, vocabulary] = cls(Lexicon.open(SparkFiles.get(name)), load_ranks(SparkFiles.get(vocabulary)))
         return cls._open[name, vocabulary]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -221,9 +222,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     their shuffle."""
     spark = docs.sparkSession
     name = share_lexicon(spark, frequent_words(docs, text), vocabulary)
+    spark.sparkContext.addFile(vocabulary)  # only the driver needs to have it
+    ranks = os.path.basename(vocabulary)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(name, vocabulary)
+        encoder = Encoder.of(name, ranks)
         for batch in it:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

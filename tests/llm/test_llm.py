@@ -57,6 +57,21 @@ def test_near_duplicates_against_all_pairs(spark, threshold):
     assert neardup.near_duplicates(df.limit(0), "record_id", F.col("e")).count() == 0
 
 
+def test_no_side_is_broadcast_unseen(spark):
+    """The planner's estimates after checkpoints and Arrow functions are far too small: no join may trust them."""
+    rng = random.Random(5)
+    df = spark.createDataFrame(list(enumerate(_sets(rng, 60))), "record_id bigint, e array<string>")
+    e = F.col("e")
+    members, similar = neardup.similar_classes(df, "record_id", e, F.transform(e, lambda x: F.xxhash64(x)), 0.6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for plan in (members, similar, neardup.near_duplicates(df, "record_id", e, 0.6)):
+            assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+
+
 def test_record_elements(spark):
     from bellwether import schemas
 
