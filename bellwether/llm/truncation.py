@@ -58,44 +58,38 @@ SELECT w.x, w.y, w.z, count(*) AS n FROM (
   FROM (SELECT t, concat(array('', ''), t) AS p FROM {tokens} WHERE size(t) > 1))
 GROUP BY w.x, w.y, w.z
 """
-#: The last tokens of texts that end with a word, with the number of different texts.
-_LAST = "last AS (SELECT x, y, z, count(DISTINCT copy) AS ends FROM {ends} WHERE n > 0 AND NOT marked GROUP BY x, y, z)"
-#: By the last three tokens: the texts that end with them, what goes on like them; the same of any third token
-#: after the two before.  What goes on is only looked at after tokens that some text ends with.
-_THREE = f"""
-WITH {_LAST}, before AS (SELECT x, y, sum(ends) AS ends FROM last GROUP BY x, y),
-found AS (SELECT i.x, i.y, i.z, i.n FROM {{inside}} i LEFT SEMI JOIN before b ON i.x = b.x AND i.y = b.y),
-begun AS (SELECT x, y, left(z, k) AS z, sum(n) AS n FROM (SELECT x, y, z, n, explode(sequence(0, length(z))) AS k FROM found) GROUP BY 1, 2, 3)
-SELECT e.x, e.y, e.z, e.ends, coalesce(b.n, 0) AS goes_on, a.ends AS ends_b, coalesce(c.n, 0) AS goes_on_b
-FROM last e JOIN before a ON e.x = a.x AND e.y = a.y LEFT JOIN begun b ON e.x = b.x AND e.y = b.y AND e.z = b.z LEFT JOIN begun c ON e.x = c.x AND e.y = c.y AND c.z = ''
+#: The last tokens of texts that end with a word, or with the point of a number, with the number of different texts.
+_LAST = "last AS (SELECT x, y, z, pointed, count(DISTINCT copy) AS ends FROM {ends} WHERE n > 0 AND (pointed OR NOT marked) GROUP BY x, y, z, pointed)"
+#: By level the texts that end like this, and what goes on like this: all three tokens (3), the last two (2), any
+#: third after the two before (3 with an empty third), the last alone (1).  What begins with the last token goes on
+#: like it; it is only looked at after tokens that some text ends with.
+_LEVELS = f"""
+WITH {_LAST},
+asked AS (
+  SELECT l.*, sum(ends) AS ends FROM (
+    SELECT explode(filter(array(named_struct('level', 3, 'a', x, 'b', y, 'c', z), named_struct('level', 2, 'a', '', 'b', y, 'c', z), named_struct('level', 3, 'a', x, 'b', y, 'c', ''), named_struct('level', 1, 'a', '', 'b', '', 'c', z)), s -> NOT pointed OR s.level = 3 AND s.c <> '')) AS l, ends FROM last)
+  GROUP BY l.level, l.a, l.b, l.c),
+after AS (SELECT DISTINCT level, a, b FROM asked),
+found AS (
+  SELECT i.level, i.a, i.b, i.z, i.n FROM (SELECT k.level, k.a, k.b, z, n FROM (SELECT z, n, explode(array(named_struct('level', 3, 'a', x, 'b', y), named_struct('level', 2, 'a', '', 'b', y), named_struct('level', 1, 'a', '', 'b', ''))) AS k FROM {{inside}})) i
+  LEFT SEMI JOIN after f ON i.level = f.level AND i.a = f.a AND i.b = f.b),
+seen AS (SELECT level, a, b, left(z, k) AS c, sum(n) AS n FROM (SELECT *, explode(sequence(CASE WHEN level = 3 THEN 0 ELSE 1 END, length(z))) AS k FROM found) GROUP BY level, a, b, left(z, k))
+SELECT q.level, q.a, q.b, q.c, q.ends, coalesce(s.n, 0) AS goes_on FROM asked q LEFT JOIN seen s ON q.level = s.level AND q.a = s.a AND q.b = s.b AND q.c = s.c
 """
-#: By the last two tokens, and by the last alone.
-_TWO = f"""
-WITH {_LAST}, last2 AS (SELECT y, z, sum(ends) AS ends FROM last GROUP BY y, z),
-begun AS (SELECT y, left(z, k) AS z, sum(n) AS n FROM (SELECT i.y, i.z, i.n, explode(sequence(1, length(i.z))) AS k FROM {{pairs}} i LEFT SEMI JOIN last2 b ON i.y = b.y) GROUP BY 1, 2)
-SELECT e.y, e.z, e.ends, coalesce(b.n, 0) AS goes_on FROM last2 e LEFT JOIN begun b ON e.y = b.y AND e.z = b.z
-"""
-_ONE = f"""
-WITH {_LAST}, last1 AS (SELECT z, sum(ends) AS ends FROM last GROUP BY z),
-begun AS (SELECT left(z, k) AS z, sum(n) AS n FROM (SELECT z, n, explode(sequence(1, length(z))) AS k FROM (SELECT z, sum(n) AS n FROM {{pairs}} GROUP BY z)) GROUP BY 1)
-SELECT e.z, e.ends, coalesce(b.n, 0) AS goes_on FROM last1 e LEFT JOIN begun b ON e.z = b.z
-"""
-#: By last tokens: whether a text that ends with them is cut.  ``ends`` counts different texts, ``goes_on``
-#: sightings inside texts.
-_WORDS = """
-SELECT s3.x, s3.y, s3.z,
-  CASE WHEN s3.ends + s3.goes_on >= :evidence THEN s3.goes_on > s3.ends
-       WHEN s2.ends + s2.goes_on >= :evidence THEN s2.goes_on > s2.ends
-       WHEN s3.ends_b + s3.goes_on_b >= :evidence THEN s3.goes_on_b > s3.ends_b
-       WHEN s1.ends + s1.goes_on >= :evidence THEN s1.goes_on > s1.ends ELSE true END AS cut
-FROM {three} s3 JOIN {two} s2 ON s3.y = s2.y AND s3.z = s2.z JOIN {one} s1 ON s3.z = s1.z
+#: By last tokens: whether a text that ends with them is cut, by the first level that has evidence.
+_WORDS = f"""
+WITH {_LAST},
+asks AS (SELECT x, y, z, pointed, q.* FROM (SELECT x, y, z, pointed, explode(filter(array(named_struct('turn', 1, 'level', 3, 'a', x, 'b', y, 'c', z), named_struct('turn', 2, 'level', 2, 'a', '', 'b', y, 'c', z), named_struct('turn', 3, 'level', 3, 'a', x, 'b', y, 'c', ''), named_struct('turn', 4, 'level', 1, 'a', '', 'b', '', 'c', z)), s -> NOT pointed OR s.turn = 1)) AS q FROM last))
+SELECT x, y, z, pointed, CASE WHEN pointed THEN max(l.goes_on) = 0 ELSE coalesce(min_by(l.goes_on > l.ends, turn) FILTER (WHERE l.ends + l.goes_on >= :evidence), true) END AS cut
+FROM asks JOIN {{levels}} l ON asks.level = l.level AND asks.a = l.a AND asks.b = l.b AND asks.c = l.c
+GROUP BY x, y, z, pointed
 """
 #: By last mark and the mark before it, if that is one: whether it is no end.  Too seldom a mark is judged
 #: like the last of the two alone, or else like all marks.
 _MARKS = """
 WITH seen AS (
   SELECT y_mark, z, 0 AS n, count(DISTINCT copy) AS ends FROM {ends} WHERE marked GROUP BY y_mark, z
-  UNION ALL SELECT CASE WHEN y RLIKE :mark THEN y ELSE '' END, z, sum(n), 0 FROM {pairs} WHERE z RLIKE :mark GROUP BY 1, 2),
+  UNION ALL SELECT CASE WHEN y RLIKE :mark THEN y ELSE '' END, z, sum(n), 0 FROM {inside} WHERE z RLIKE :mark GROUP BY 1, 2),
 both AS (SELECT y_mark, z, sum(ends) AS ends, sum(n) AS n FROM seen GROUP BY y_mark, z)
 SELECT y_mark, z,
   CASE WHEN ends + n + prior >= :evidence THEN ends - 1 + :prior_ends * prior < :share * (ends - 1 + n + prior)
@@ -106,15 +100,11 @@ FROM (
     CASE WHEN contains(:sentence, z) OR y_mark <> '' AND contains(:sentence, y_mark) AND contains(:closing, z) THEN :prior ELSE 0 END AS prior
   FROM both) WHERE ends > 0
 """
-_POINTS = """
-SELECT l.x, sum(i.n) IS NULL AS cut FROM (SELECT DISTINCT x FROM {ends} WHERE pointed) l LEFT JOIN {inside} i ON l.x = i.x AND i.y = '0' AND i.z = '.' GROUP BY l.x
-"""
 _CUT = """
 SELECT a.id.* FROM {ends} a
-LEFT JOIN {words} w ON a.x = w.x AND a.y = w.y AND a.z = w.z
+LEFT JOIN {words} w ON a.x = w.x AND a.y = w.y AND a.z = w.z AND a.pointed = w.pointed
 LEFT JOIN {marks} m ON a.marked AND a.y_mark = m.y_mark AND a.z = m.z
-LEFT JOIN {points} p ON a.pointed AND a.x = p.x
-WHERE a.broken OR a.n = 0 AND a.noted OR a.n > 0 AND CASE WHEN a.marked THEN m.cut OR coalesce(p.cut, false) ELSE w.cut END
+WHERE a.broken OR a.n = 0 AND a.noted OR a.n > 0 AND CASE WHEN a.marked THEN m.cut OR a.pointed AND coalesce(w.cut, false) ELSE w.cut END
 """
 
 
@@ -133,12 +123,10 @@ def truncated(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     tails = bodies.select("id", F.right("body", F.lit(END)).alias("said"), F.expr("length(body) < length(rtrim(text))").alias("noted"), F.expr("right(text, size)").rlike(BROKEN).alias("broken"), F.xxhash64("text").alias("copy"))
     ends = materialize(spark.sql(_ENDS, args={"mark": MARK}, tokens=spark.sql(_TOKENS, args=words, bodies=tails)))
     inside = materialize(spark.sql(_INSIDE, tokens=spark.sql(_TOKENS, args=words, bodies=bodies.select(F.col("body").alias("said")))))
-    pairs = materialize(inside.groupBy("y", "z").agg(F.sum("n").alias("n")))
-    three = materialize(spark.sql(_THREE, ends=ends, inside=inside))
-    two, one = (spark.sql(q, ends=ends, pairs=pairs) for q in (_TWO, _ONE))
-    by_words = materialize(spark.sql(_WORDS, args={"evidence": EVIDENCE}, three=three, two=two, one=one))
-    by_marks = spark.sql(_MARKS, args={"evidence": EVIDENCE, "share": MARK_ENDS, "mark": MARK, "sentence": SENTENCE_ENDS, "closing": CLOSING, "prior": PRIOR, "prior_ends": PRIOR_ENDS}, ends=ends, pairs=pairs)
-    return spark.sql(_CUT, ends=ends, words=by_words, marks=by_marks, points=spark.sql(_POINTS, ends=ends, inside=inside))
+    levels = materialize(spark.sql(_LEVELS, ends=ends, inside=inside))
+    by_words = spark.sql(_WORDS, args={"evidence": EVIDENCE}, ends=ends, levels=levels)
+    by_marks = spark.sql(_MARKS, args={"evidence": EVIDENCE, "share": MARK_ENDS, "mark": MARK, "sentence": SENTENCE_ENDS, "closing": CLOSING, "prior": PRIOR, "prior_ends": PRIOR_ENDS}, ends=ends, inside=inside)
+    return spark.sql(_CUT, ends=ends, words=by_words, marks=by_marks)
 
 
 def truncation_rates(texts: DataFrame, cut: DataFrame, keys: list[str], source: list[str]) -> DataFrame:
