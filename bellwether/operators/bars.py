@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bellwether.functions.numbers import quotient
 from bellwether.functions.tickers import market_symbol
 from bellwether.operators.asof import asof_backward, keep_last
 
@@ -64,13 +65,16 @@ def label_forward(keys: DataFrame, bars: DataFrame) -> DataFrame:
 
 def label_backward(keys: DataFrame, bars: DataFrame, band: float = 0.005) -> DataFrame:
     """Keys (symbol, t) with the last bar on or before t and the one after it; keys drop out without
-    either, if they lie outside [t − 40, t + 10), or if the next day is a split day."""
+    either, if they lie outside [t − 40, t + 10), or if the next day is a split day.
+
+    From a close of zero any change is infinite; zero after zero is not a number, which orders above all
+    numbers, so its direction is 1 as in the SQL."""
     w = by_symbol()
     nxt = [F.lead(c).over(w).alias(f"next_{n}") for c, n in (("d", "date"), ("open", "open"), ("close", "close"), ("split", "split"))]
     right = bars.select("symbol", F.col("d").alias("base_date"), F.col("close").alias("base_close"), *nxt)
     met = asof_backward(keys, right, "symbol", "t", "base_date")
     ok = met.where(f"base_date >= date_sub(t, {BACK_DAYS}) and next_date < date_add(t, {FORWARD_DAYS}) and next_split = 0").drop("next_split")
-    return ok.withColumn("direction", direction((F.col("next_close") - F.col("base_close")) / F.col("base_close"), band))
+    return ok.withColumn("direction", direction(quotient(F.col("next_close") - F.col("base_close"), F.col("base_close")), band))
 
 
 def movement_targets(bars: DataFrame, null_last: bool = False) -> DataFrame:
