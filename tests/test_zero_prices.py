@@ -32,7 +32,15 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["q_direction_metrics"])
+@pytest.mark.parametrize("name", ["q_direction_metrics", "q_metrics_grouping_sets"])
 def test_against_sql(spark, tables, name):
     got = rows_of_spark(QUERIES[name](spark, tables))
     assert got[1] and got == rows_of_duckdb(connect(tables), SQL[name])
+
+
+def test_smape_of_zero_foretold_as_zero(spark, tables):
+    rows = QUERIES["q_metrics_grouping_sets"](spark, tables).where("symbol is null").collect()
+    smape = {r.model: r.smape for r in rows}
+    want = {m: v for m, v in connect(tables).sql(f"select model, smape from ({SQL['q_metrics_grouping_sets']}) where symbol is null").fetchall()}
+    assert [m for m in MODELS if smape[m] != smape[m]] == [m for m in MODELS if want[m] != want[m]] == [MODELS[0], MODELS[2]]
+    assert smape[MODELS[1]] == pytest.approx(want[MODELS[1]])
