@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from bellwether.functions.numbers import quotient
 from bellwether.operators.bars import business_days, by_symbol
 from bellwether.session import materialize
 from bellwether.operators.scoring import CONFIDENCE
@@ -68,19 +69,21 @@ def risk_profiles(rows: DataFrame) -> DataFrame:
 
     ``rows``: symbol, d, close, prediction (1 buy, 0 sell); one row a day, null closes left out.  The
     recursion has no closed form, so each symbol's days are folded in order; they are bounded by the
-    calendar.  Symbols with all rows on one day have no annual return."""
+    calendar.  Symbols with all rows on one day have no annual return.  What is worth nothing after a close
+    of zero rises without bound, or by no number from zero to zero: Sharpe ratios of such paths are no numbers."""
     buy = F.explode(F.array(*(F.struct(F.lit(k).alias("profile"), F.lit(b).alias("buy"), F.lit(s).alias("sell")) for k, (b, s) in PROFILES.items())))
     days = rows.where("close is not null and prediction is not null").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("d", F.col("prediction").cast("int").alias("p"), F.col("close").cast("double").alias("c")))).alias("days"))
     x = days.select("symbol", "days", buy.alias("o")).select("symbol", "days", "o.*")
+    bought = "s.shares + CASE WHEN r.c = 0 THEN s.cash * buy * pow(r.c, -1.0D) ELSE s.cash * buy / r.c END"
     folded = F.expr(f"""
       aggregate(days, named_struct('cash', {CAPITAL}D, 'shares', 0.0D, 'path', array({CAPITAL}D)), (s, r) -> named_struct(
         'cash', CASE WHEN r.p = 1 AND s.cash > 1 THEN s.cash - s.cash * buy WHEN r.p = 0 AND s.shares > 0 THEN s.cash + s.shares * sell * r.c ELSE s.cash END,
-        'shares', CASE WHEN r.p = 1 AND s.cash > 1 THEN s.shares + s.cash * buy / r.c WHEN r.p = 0 AND s.shares > 0 THEN s.shares - s.shares * sell ELSE s.shares END,
+        'shares', CASE WHEN r.p = 1 AND s.cash > 1 THEN {bought} WHEN r.p = 0 AND s.shares > 0 THEN s.shares - s.shares * sell ELSE s.shares END,
         'path', concat(s.path, array(
           CASE WHEN r.p = 1 AND s.cash > 1 THEN s.cash - s.cash * buy WHEN r.p = 0 AND s.shares > 0 THEN s.cash + s.shares * sell * r.c ELSE s.cash END
-          + CASE WHEN r.p = 1 AND s.cash > 1 THEN s.shares + s.cash * buy / r.c WHEN r.p = 0 AND s.shares > 0 THEN s.shares - s.shares * sell ELSE s.shares END * r.c))), s -> s.path)""")
+          + CASE WHEN r.p = 1 AND s.cash > 1 THEN {bought} WHEN r.p = 0 AND s.shares > 0 THEN s.shares - s.shares * sell ELSE s.shares END * r.c))), s -> s.path)""")
     path = x.select("profile", "symbol", F.expr("datediff(element_at(days, -1).d, days[0].d)").alias("span"), folded.alias("path"))
-    steps = F.expr("transform(sequence(1, size(path) - 1), i -> path[i] / path[i - 1] - 1)")
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: quotient(F.col("path")[i], F.col("path")[i - 1]) - 1)
     y = path.withColumn("steps", steps)
     mean = F.expr("aggregate(steps, 0.0D, (a, v) -> a + v) / size(steps)")
     y = y.withColumn("mean", mean).withColumn("sd", F.expr("sqrt(aggregate(steps, 0.0D, (a, v) -> a + (v - mean) * (v - mean)) / nullif(size(steps) - 1, 0))"))
