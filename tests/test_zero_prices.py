@@ -32,7 +32,7 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["q_direction_metrics", "q_metrics_grouping_sets", "q_risk_profile_means", "q_scored"])
+@pytest.mark.parametrize("name", ["q_direction_metrics", "q_metrics_grouping_sets", "q_risk_profile_means", "q_scored", "q_label_backward"])
 def test_against_sql(spark, tables, name):
     got = rows_of_spark(QUERIES[name](spark, tables))
     assert got[1] and got == rows_of_duckdb(connect(tables), SQL[name])
@@ -44,3 +44,8 @@ def test_smape_of_zero_foretold_as_zero(spark, tables):
     want = {m: v for m, v in connect(tables).sql(f"select model, smape from ({SQL['q_metrics_grouping_sets']}) where symbol is null").fetchall()}
     assert [m for m in MODELS if smape[m] != smape[m]] == [m for m in MODELS if want[m] != want[m]] == [MODELS[0], MODELS[2]]
     assert smape[MODELS[1]] == pytest.approx(want[MODELS[1]])
+
+
+def test_directions_from_zero(spark, tables):
+    got = {r.t: (r.base_close, r.next_close, r.direction) for r in QUERIES["q_label_backward"](spark, tables).where("symbol = 'A' and base_date = t").collect()}
+    assert got[day(0)] == (10.0, 0.0, -1) and got[day(1)] == (0.0, 0.0, 1) and got[day(2)] == (0.0, 5.0, 1) and got[day(3)] == (5.0, 5.0, 0)
