@@ -8,8 +8,8 @@ import pytest
 from bellwether.plans import evaluation, market
 from tests.compare import connect, rows_of_duckdb, rows_of_spark
 
-#: Closes by day: to zero, zero after zero, from zero, within the band, and a symbol that ends at zero.
-CLOSES = {"A": [10.0, 0.0, 0.0, 5.0, 5.0, 6.0, 0.0, 4.0, None, 3.0, 3.01], "B": [1.0, 2.0, 3.0, 0.0, 0.0, 0.0], "C": [8.0, 9.0, 10.0, 9.0]}
+#: Closes by day: to zero, zero after zero, from zero, within the band, a symbol that ends at zero, one without, and one that rises to zero.
+CLOSES = {"A": [10.0, 0.0, 0.0, 5.0, 5.0, 6.0, 0.0, 4.0, None, 3.0, 3.01], "B": [1.0, 2.0, 3.0, 0.0, 0.0, 0.0], "C": [8.0, 9.0, 10.0, 9.0], "D": [-1.0, 0.0, 2.0, 1.0]}
 MODELS = ("tsllm-base-8", "tsllm-sft-8", "tsllm-dpo-8")
 QUERIES = market.QUERIES | evaluation.QUERIES
 SQL = market.SQL | evaluation.SQL
@@ -32,7 +32,7 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["q_direction_metrics", "q_metrics_grouping_sets", "q_risk_profile_means", "q_scored", "q_label_backward", "q_model_report"])
+@pytest.mark.parametrize("name", ["q_direction_metrics", "q_metrics_grouping_sets", "q_risk_profile_means", "q_scored", "q_label_backward", "q_model_report", "q_risk_profiles"])
 def test_against_sql(spark, tables, name):
     got = rows_of_spark(QUERIES[name](spark, tables))
     assert got[1] and got == rows_of_duckdb(connect(tables), SQL[name])
@@ -49,3 +49,12 @@ def test_smape_of_zero_foretold_as_zero(spark, tables):
 def test_directions_from_zero(spark, tables):
     got = {r.t: (r.base_close, r.next_close, r.direction) for r in QUERIES["q_label_backward"](spark, tables).where("symbol = 'A' and base_date = t").collect()}
     assert got[day(0)] == (10.0, 0.0, -1) and got[day(1)] == (0.0, 0.0, 1) and got[day(2)] == (0.0, 5.0, 1) and got[day(3)] == (5.0, 5.0, 0)
+
+
+def test_no_number_is_not_null(spark, tables):
+    columns = ("annual_return", "max_drawdown", "sharpe")
+    kind = lambda v: "null" if v is None else "nan" if v != v else "number"
+    got = {(r.profile, r.symbol): [kind(r[c]) for c in columns] for r in QUERIES["q_risk_profiles"](spark, tables).collect()}
+    want = connect(tables).sql(f"select profile, symbol, {', '.join(columns)} from ({SQL['q_risk_profiles']})").fetchall()
+    assert got == {(p, s): [kind(v) for v in vs] for p, s, *vs in want}
+    assert got["Aggressive", "A"][2] == got["Aggressive", "D"][2] == "nan" and got["Conservative", "C"][2] == "number"
