@@ -32,7 +32,7 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["q_direction_metrics", "q_metrics_grouping_sets", "q_risk_profile_means", "q_scored", "q_label_backward", "q_model_report", "q_risk_profiles"])
+@pytest.mark.parametrize("name", ["q_direction_metrics", "q_metrics_grouping_sets", "q_risk_profile_means", "q_scored", "q_label_backward", "q_model_report", "q_risk_profiles", "q_wide_report"])
 def test_against_sql(spark, tables, name):
     got = rows_of_spark(QUERIES[name](spark, tables))
     assert got[1] and got == rows_of_duckdb(connect(tables), SQL[name])
