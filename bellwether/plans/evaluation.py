@@ -23,11 +23,13 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     inner = F.regexp_replace(F.regexp_replace(F.trim("output"), r"^```\w*\s*|\s*```$", ""), r'^"(?=\{)|"$', "")
     plain = F.when(F.col("output").startswith('"'), F.regexp_replace(F.regexp_replace(inner, r"\\n", " "), r'\\"', '"')).otherwise(inner)
 
-    def get(path: str, kind: str):
-        return F.get_json_object("j", path).try_cast(kind)
+    def get(path: str):
+        # A number beyond a double's range comes out as a quoted word; a letter for its type isn't part of a number in SQL.
+        text = F.regexp_replace(F.get_json_object("j", path), r'^"(-?Infinity)"$', "$1")
+        return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
 
     named = r.select("response_id", "model", market_symbol(F.col("ticker")).alias("symbol"), F.col("as_of").alias("t"), plain.alias("j"))
-    return named.select("response_id", "model", "symbol", "t", get("$.next_day_direction", "int").alias("pred_direction"), get("$.next_day_closing_price", "double").alias("pred_price"), *(get(f"$.forecast.{k}", "double").alias(f"p_{k}") for k in ("up", "down", "unchanged")))
+    return named.select("response_id", "model", "symbol", "t", F.round(get("$.next_day_direction")).try_cast("int").alias("pred_direction"), get("$.next_day_closing_price").alias("pred_price"), *(get(f"$.forecast.{k}").alias(f"p_{k}") for k in ("up", "down", "unchanged")))
 
 
 def q_predictions(spark, d):
