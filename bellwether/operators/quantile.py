@@ -14,10 +14,11 @@ def exact_median(df: DataFrame, key: str, value: str, name: str = "median") -> D
 
     Values are counted by (key, logarithmic bucket) with map-side combination, the buckets that hold
     the two middle ranks are found from the counts, and only values inside them are ranked.  No task
-    gets a whole group.  Even counts give the mean of both middle values.  Keys without values and
-    empty input give no row; ties are ranks of equal values."""
-    v = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k is not null and v is not null and not isnan(v)")
-    bucket = F.when(F.col("v") <= 0, F.lit(-(10**9))).otherwise(F.floor(F.log("v") * BUCKETS_PER_E).cast("int"))
+    gets a whole group.  Even counts give the mean of both middle values.  Infinity and, above it, what is
+    no number have buckets of their own, as they order in SQL.  Keys without values and empty input give no
+    row; ties are ranks of equal values."""
+    v = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k is not null and v is not null")
+    bucket = F.when(F.isnan("v"), 10**9 + 1).when(F.col("v") == float("inf"), 10**9).when(F.col("v") <= 0, -(10**9)).otherwise(F.floor(F.log("v") * BUCKETS_PER_E).cast("int"))
     v = v.withColumn("b", bucket)
     counts = v.groupBy("k", "b").count()
     w = Window.partitionBy("k").orderBy("b")

@@ -182,7 +182,7 @@ def long_series(docs: DataFrame, series: tuple[str, ...] = ("stock_data", "futur
 def normal_moves(long: DataFrame) -> DataFrame:
     """(ticker, scale): the exact median of |close[i] / close[i-1] − 1| over all series of a ticker."""
     pairs = F.expr("transform(filter(sequence(1, size(close) - 1), i -> close[i - 1] <> 0), i -> abs(close[i] / close[i - 1] - 1))")
-    m = long.where("size(close) > 1").select("ticker", F.explode(pairs).alias("move"))
+    m = long.where("size(close) > 1").select("ticker", F.explode(pairs).alias("move")).where("not isnan(move)")
     return exact_median(m, "ticker", "move", "scale")
 
 

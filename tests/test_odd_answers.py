@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["q_scored"])
+@pytest.mark.parametrize("name", ["q_scored", "q_model_report"])
 def test_against_sql(spark, tables, name):
     got = rows_of_spark(evaluation.QUERIES[name](spark, tables))
     assert got[1] and got == rows_of_duckdb(connect(tables), evaluation.SQL[name])
@@ -36,3 +36,8 @@ def test_against_sql(spark, tables, name):
 def test_directions_written_with_a_point(spark, tables):
     got = {r.response_id: r.pred_direction for r in evaluation.QUERIES["q_scored"](spark, tables).where(f"model = '{MODELS[0]}'").collect()}
     assert [got[i] for i in range(len(NUMBERS))] == [1, -1, 1, -3, 1, 1, *[None] * 8]
+
+
+def test_medians_of_errors_without_bound(spark, tables):
+    got = {r.model: r.value for r in evaluation.QUERIES["q_model_report"](spark, tables).where("metric = 'mdape'").collect()}
+    assert got[MODELS[1]] == float("inf") and got[MODELS[2]] != got[MODELS[2]] and 0 < got[MODELS[0]] < float("inf")

@@ -332,6 +332,21 @@ def test_exact_median(spark):
     assert exact_median(spark.createDataFrame([], "k string, v double"), "k", "v").count() == 0
 
 
+def test_exact_median_of_infinity_and_no_number(spark):
+    inf, nan = float("inf"), float("nan")
+    data = {"a": [1.0, inf, nan], "b": [1.0, 2.0, inf], "c": [0.0, 3.0, 2.0, nan], "d": [1.0, nan], "e": [inf, inf], "f": [nan], "g": [2.0, inf]}
+    rows = [(k, v) for k, values in data.items() for v in values]
+    got = {r.k: str(r.median) for r in exact_median(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {"a": "inf", "b": "2.0", "c": "2.5", "d": "nan", "e": "inf", "f": "nan", "g": "inf"}
+
+
+def test_normal_moves_skip_no_numbers(spark):
+    nan = float("nan")
+    rows = [(1, "A", [1.0, 2.0, nan, nan, nan, 4.0, 5.0])]
+    got = {r.ticker: r.scale for r in spikes.normal_moves(spark.createDataFrame(rows, "record_id bigint, ticker string, close array<double>")).collect()}
+    assert got == {"A": pytest.approx(0.625)}
+
+
 def _spikes_by_rule(series, scale):
     o, h, lo, c, v = (series[f] or [] for f in spikes.FIELDS)
     n = max(map(len, (o, h, lo, c, v)), default=0)
