@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["q_scored", "q_model_report"])
+@pytest.mark.parametrize("name", ["q_scored", "q_model_report", "q_wide_report"])
 def test_against_sql(spark, tables, name):
     got = rows_of_spark(evaluation.QUERIES[name](spark, tables))
     assert got[1] and got == rows_of_duckdb(connect(tables), evaluation.SQL[name])
