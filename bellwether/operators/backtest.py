@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -64,30 +66,46 @@ def random_baseline(bars: DataFrame) -> DataFrame:
     return ok.select("symbol", "d", ((letters * 7919 + day * 104729) % 1000003 % 3 - 1).cast("int").alias("position"), ((F.col("close") - F.col("open")) / F.col("open")).alias("intraday"))
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _day(s: Column, r: Column) -> Column:
+    """The state ``s`` of a profile's fold after the day ``r``."""
+    buys, sells = (r["p"] == 1) & (s["cash"] > 1), (r["p"] == 0) & (s["shares"] > 0)
+    cash = F.when(buys, s["cash"] - s["cash"] * F.col("buy")).when(sells, s["cash"] + s["shares"] * F.col("sell") * r["c"]).otherwise(s["cash"])
+    shares = F.when(buys, s["shares"] + quotient(s["cash"] * F.col("buy"), r["c"])).when(sells, s["shares"] - s["shares"] * F.col("sell")).otherwise(s["shares"])
+
+    def after(h: Column, value: Column, step: Column, mean: Column) -> Column:
+        top = F.greatest(s["top"], value)
+        fall = F.greatest(s["fall"], (top - value) / top)
+        squares = s["squares"] + (step - mean) * (step - s["mean"])
+        state = {"cash": h["cash"], "shares": h["shares"], "value": value, "top": top, "fall": fall, "n": s["n"] + 1, "sum": s["sum"] + step, "mean": mean, "squares": squares}
+        return F.struct(*(x.alias(k) for k, x in state.items()))
+
+    def stepped(h: Column, value: Column) -> Column:
+        return _with(quotient(value, s["value"]) - 1, lambda step: _with(s["mean"] + (step - s["mean"]) / (s["n"] + 1), lambda mean: after(h, value, step, mean)))
+
+    return _with(F.struct(cash.alias("cash"), shares.alias("shares")), lambda h: _with(h["cash"] + h["shares"] * r["c"], lambda value: stepped(h, value)))
+
+
 def risk_profiles(rows: DataFrame) -> DataFrame:
     """(profile, symbol, annual_return, max_drawdown, sharpe) of cash-and-shares simulations.
 
     ``rows``: symbol, d, close, prediction (1 buy, 0 sell); one row a day, null closes left out.  The
     recursion has no closed form, so each symbol's days are folded in order; they are bounded by the
-    calendar.  Symbols with all rows on one day have no annual return.  What is worth nothing after a close
+    calendar.  The fold carries sums and extremes, not the path: its work is in proportion to the days.
+    Symbols with all rows on one day have no annual return.  What is worth nothing after a close
     of zero rises without bound, or by no number from zero to zero: Sharpe ratios of such paths are no numbers."""
     buy = F.explode(F.array(*(F.struct(F.lit(k).alias("profile"), F.lit(b).alias("buy"), F.lit(s).alias("sell")) for k, (b, s) in PROFILES.items())))
     days = rows.where("close is not null and prediction is not null").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("d", F.col("prediction").cast("int").alias("p"), F.col("close").cast("double").alias("c")))).alias("days"))
     x = days.select("symbol", "days", buy.alias("o")).select("symbol", "days", "o.*")
-    bought = "s.shares + CASE WHEN r.c = 0 THEN s.cash * buy * pow(r.c, -1.0D) ELSE s.cash * buy / r.c END"
-    folded = F.expr(f"""
-      aggregate(days, named_struct('cash', {CAPITAL}D, 'shares', 0.0D, 'path', array({CAPITAL}D)), (s, r) -> named_struct(
-        'cash', CASE WHEN r.p = 1 AND s.cash > 1 THEN s.cash - s.cash * buy WHEN r.p = 0 AND s.shares > 0 THEN s.cash + s.shares * sell * r.c ELSE s.cash END,
-        'shares', CASE WHEN r.p = 1 AND s.cash > 1 THEN {bought} WHEN r.p = 0 AND s.shares > 0 THEN s.shares - s.shares * sell ELSE s.shares END,
-        'path', concat(s.path, array(
-          CASE WHEN r.p = 1 AND s.cash > 1 THEN s.cash - s.cash * buy WHEN r.p = 0 AND s.shares > 0 THEN s.cash + s.shares * sell * r.c ELSE s.cash END
-          + CASE WHEN r.p = 1 AND s.cash > 1 THEN {bought} WHEN r.p = 0 AND s.shares > 0 THEN s.shares - s.shares * sell ELSE s.shares END * r.c))), s -> s.path)""")
-    path = x.select("profile", "symbol", F.expr("datediff(element_at(days, -1).d, days[0].d)").alias("span"), folded.alias("path"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: quotient(F.col("path")[i], F.col("path")[i - 1]) - 1)
-    y = path.withColumn("steps", steps)
-    mean = F.expr("aggregate(steps, 0.0D, (a, v) -> a + v) / size(steps)")
-    y = y.withColumn("mean", mean).withColumn("sd", F.expr("sqrt(aggregate(steps, 0.0D, (a, v) -> a + (v - mean) * (v - mean)) / nullif(size(steps) - 1, 0))"))
-    fall = F.expr("aggregate(path, named_struct('top', 0.0D, 'fall', 0.0D), (s, v) -> named_struct('top', greatest(s.top, v), 'fall', greatest(s.fall, (greatest(s.top, v) - v) / greatest(s.top, v))), s -> s.fall)")
-    annual = F.when(F.col("span") > 0, F.pow(F.element_at("path", -1) / F.element_at("path", 1), F.lit(365.0) / F.col("span")) - 1)
-    sharpe = F.when(F.col("sd") == 0, 0.0).otherwise(F.col("mean") / F.col("sd") * YEAR**0.5)
-    return y.select("profile", "symbol", annual.alias("annual_return"), fall.alias("max_drawdown"), sharpe.alias("sharpe"))
+    start = {"cash": CAPITAL, "shares": 0.0, "value": CAPITAL, "top": CAPITAL, "fall": 0.0, "n": 0.0, "sum": 0.0, "mean": 0.0, "squares": 0.0}
+    folded = F.aggregate("days", F.struct(*(F.lit(v).alias(k) for k, v in start.items())), _day)
+    y = x.select("profile", "symbol", F.expr("datediff(element_at(days, -1).d, days[0].d)").alias("span"), folded.alias("f")).select("profile", "symbol", "span", "f.*")
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    y = y.withColumn("sd", sd)
+    annual = F.when(F.col("span") > 0, F.pow(F.col("value") / CAPITAL, F.lit(365.0) / F.col("span")) - 1)
+    sharpe = F.when(F.col("sd") == 0, 0.0).otherwise(F.col("sum") / F.col("n") / F.col("sd") * YEAR**0.5)
+    return y.select("profile", "symbol", annual.alias("annual_return"), F.col("fall").alias("max_drawdown"), sharpe.alias("sharpe"))

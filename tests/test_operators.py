@@ -315,6 +315,18 @@ def test_risk_profiles_of_all_days(spark, tmp_path):
     assert means == {k: pytest.approx(np.mean([want[k, s] for s in series], axis=0).tolist(), abs=2e-6) for k in backtest.PROFILES}
 
 
+def test_risk_profiles_of_a_long_path(spark):
+    rng = np.random.default_rng(5)
+    closes = np.round(50 * np.exp(np.cumsum(rng.normal(0, 0.01, 4000))), 2).tolist()
+    days = [(D(2010, 1, 1) + dt.timedelta(days=i), c) for i, c in enumerate(closes)]
+    rows = spark.createDataFrame([("S", d, c, int(i > 0 and c > closes[i - 1])) for i, (d, c) in enumerate(days)], "symbol string, d date, close double, prediction int")
+    df = backtest.risk_profiles(rows)
+    got = {r.profile: [r.annual_return, r.max_drawdown, r.sharpe] for r in df.collect()}
+    assert got == {k: pytest.approx(_risk_by_day(days, *o), abs=2e-6) for k, o in backtest.PROFILES.items()}
+    # The fold's state doesn't grow: no day copies the days before it.
+    assert "concat(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_article_tasks_keep_4000_words(spark):
     report = "struct<paragraphs: array<string>>"
     text = [" ".join(f"w{i}" for i in range(n)) for n in (201, 4000, 4001)]
