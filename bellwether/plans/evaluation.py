@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bellwether.functions import dates, jsonx, prompts, text
@@ -10,22 +10,45 @@ from bellwether.functions.tickers import market_symbol
 from bellwether.operators import asof, backtest, bars, preference, scoring
 from bellwether.plans import market
 from bellwether.plans.market import ASKED, BARS, NEWS
-from bellwether.session import table
+from bellwether.session import materialize, table
 
 
 def _bars(spark, d):
     return bars.daily_bars(table(spark, d, "price_bars"))
 
 
+#: The spaces that SQL's trim removes: all of Unicode's space separators.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def _valid(j: Column) -> Column:
+    """``j`` where it is JSON as a whole, else null: Spark's own reader stops after the first value, and lets pass
+    single quotes and line breaks in strings.  As in SQL a comma may trail, and numbers may be infinite or none."""
+
+    def strict(j: Column) -> Column:
+        outside = F.regexp_replace(F.regexp_replace(j, r"(?s)\\.", ""), r'"[^"\x00-\x1f]*+"', "")
+        one = F.json_array_length(F.concat(F.lit("["), j, F.lit("]"))) == 1
+        return F.when(one & ~outside.rlike("['\"]"), j)
+
+    words = r"(?i)([:\[,]\s*)(-?(?:nan|inf|infinity))(?=\s*[,}\]])"
+    return F.coalesce(strict(j), strict(F.regexp_replace(F.regexp_replace(j, r",(\s*[}\]])", "$1"), words, '$1"$2"')))
+
+
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
-    """The predictions in the responses' output, opened and coerced by built-in expressions."""
+    """The predictions in the responses' output, opened and coerced by built-in expressions.
+
+    An answer that isn't JSON as a whole, as one followed by other text, has none."""
     r = table(spark, d, "reasoning_responses").where("ticker is not null and as_of is not null")
-    inner = F.regexp_replace(F.regexp_replace(F.trim("output"), r"^```\w*\s*|\s*```$", ""), r'^"(?=\{)|"$', "")
-    plain = F.when(F.col("output").startswith('"'), F.regexp_replace(F.regexp_replace(inner, r"\\n", " "), r'\\"', '"')).otherwise(inner)
+    opened = F.regexp_replace(F.trim("output", F.lit(SPACES)), r"^```\w*\s*|\s*```$", "")
+    # Jackson takes no number of more than 1000 digits; a double doesn't need them.
+    r = r.withColumn("o", F.regexp_replace(opened, r"(\.\d{900})\d+", "$1")).withColumn("o", _valid(F.col("o")))
+    inner = F.get_json_object(F.concat(F.lit("["), "o", F.lit("]")), "$[0]")
+    r = r.withColumn("i", F.when(F.col("o").startswith('"'), inner))
+    plain = F.when(F.col("o").startswith('"'), _valid(F.col("i"))).otherwise(F.col("o"))
 
     def get(path: str):
-        # A number beyond a double's range comes out as a quoted word; a letter for its type isn't part of a number in SQL.
-        text = F.regexp_replace(F.get_json_object("j", path), r'^"(-?Infinity)"$', "$1")
+        # A number beyond a double's range comes out as a quoted word; a letter for its type isn't part of a number in SQL, an underscore may be.
+        text = F.regexp_replace(F.regexp_replace(F.get_json_object("j", path), r'^"(-?Infinity)"$', "$1"), r"(?<=\d)_(?=\d)", "")
         return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
 
     named = r.select("response_id", "model", market_symbol(F.col("ticker")).alias("symbol"), F.col("as_of").alias("t"), plain.alias("j"))
@@ -37,7 +60,8 @@ def q_predictions(spark, d):
 
 
 def _scored(spark, d):
-    return scoring.score_predictions(_predictions(spark, d), _bars(spark, d))
+    # Read and written once: keys, scores and medians would each open the answers again.
+    return scoring.score_predictions(materialize(_predictions(spark, d)), _bars(spark, d))
 
 
 def q_scored(spark, d):

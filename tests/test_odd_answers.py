@@ -1,6 +1,7 @@
 """Queries over answers whose numbers are written in odd ways or without bound, against DuckDB."""
 
 import datetime as dt
+import json
 
 import pytest
 
@@ -41,3 +42,39 @@ def test_directions_written_with_a_point(spark, tables):
 def test_medians_of_errors_without_bound(spark, tables):
     got = {r.model: r.value for r in evaluation.QUERIES["q_model_report"](spark, tables).where("metric = 'mdape'").collect()}
     assert got[MODELS[1]] == float("inf") and got[MODELS[2]] != got[MODELS[2]] and 0 < got[MODELS[0]] < float("inf")
+
+
+#: Answers around one object: spaces, fences, strings, what follows or trails, and whether SQL takes them for JSON.
+OBJECT = '{"next_day_direction": 1, "next_day_closing_price": 12.5, "forecast": {"up": 0.5, "down": 0.25, "unchanged": 0.25}}'
+WRAPPED = {
+    OBJECT: True,
+    f"\u00a0{OBJECT}\u2003": True,
+    f"```json\n{OBJECT}\n```": True,
+    f" {json.dumps(OBJECT)}": True,
+    f"```json\n{json.dumps(OBJECT)}\n```": True,
+    json.dumps(OBJECT[:-1] + ', "why": "\\u00e9 \\"up\\" \\\\"}'): True,
+    OBJECT[:-1] + ",}": True,
+    OBJECT[:-1] + ', "more": NaN}': True,
+    OBJECT[:-1] + ', "why": "it\'s NaN, up"}': True,
+    OBJECT.replace("0.5", "0.5" + "0" * 1200): True,
+    OBJECT.replace("12.5", '"1_2.5"'): True,
+    f"{OBJECT} up": False,
+    f"{OBJECT}}}": False,
+    f'{OBJECT}"': False,
+    f"{OBJECT},{OBJECT}": False,
+    OBJECT.replace('"', "'"): False,
+    OBJECT[:-1] + ', "why": "a\nb"}': False,
+}
+
+
+def test_answers_that_are_json_as_a_whole(spark, tmp_path):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(len(WRAPPED) + 1)]
+    bars = [(n, n, "A", t, *[10.0 + n % 3] * 4, 100, 0.0, dt.datetime(2025, 1, 1)) for n, t in enumerate(days)]
+    spark.createDataFrame(bars, f"bar_id bigint, fetch_id bigint, ticker string, bar_date date, {PRICES}, volume bigint, stock_splits double, fetched_at timestamp").write.parquet(f"{tmp_path}/price_bars.parquet")
+    answers = [(n, "A", days[n], MODELS[n % 3], x) for n, x in enumerate(WRAPPED)]
+    spark.createDataFrame(answers, "response_id bigint, ticker string, as_of date, model string, output string").write.parquet(f"{tmp_path}/reasoning_responses.parquet")
+    got = {r.response_id: (r.pred_direction, r.pred_price, r.p_up, r.p_down, r.p_unchanged) for r in evaluation.QUERIES["q_predictions"](spark, str(tmp_path)).collect()}
+    assert got == {n: (1, 12.5, 0.5, 0.25, 0.25) if ok else (None,) * 5 for n, ok in enumerate(WRAPPED.values())}
+    for name in ("q_predictions", "q_scored", "q_model_report", "q_wide_report"):
+        rows = rows_of_spark(evaluation.QUERIES[name](spark, str(tmp_path)))
+        assert rows[1] and rows == rows_of_duckdb(connect(str(tmp_path)), evaluation.SQL[name])
